@@ -2,7 +2,9 @@
 
 `normalize_url` drops the fragment and tracking parameters and re-encodes what is left of the query.
 The split is the RFC 3986 one, done with anchored patterns, because Spark's `parse_url` rejects many
-URLs that occur in feeds (spaces, pipes). Array functions over the query run only for URLs that have one.
+URLs that occur in feeds (spaces, pipes). The part before the query is a chain of replacements, each using
+the one before once, which keeps the expression small wherever Catalyst copies it. Array functions over the
+query run only for URLs that have one.
 """
 
 from __future__ import annotations
@@ -28,7 +30,24 @@ PARAMETER_SCHEMES = (
     "sips", "mms", "sftp", "tel",
 )
 
-_BRACKETED_HOST = r"\[(v[0-9A-Fa-f]+\..+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(%[^\]]*)?)\]"
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*:"
+_HIERARCHICAL = "(?:" + "|".join(x.replace("+", "[+]") for x in HIERARCHICAL_SCHEMES) + "):"
+_WITH_PARAMETERS = "(?:(?:" + "|".join(x for x in PARAMETER_SCHEMES if x) + f"):|(?!{_SCHEME}))"
+
+# a host in brackets must be an IPv6 or IPvFuture address
+_BAD_BRACKETS = (
+    rf"^(?:{_SCHEME})?//(?=[^/?#]*[\[\]])"
+    r"(?![^/?#]*\[(?:v[0-9A-Fa-f]+\.[^/?#]+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\]/?#]*)?)\])"
+)
+
+# rewriting steps of the part before the query, after its scheme is in lower case
+_HEAD_STEPS = (
+    # empty ";parameters" of the last path segment
+    (rf"(?s)^({_WITH_PARAMETERS}(?://[^/]*+)?+(?:.*/)?[^/;]*);$", "$1"),
+    # an empty host is written out for hierarchical schemes and left out for all others
+    (rf"^({_HIERARCHICAL})(?=/(?!/)|$)", "$1//"),
+    (rf"^((?!{_HIERARCHICAL})(?:{_SCHEME})?)//(?=$|/(?!/))", "$1"),
+)
 
 
 def is_tracking_key(key: Column) -> Column:
@@ -71,44 +90,26 @@ def query_pairs(url: Column) -> Column:
     return _pairs(_query(_without_noise(url)))
 
 
+def _head(clean: Column) -> Column:
+    """Scheme, host and path."""
+    raw = F.substring_index(F.substring_index(clean, "#", 1), "?", 1)
+    scheme = F.lower(F.regexp_extract(raw, f"^({_SCHEME})", 1))
+    head = F.concat(scheme, F.regexp_replace(raw, f"^{_SCHEME}", ""))
+    for pattern, replacement in _HEAD_STEPS:
+        head = F.regexp_replace(head, pattern, replacement)
+    return head
+
+
 def normalize_url(url: Column) -> Column:
     """Canonical form of a URL; NULL if its host part is malformed (broken IPv6 brackets)."""
     clean = _without_noise(url)
-    scheme = F.lower(F.regexp_extract(clean, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    rest = F.when(scheme == "", clean).otherwise(
-        F.substring(clean, F.length(scheme) + 2, F.length(clean))
-    )
-    located = F.substring_index(rest, "#", 1)
-    host = F.regexp_extract(located, r"^//([^/?]*)", 1)
-    path = F.regexp_extract(located, r"(?s)^(?://[^/?]*)?([^?]*)", 1)
-    path = F.when(
-        scheme.isin(*PARAMETER_SCHEMES), F.regexp_replace(path, r"(?s)^((?:.*/)?[^/;]*);$", "$1")
-    ).otherwise(path)
-    body = (
-        F.when(host != "", F.concat(F.lit("//"), host, path))
-        .when(F.startswith(path, F.lit("//")), F.concat(F.lit("//"), path))
-        .when(
-            scheme.isin(*HIERARCHICAL_SCHEMES) & ((path == "") | F.startswith(path, F.lit("/"))),
-            F.concat(F.lit("//"), path),
-        )
-        .otherwise(path)
-    )
-    base = F.concat(F.when(scheme == "", F.lit("")).otherwise(F.concat(scheme, F.lit(":"))), body)
-    query = _query(clean)
-    kept = F.concat_ws(
-        "&",
-        F.transform(
-            F.filter(_pairs(query), lambda pair: ~is_tracking_key(pair["key"])),
-            lambda pair: F.concat(_encode(pair["key"]), F.lit("="), _encode(pair["value"])),
-        ),
-    )
-    bracketed = F.contains(host, F.lit("[")) | F.contains(host, F.lit("]"))
-    return (
-        F.when(bracketed & ~F.rlike(host, F.lit(_BRACKETED_HOST)), F.lit(None))
-        .when(query == "", base)
-        .when(kept == "", base)
-        .otherwise(F.concat(base, F.lit("?"), kept))
+    kept = F.transform(
+        F.filter(_pairs(_query(clean)), lambda pair: ~is_tracking_key(pair["key"])),
+        lambda pair: F.concat(_encode(pair["key"]), F.lit("="), _encode(pair["value"])),
     )
+    query = F.regexp_replace(F.concat(F.lit("?"), F.array_join(kept, "&")), r"^\?$", "")
+    tail = F.when(F.contains(clean, F.lit("?")), query).otherwise(F.lit(""))
+    return F.when(~F.rlike(clean, F.lit(_BAD_BRACKETS)), F.concat(_head(clean), tail))
 
 
 def replay_link(status: Column, capture_ts: Column, original_url: Column) -> Column:

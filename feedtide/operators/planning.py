@@ -79,26 +79,32 @@ def reserved_floor(backlog: DataFrame, registry: DataFrame, params: Params) -> D
     return rank_within(keyed, ["run_id"], [F.col("k").asc(), F.col("turn").asc()], name="slot")
 
 
-def _take_turns(rows: pd.DataFrame) -> pd.DataFrame:
-    """Slots of one run's complete tie groups: each group continues after the source served last."""
-    rows = rows.sort_values(["phase", "tier", "priority", "turn_ord", "turn_item"], kind="stable")
-    turn = list(zip(rows["turn_ord"], rows["turn_item"], strict=True))
-    group = list(zip(rows["phase"], rows["tier"], rows["priority"], strict=True))
-    served: tuple[int, int] | None = None
-    order: list[int] = []
-    start = 0
-    while start < len(rows):
-        end = start
-        while end < len(rows) and group[end] == group[start]:
-            end += 1
-        members = range(start, end)
-        if served is not None:
-            members = [i for i in members if turn[i] > served] + [i for i in members if turn[i] <= served]
-        order.extend(members)
-        served = turn[order[-1]]
-        start = end
-    out = rows.iloc[order][["run_id", "source", "k", "turn_ord", "turn_item"]]
-    return out.assign(slot=range(1, len(out) + 1))
+def _turn_taker():
+    """The fold over tie groups. A local function travels to the workers by value, so they need no copy
+    of this package."""
+
+    def take_turns(rows: pd.DataFrame) -> pd.DataFrame:
+        """Slots of one run's complete tie groups: each group continues after the source served last."""
+        rows = rows.sort_values(["phase", "tier", "priority", "turn_ord", "turn_item"], kind="stable")
+        turn = list(zip(rows["turn_ord"], rows["turn_item"], strict=True))
+        group = list(zip(rows["phase"], rows["tier"], rows["priority"], strict=True))
+        served: tuple[int, int] | None = None
+        order: list[int] = []
+        start = 0
+        while start < len(rows):
+            end = start
+            while end < len(rows) and group[end] == group[start]:
+                end += 1
+            members = list(range(start, end))
+            if served is not None:
+                members.sort(key=lambda i: (turn[i] <= served, turn[i]))
+            order.extend(members)
+            served = turn[order[-1]]
+            start = end
+        out = rows.iloc[order][["run_id", "source", "k", "turn_ord", "turn_item"]]
+        return out.assign(slot=range(1, len(out) + 1))
+
+    return take_turns
 
 
 def capture_plan(
@@ -146,7 +152,7 @@ def capture_plan(
         members.filter("complete")
         .select("run_id", "source", "k", "turn_ord", "turn_item", "phase", "tier", "priority")
         .groupBy("run_id")
-        .applyInPandas(_take_turns, schema=key)
+        .applyInPandas(_turn_taker(), schema=key)
     )
     served = settled.groupBy("run_id").agg(
         F.max_by(F.struct("turn_ord", "turn_item"), "slot").alias("served")

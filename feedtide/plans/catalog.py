@@ -67,19 +67,21 @@ def _statuses(s: SparkSession, d: str, keys: DataFrame) -> DataFrame:
 
 
 def _lost(s: SparkSession, d: str) -> DataFrame:
-    drops = _drops(s, d)
+    drops = durable(_drops(s, d))
     return feeds.dropped_unarchived(drops, _statuses(s, d, drops))
 
 
 def _loss_log(s: SparkSession, d: str) -> DataFrame:
-    """The loss log; entries carry the time of their run."""
-    return _lost(s, d).select(
-        F.col("run_id").cast("timestamp").alias("ts"), "source", "norm_url", "reason", "run_id"
+    """The loss log, a table in practice; entries carry the time of their run."""
+    return durable(
+        _lost(s, d).select(
+            F.col("run_id").cast("timestamp").alias("ts"), "source", "norm_url", "reason", "run_id"
+        )
     )
 
 
 def _stats(s: SparkSession, d: str) -> DataFrame:
-    items, drops = td.event_items(s, d), _drops(s, d)
+    items, drops = td.event_items(s, d), durable(_drops(s, d))
     keys = items.select("run_id", "norm_url").unionByName(drops.select("run_id", "norm_url"))
     return feeds.feed_run_stats(items, td.event_runs(s, d), drops, _statuses(s, d, keys))
 
@@ -118,8 +120,8 @@ def _history(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _availability(s: SparkSession, d: str) -> DataFrame:
-    return cap.capture_availability(_loss_log(s, d), td.captures(s, d), CAPTURES)
+def _availability(s: SparkSession, d: str, log: DataFrame) -> DataFrame:
+    return cap.capture_availability(log, td.captures(s, d), CAPTURES)
 
 
 # --- sources and sinks --------------------------------------------------------------------------
@@ -267,7 +269,8 @@ def capture_availability(s, d):
 
 @query
 def recheck_dropped(s, d):
-    return feeds.recheck_dropped(_loss_log(s, d), _availability(s, d))
+    log = _loss_log(s, d)
+    return feeds.recheck_dropped(log, _availability(s, d, log))
 
 
 @query
@@ -498,7 +501,8 @@ def data_freshness(s, d):
 
 @query
 def recheck_worklist(s, d):
-    return reports.recheck_worklist(_loss_log(s, d), _availability(s, d))
+    log = _loss_log(s, d)
+    return reports.recheck_worklist(log, _availability(s, d, log))
 
 
 # --- streaming ----------------------------------------------------------------------------------

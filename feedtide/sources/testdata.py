@@ -22,8 +22,16 @@ CHUNK = 200
 EVENT_TYPES = ("view", "click", "purchase", "signup", "error")
 
 
+SCHEMAS = {
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _utc(column: Column) -> Column:
@@ -306,9 +314,8 @@ def events_as_read(rows: DataFrame) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
     raw = (
-        spark.readStream.schema(schema)
+        spark.readStream.schema(SCHEMAS["events"])
         .option("pathGlobFilter", "events*.parquet")
         .option("recursiveFileLookup", "true")
         .parquet(sf_dir)

@@ -16,56 +16,61 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 CHANGES = "norm_url STRING, first_seen TIMESTAMP, stale BOOLEAN"
 
 
-class StaleWatch(StatefulProcessor):
-    """Remembers first sight and last event of a URL; reports when it becomes stale and when it no
-    longer is. The age counts from first sight, also for a capture submitted again later."""
-
-    def __init__(self, limit_ms: int) -> None:
-        self.limit_ms = limit_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.memory = handle.getValueState(
-            "memory", "first_us BIGINT, last_seq BIGINT, pending BOOLEAN, reported BOOLEAN"
-        )
-
-    def _row(self, key, first_us: int, stale: bool) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"norm_url": [key[0]], "first_seen": [pd.Timestamp(first_us, unit="us")], "stale": [stale]}
-        )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.memory.get() if self.memory.exists() else None
-        first_us, last_seq, pending, reported = known or (None, -1, False, False)
-        for batch in rows:
-            if not len(batch):
-                continue
-            earliest = int(batch["ts_us"].min())
-            first_us = earliest if first_us is None else min(first_us, earliest)
-            last = batch.loc[batch["seq"].idxmax()]
-            if int(last["seq"]) > last_seq:
-                last_seq, pending = int(last["seq"]), bool(last["kind"] == "submitted")
-        if first_us is None:
-            return
-        due_ms = first_us // 1000 + self.limit_ms
-        now_ms = timerValues.getCurrentWatermarkInMs()
-        stale = pending and due_ms < now_ms
-        if stale != reported:
-            yield self._row(key, first_us, stale)
-        if pending and not stale:
-            self.handle.registerTimer(due_ms)
-        self.memory.update((first_us, last_seq, pending, stale))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.memory.exists():
-            return
-        first_us, last_seq, pending, reported = self.memory.get()
-        if pending and not reported:
-            self.memory.update((first_us, last_seq, pending, True))
-            yield self._row(key, first_us, True)
-
-    def close(self) -> None:
-        pass
+def stale_watch(limit_ms: int) -> StatefulProcessor:
+    """A local class travels to the workers by value, so they need no copy of this package."""
+
+    class StaleWatch(StatefulProcessor):
+        """Remembers first sight and last event of a URL; reports when it becomes stale and when it no
+        longer is. The age counts from first sight, also for a capture submitted again later."""
+
+        def __init__(self, limit_ms: int) -> None:
+            self.limit_ms = limit_ms
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.memory = handle.getValueState(
+                "memory", "first_us BIGINT, last_seq BIGINT, pending BOOLEAN, reported BOOLEAN"
+            )
+
+        def _row(self, key, first_us: int, stale: bool) -> pd.DataFrame:
+            return pd.DataFrame(
+                {"norm_url": [key[0]], "first_seen": [pd.Timestamp(first_us, unit="us")], "stale": [stale]}
+            )
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            known = self.memory.get() if self.memory.exists() else None
+            first_us, last_seq, pending, reported = known or (None, -1, False, False)
+            for batch in rows:
+                if not len(batch):
+                    continue
+                earliest = int(batch["ts_us"].min())
+                first_us = earliest if first_us is None else min(first_us, earliest)
+                last = batch.loc[batch["seq"].idxmax()]
+                if int(last["seq"]) > last_seq:
+                    last_seq, pending = int(last["seq"]), bool(last["kind"] == "submitted")
+            if first_us is None:
+                return
+            due_ms = first_us // 1000 + self.limit_ms
+            now_ms = timerValues.getCurrentWatermarkInMs()
+            stale = pending and due_ms < now_ms
+            if stale != reported:
+                yield self._row(key, first_us, stale)
+            if pending and not stale:
+                self.handle.registerTimer(due_ms)
+            self.memory.update((first_us, last_seq, pending, stale))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if not self.memory.exists():
+                return
+            first_us, last_seq, pending, reported = self.memory.get()
+            if pending and not reported:
+                self.memory.update((first_us, last_seq, pending, True))
+                yield self._row(key, first_us, True)
+
+        def close(self) -> None:
+            pass
+
+    return StaleWatch(limit_ms)
 
 
 def stale_changes(outcomes: DataFrame, params: Params, lateness: str = "0 seconds") -> DataFrame:
@@ -77,7 +82,7 @@ def stale_changes(outcomes: DataFrame, params: Params, lateness: str = "0 second
         .select("norm_url", "ts", F.unix_micros("ts").alias("ts_us"), "seq", "kind")
     )
     return narrow.groupBy("norm_url").transformWithStateInPandas(
-        StaleWatch(int(params.pending_hours_limit * 3_600_000)),
+        stale_watch(int(params.pending_hours_limit * 3_600_000)),
         outputStructType=CHANGES,
         outputMode="Update",
         timeMode="EventTime",
