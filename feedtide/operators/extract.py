@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from feedtide.functions.dates import feed_date, feed_date_text
 from feedtide.functions.urls import normalize_url
 from feedtide.operators.skew import join_dimension
-from feedtide.sources.fetches import SITEMAP_NAMESPACE, root_element, root_tag, scan_fetches
+from feedtide.session import durable
+from feedtide.sources.fetches import SITEMAP_NAMESPACE, root_tag, scan_fetches, tag_name
 
 # RSS 2.0 keeps items under channel, RSS 1.0 next to it, Atom calls them entries. Prefixes are kept
 # (dc:date, media:title), so that extension elements cannot overwrite the feed's own.
@@ -69,162 +70,142 @@ def _published(item: Column) -> Column:
     )
 
 
-def _of_type(rows: DataFrame, registry: DataFrame, kind: str, spread: list[str]) -> DataFrame:
-    """Rows of sources of one type. Applied to exploded rows: document bodies are never shuffled."""
-    names = registry.filter(F.col("type") == kind).select("source")
-    return join_dimension(rows, names, ["source"], spread, how="inner")
+FEED, PAGE, CHILD = "feed", "page", "child"
 
 
-def feed_entries(documents: DataFrame) -> DataFrame:
-    """One row per feed entry with a link (E1), from documents known to be feeds."""
-    parsed = documents.select(
-        "run_id", "source", "source_ord", F.from_xml("body", FEED_XML).alias("feed")
-    ).select(
-        "run_id",
-        "source",
-        "source_ord",
-        F.flatten(
-            F.array_compact(
-                F.array(
-                    F.transform(
-                        F.coalesce(F.col("feed.channel.item"), F.col("feed.item")),
-                        lambda item: F.struct(
-                            _item_link(item).alias("url"),
-                            item["title"].alias("title"),
-                            _published(item).alias("published_at"),
-                        ),
-                    ),
-                    F.transform(
-                        F.col("feed.entry"),
-                        lambda entry: F.struct(
-                            _entry_link(entry).alias("url"),
-                            entry["title"].alias("title"),
-                            F.coalesce(
-                                feed_date_text(entry["published"]), feed_date_text(entry["updated"])
-                            ).alias("published_at"),
-                        ),
-                    ),
-                )
-            )
-        ).alias("items"),
+def _row(kind: str, url: Column, title: Column, published_at: Column) -> Column:
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        url.alias("url"),
+        title.cast("string").alias("title"),
+        published_at.cast("string").alias("published_at"),
     )
-    return (
-        parsed.select("run_id", "source", "source_ord", F.posexplode("items").alias("item_ord", "item"))
-        .filter(F.col("item.url").isNotNull())
-        .select(
-            "run_id",
-            "source",
-            "source_ord",
-            F.col("item_ord").cast("bigint").alias("item_ord"),
-            "item.url",
-            "item.title",
-            "item.published_at",
-        )
+
+
+def _feed_rows(body: Column) -> Column:
+    feed = F.from_xml(body, FEED_XML)
+    items = F.transform(
+        F.coalesce(feed["channel"]["item"], feed["item"]),
+        lambda item: _row(FEED, _item_link(item), item["title"], _published(item)),
+    )
+    entries = F.transform(
+        feed["entry"],
+        lambda entry: _row(
+            FEED,
+            _entry_link(entry),
+            entry["title"],
+            F.coalesce(feed_date_text(entry["published"]), feed_date_text(entry["updated"])),
+        ),
     )
+    return F.coalesce(items, entries)
 
 
-def rss_items(fetches: DataFrame, registry: DataFrame) -> DataFrame:
-    """Items of all RSS 2.0, RSS 1.0 and Atom feeds. Malformed feeds yield nothing (see S2)."""
-    documents = scan_fetches(fetches).filter(
-        F.col("parent_url").isNull() & ~root_element(F.col("body")).isin("urlset", "sitemapindex")
+def _sitemap_rows(body: Column, part: str, kind: str) -> Column:
+    nothing = F.lit(None)
+    return F.transform(
+        F.from_xml(body, SITEMAP_XML, {"ignoreNamespace": "true"})[part],
+        lambda node: _row(
+            kind, _filled(_trim(node["loc"])), nothing, _trim(node["lastmod"]) if part == "url" else nothing
+        ),
     )
-    return _of_type(feed_entries(documents), registry, "rss", spread=["url"])
 
 
-def _sitemap_documents(fetches: DataFrame) -> DataFrame:
-    body = F.col("body")
+def document_rows(fetches: DataFrame) -> DataFrame:
+    """What the fetched documents say, one narrow row per feed item, sitemap URL or index child.
+
+    Each body is read and parsed once, where it lies; it never takes part in a shuffle. Rows keep their
+    position in the document. Documents below an index contribute URLs only: indexes are followed one
+    level, feeds not at all."""
+    tag, body, top = F.col("tag"), F.col("body"), F.col("parent_url").isNull()
+    sitemap = F.contains(tag, F.lit(SITEMAP_NAMESPACE))
+    name = tag_name(tag)
+    rows = (
+        F.when(sitemap & (name == "urlset"), _sitemap_rows(body, "url", PAGE))
+        .when(sitemap & (name == "sitemapindex") & top, _sitemap_rows(body, "sitemap", CHILD))
+        .when(top & ~name.isin("urlset", "sitemapindex"), _feed_rows(body))
+    )
+    place = ["run_id", "source", "source_ord", "fetch_url", "parent_url", "fetched_at"]
     return (
         scan_fetches(fetches)
-        .filter(F.contains(root_tag(body), F.lit(SITEMAP_NAMESPACE)))
-        .withColumn("root", root_element(body))
-        .withColumn("xml", F.from_xml(body, SITEMAP_XML, {"ignoreNamespace": "true"}))
-        .drop("body")
+        .withColumn("tag", root_tag(body))
+        .select(*place, F.posexplode(rows).alias("position", "row"))
+        .select(*place, "position", "row.*")
+        .filter(F.col("url").isNotNull())
     )
 
 
-def _urlset_rows(documents: DataFrame) -> DataFrame:
-    return (
-        documents.filter(F.col("root") == "urlset")
-        .select(
-            "run_id", "source", "source_ord", "fetch_url", "parent_url", "fetched_at",
-            F.posexplode("xml.url").alias("position", "entry"),
-        )
-        .withColumn("url", _trim(F.col("entry.loc")))
-        .filter(F.col("url") != "")
-        .withColumn("published_at", _trim(F.col("entry.lastmod")))
-        .drop("entry")
-    )
+def _of_type(rows: DataFrame, registry: DataFrame, kind: str) -> DataFrame:
+    """Rows of sources of one type."""
+    names = registry.filter(F.col("type") == kind).select("source")
+    return join_dimension(rows, names, ["source"], spread=["url"], how="inner")
 
 
-def sitemap_urls(fetches: DataFrame, registry: DataFrame) -> DataFrame:
-    """URLs of sitemaps that are fetched directly (not through an index). lastmod stays verbatim."""
-    documents = _sitemap_documents(fetches.filter(F.col("parent_url").isNull()))
-    rows = _of_type(_urlset_rows(documents), registry, "sitemap", spread=["url"])
-    return rows.select(
+def _as_items(rows: DataFrame) -> DataFrame:
+    if "item_ord" not in rows.columns:
+        rows = rows.withColumn("item_ord", F.col("position").cast("bigint"))
+    return rows.select(*ITEM_COLUMNS)
+
+
+def rss_items_of(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    return _as_items(_of_type(rows.filter(F.col("kind") == FEED), registry, "rss"))
+
+
+def sitemap_urls_of(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    pages = rows.filter((F.col("kind") == PAGE) & F.col("parent_url").isNull())
+    return _as_items(_of_type(pages, registry, "sitemap"))
+
+
+def index_children_of(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Children listed by sitemap indexes that are themselves registry entries."""
+    return _of_type(rows.filter(F.col("kind") == CHILD), registry, "sitemap").select(
         "run_id",
         "source",
         "source_ord",
-        F.col("position").cast("bigint").alias("item_ord"),
-        "url",
-        F.lit(None).cast("string").alias("title"),
-        "published_at",
+        F.col("fetch_url").alias("index_url"),
+        F.col("fetched_at").alias("index_at"),
+        F.col("position").alias("child_position"),
+        F.col("url").alias("fetch_url"),
     )
 
 
-def index_children(fetches: DataFrame, registry: DataFrame) -> DataFrame:
-    """Children listed by sitemap indexes that are themselves registry entries (one level only)."""
-    documents = _sitemap_documents(fetches.filter(F.col("parent_url").isNull()))
-    children = (
-        documents.filter(F.col("root") == "sitemapindex")
-        .select(
-            "run_id", "source", "source_ord", "fetched_at",
-            F.col("fetch_url").alias("index_url"),
-            F.posexplode("xml.sitemap").alias("child_position", "child"),
-        )
-        .withColumn("fetch_url", _trim(F.col("child.loc")))
-        .filter(F.col("fetch_url") != "")
-        .drop("child")
-    )
-    return _of_type(children, registry, "sitemap", spread=["fetch_url"])
-
-
-def sitemap_index_expand(
-    fetches: DataFrame, registry: DataFrame, within: str | None = None
-) -> DataFrame:
-    """URLs of the children of sitemap indexes. An index inside an index yields nothing.
-
-    The children are parsed first and joined as narrow URL rows; a child with 50,000 URLs is salted. On
-    streams `within` bounds how far apart an index and its child are fetched, so that state expires."""
-    children = index_children(fetches, registry).select(
-        "run_id", "source", "source_ord", "fetch_url", "child_position",
-        F.col("fetched_at").alias("index_at"),
-    )
-    documents = _sitemap_documents(fetches.filter(F.col("parent_url").isNotNull()))
-    rows = _urlset_rows(documents).drop("source_ord", "parent_url")
+def index_urls_of(rows: DataFrame, registry: DataFrame, within: str | None = None) -> DataFrame:
+    """URLs of index children. A child with 50,000 URLs is salted. On streams `within` bounds how far
+    apart an index and its child are fetched, so that state expires."""
+    children = index_children_of(rows, registry).drop("index_url")
+    pages = rows.filter((F.col("kind") == PAGE) & F.col("parent_url").isNotNull()).drop("source_ord")
     joined = join_dimension(
-        rows, children, ["run_id", "source", "fetch_url"], spread=["position"], how="inner"
+        pages, children, ["run_id", "source", "fetch_url"], spread=["position"], how="inner"
     )
     if within is not None:
         span = F.expr(f"interval {within}")
         joined = joined.filter(
             F.col("fetched_at").between(F.col("index_at") - span, F.col("index_at") + span)
         )
-    return joined.select(
-        "run_id",
-        "source",
-        "source_ord",
-        (F.col("child_position") * F.lit(CHILD_STRIDE) + F.col("position")).alias("item_ord"),
-        "url",
-        F.lit(None).cast("string").alias("title"),
-        "published_at",
-    )
+    order = F.col("child_position") * F.lit(CHILD_STRIDE) + F.col("position")
+    return _as_items(joined.withColumn("item_ord", order))
+
+
+def rss_items(fetches: DataFrame, registry: DataFrame) -> DataFrame:
+    """Items of all RSS 2.0, RSS 1.0 and Atom feeds. Malformed feeds yield nothing (see S2)."""
+    return rss_items_of(document_rows(fetches.filter(F.col("parent_url").isNull())), registry)
+
+
+def sitemap_urls(fetches: DataFrame, registry: DataFrame) -> DataFrame:
+    """URLs of sitemaps that are fetched directly (not through an index). lastmod stays verbatim."""
+    return sitemap_urls_of(document_rows(fetches.filter(F.col("parent_url").isNull())), registry)
+
+
+def sitemap_index_expand(fetches: DataFrame, registry: DataFrame) -> DataFrame:
+    """URLs of the children of sitemap indexes. An index inside an index yields nothing."""
+    return index_urls_of(durable(document_rows(fetches)), registry)
 
 
 def sitemap_frontier(fetches: DataFrame, registry: DataFrame) -> DataFrame:
     """Children of indexes with no fetched document yet: the work list of the fetching system."""
+    rows = document_rows(fetches.filter(F.col("parent_url").isNull()))
     fetched = fetches.select("run_id", "source", "fetch_url")
     return (
-        index_children(fetches, registry)
+        index_children_of(rows, registry)
         .select("run_id", "source", "index_url", "fetch_url")
         .distinct()
         .join(fetched, ["run_id", "source", "fetch_url"], "left_anti")
@@ -250,19 +231,22 @@ def with_instant(items: DataFrame) -> DataFrame:
     return items.withColumn("published_ts", feed_date(F.col("published_at")))
 
 
-def _all_items(fetches: DataFrame, registry: DataFrame, within: str | None = None) -> DataFrame:
-    from_sitemaps = sitemap_urls(fetches, registry).unionByName(
-        sitemap_index_expand(fetches, registry, within)
-    )
-    items = rss_items(fetches, registry).unionByName(url_pattern_filter(from_sitemaps, registry))
-    return with_canonical_url(items)
+def items_of(rows: DataFrame, registry: DataFrame, within: str | None = None) -> DataFrame:
+    """All items in a table of document rows, with their canonical URL."""
+    listed = sitemap_urls_of(rows, registry).unionByName(index_urls_of(rows, registry, within))
+    kept = rss_items_of(rows, registry).unionByName(url_pattern_filter(listed, registry))
+    return with_canonical_url(kept)
+
 
+def discover(fetches: DataFrame, registry: DataFrame) -> DataFrame:
+    """All items of a run, canonicalised; (source_ord, item_ord) is the reference order.
 
-def discover(fetches: DataFrame, registry: DataFrame, within: str | None = None) -> DataFrame:
-    """All items of a run, canonicalised; (source_ord, item_ord) is the reference order."""
-    return _all_items(fetches, registry, within).filter(F.col("norm_url").isNotNull())
+    The document rows are kept, since feeds, sitemaps and both sides of the index join come from them."""
+    items = items_of(durable(document_rows(fetches)), registry)
+    return items.filter(F.col("norm_url").isNotNull())
 
 
 def quarantined(fetches: DataFrame, registry: DataFrame) -> DataFrame:
     """Items left out of `discover` because their URL cannot be parsed."""
-    return _all_items(fetches, registry).filter(F.col("norm_url").isNull()).drop("norm_url")
+    items = items_of(durable(document_rows(fetches)), registry)
+    return items.filter(F.col("norm_url").isNull()).drop("norm_url")

@@ -19,15 +19,12 @@ def rate_budget_audit(
     window_us = window_seconds * 1_000_000
     block_us = max(block_seconds or 0, 10 * window_seconds) * 1_000_000
     at = F.unix_micros(F.col("ts"))
-    first, last = (
-        F.floor(at / F.lit(block_us)).cast("bigint"),
-        F.floor((at + window_us) / F.lit(block_us)).cast("bigint"),
-    )
+    home, last = at - F.pmod(at, F.lit(block_us)), at + window_us - F.pmod(at + window_us, F.lit(block_us))
     placed = (
         submits.filter(F.col("kind") != "already_archived")
         .withColumn("at_us", at)
-        .withColumn("home", first)
-        .withColumn("block", F.explode(F.sequence(first, last)))
+        .withColumn("home", home)
+        .withColumn("block", F.explode(F.sequence(home, last, F.lit(block_us).cast("bigint"))))
     )
     trailing = Window.partitionBy("account", "block").orderBy("at_us").rangeBetween(-window_us, 0)
     waited = F.col("at_us") - F.col("oldest_us")

@@ -1,7 +1,8 @@
 """Building blocks that stay balanced when one key owns a large share of the rows.
 
-* `join_dimension`: left join with a table holding one row per key. The key is salted, so a hot key is
-  spread over `SALTS` tasks whatever the size of the table; if it is small, Spark broadcasts it by itself.
+* `join_dimension`: join with a table holding one row per key. A table estimated below the broadcast
+  threshold is joined as it is, and Spark broadcasts it. Any other table is salted: a hot key is spread over
+  `SALTS` tasks, which AQE can split further.
 * `first_k_within`: the first k rows per group, cut down in salted sub-groups before the final ranking.
 * `rank_within`: exact row numbers of *all* rows of a group. One range-partitioned sort lays the rows out,
   blocks are counted, and the rank is the block's offset plus the position in the block. No task ever
@@ -26,10 +27,22 @@ def _salt(columns: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
+def _broadcastable(table: DataFrame) -> bool:
+    """Whether Spark's own size estimate puts the table below the session's broadcast threshold."""
+    if table.isStreaming:
+        return False
+    session = table._jdf.sparkSession()
+    limit = session.sessionState().conf().autoBroadcastJoinThreshold()
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= int(str(limit))
+
+
 def join_dimension(
     rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "left"
 ) -> DataFrame:
     """Join `rows` with a table unique on `keys`; `spread` are columns that vary within a key."""
+    if _broadcastable(table):
+        return rows.join(table, [*keys], how)
     salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
         rows.withColumn("_salt", _salt(spread)).join(salted, [*keys, "_salt"], how).drop("_salt")

@@ -28,15 +28,20 @@ def scan_fetches(fetches: DataFrame) -> DataFrame:
     return fetches.filter(F.col("http_status").between(200, 299))
 
 
-def root_element(body: Column) -> Column:
-    """Local name of the root element, '' when there is none. Reads only the head of the body."""
-    return F.regexp_extract(body, _PROLOG + r"<(?:[\w.\-]+:)?([\w.\-]+)", 1)
-
-
 def root_tag(body: Column) -> Column:
+    """The start tag of the root element, '' when there is none. The match is anchored at the head."""
     return F.regexp_extract(body, _PROLOG + r"(<[^>]*>)", 1)
 
 
+def tag_name(tag: Column) -> Column:
+    """Local name of a start tag."""
+    return F.regexp_extract(tag, r"^<(?:[\w.\-]+:)?([\w.\-]+)", 1)
+
+
+def root_element(body: Column) -> Column:
+    return tag_name(root_tag(body))
+
+
 def is_malformed(body: Column) -> Column:
     """True when the body is not well-formed XML."""
     parsed = F.from_xml(body, "_corrupt_record STRING", {"ignoreNamespace": "true"})

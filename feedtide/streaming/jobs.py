@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from feedtide import schemas
 from feedtide.functions.status import ERROR_KINDS, PENDING_KINDS
-from feedtide.operators.extract import discover
+from feedtide.operators.extract import document_rows, items_of
 from feedtide.operators.feeds import feed_drops
 from feedtide.operators.outcomes import seen_merge
 from feedtide.params import Params
-from feedtide.session import fresh_path
+from feedtide.session import durable, fresh_path
 from feedtide.sources.state import scan_state, write_state
 from feedtide.streaming.sinks import append_to_table, drain, latest_by_key, write_batch
 from feedtide.streaming.stale import stale_changes
@@ -19,7 +19,8 @@ from feedtide.streaming.stale import stale_changes
 
 def discovered_stream(fetches: DataFrame, registry: DataFrame, within: str = "1 day") -> DataFrame:
     """The batch expressions on a stream. Only index/child pairs keep state, for `within`."""
-    return discover(fetches.withWatermark("fetched_at", within), registry, within)
+    rows = document_rows(fetches.withWatermark("fetched_at", within))
+    return items_of(rows, registry, within).filter(F.col("norm_url").isNotNull())
 
 
 def collect_discovered(fetches: DataFrame, registry: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def collect_drops(snapshots: DataFrame, exhaustive: DataFrame | None = None) ->
     def compare(batch: DataFrame, batch_id: int) -> None:
         session: SparkSession = batch.sparkSession
         stored = scan_state(session, state_root, schemas.FEED_SNAPSHOTS, below=batch_id + 1)
-        listed = stored.unionByName(batch.distinct())
+        listed = durable(stored.unionByName(batch.distinct()))
         runs = listed.select("run_id", "source").distinct().withColumn("exhaustive", F.lit(False))
         write_batch(feed_drops(listed, runs), drop_root, batch_id)
         last = listed.groupBy("source").agg(F.max("run_id").alias("run_id"))
