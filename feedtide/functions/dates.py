@@ -56,8 +56,9 @@ def _mail_date(text: Column) -> Column:
 def feed_date(raw: Column) -> Column:
     """RFC 822 or ISO 8601 date as TIMESTAMP; NULL if it is neither. No zone means UTC."""
     text = F.regexp_replace(F.regexp_replace(raw, r"^\s+", ""), r"\s+$", "")
-    colon_offset = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    iso = F.when(text.rlike(r"[T ]\d{2}:"), colon_offset).otherwise(text).try_cast("timestamp")
+    clock = F.regexp_replace(text, r"([T ]\d{2}:\d{2})(?=$|[ Z+-])", "$1:00")
+    clock = F.regexp_replace(clock, r"(:\d{2}[.\d]*\s*[+-]\d{2})(\d{2})$", "$1:$2")
+    iso = clock.try_cast("timestamp")
     return F.when(text.rlike(_ISO_DATE), iso).otherwise(_mail_date(text))
 
 

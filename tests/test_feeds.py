@@ -1,0 +1,151 @@
+from helpers import at, by, item, make, values
+
+from feedtide.operators import captures as cap
+from feedtide.operators import feeds
+from feedtide.operators.retention import purge_by_time, purge_seen, purged_seen_count
+from feedtide.params import Params
+
+PARAMS = Params(as_of="2024-01-31T00:00:00Z")
+
+
+def snaps(spark, **runs):
+    """d1='ab' lists URLs a and b of source s in run d1."""
+    rows = [dict(run_id=r, source="s", norm_url=u) for r, urls in runs.items() for u in urls]
+    return make(spark, "FEED_SNAPSHOTS", *rows)
+
+
+def runs_of(spark, *names, source="s", exhaustive=False):
+    rows = [(n, source, at("2024-01-01T00:00:00"), exhaustive) for n in names]
+    return spark.createDataFrame(rows, "run_id string, source string, ts timestamp, exhaustive boolean")
+
+
+def test_first_run_drops_nothing(spark):
+    assert feeds.feed_drops(snaps(spark, d1="ab"), runs_of(spark, "d1")).count() == 0
+
+
+def test_drops_between_neighbouring_runs(spark):
+    shots = snaps(spark, d1="abc", d2="bc", d3="cd", d4="ad")
+    found = feeds.feed_drops(shots, runs_of(spark, "d1", "d2", "d3", "d4"))
+    assert values(found, "run_id", "norm_url") == [("d2", "a"), ("d3", "b"), ("d4", "c")]
+
+
+def test_an_empty_run_drops_everything_and_a_skipped_one_nothing(spark):
+    shots = snaps(spark, d1="ab", d3="b")
+    with_empty = feeds.feed_drops(shots, runs_of(spark, "d1", "d2", "d3"))
+    assert values(with_empty, "run_id", "norm_url") == [("d2", "a"), ("d2", "b")]
+    skipped = feeds.feed_drops(shots, runs_of(spark, "d1", "d3"))
+    assert values(skipped, "run_id", "norm_url") == [("d3", "a")]
+
+
+def test_exhaustive_sources_are_not_compared(spark):
+    runs = runs_of(spark, "d1", "d2", exhaustive=True)
+    assert feeds.feed_drops(snaps(spark, d1="ab", d2="a"), runs).count() == 0
+    assert feeds.feed_snapshots(make(spark, "DISCOVERED", item("s", 1, run="d1")), runs).count() == 0
+
+
+def test_failed_fetch_policy(spark):
+    registry = make(spark, "REGISTRY", dict(source="s", type="rss", exhaustive=False))
+    fetches = make(
+        spark, "FETCHES",
+        dict(run_id="d1", source="s", http_status=200), dict(run_id="d2", source="s", http_status=500),
+        dict(run_id="d3", source="s", http_status=200, parent_url="p"),
+    )
+    assert values(feeds.feed_runs(fetches, registry, PARAMS), "run_id") == [("d1",)]
+    parity = Params(as_of=PARAMS.as_of, ignore_failed_fetches=False)
+    assert values(feeds.feed_runs(fetches, registry, parity), "run_id") == [("d1",), ("d2",)]
+
+
+def test_reasons(spark):
+    statuses = ["error", "error_retry", "pending", "success", "already_archived", "odd"]
+    seen = make(spark, "SEEN", *[dict(norm_url=s, status=s) for s in statuses])
+    drops = make(spark, "FEED_SNAPSHOTS", *[dict(run_id="d2", source="s", norm_url=u) for u in [*statuses, "new"]])
+    lost = feeds.dropped_unarchived(drops, seen)
+    assert by(lost, "norm_url", "reason") == {
+        "error": "gave_up", "error_retry": "still_retrying", "pending": "still_pending", "odd": "odd",
+        "new": "never_attempted",
+    }
+    assert values(feeds.drop_reason_counts(lost), "reason", "losses")[0] == ("gave_up", 1)
+
+
+def test_statistics_row(spark):
+    items = make(
+        spark, "DISCOVERED",
+        item("s", 1, "2024-01-03", url="a", run="d2"), item("s", 2, "", url="a", run="d2"),
+        item("s", 3, None, url="b", run="d2"), item("s", 4, "2024-01-01", url="c", run="d2"),
+        item("x", 1, "2024-01-09", url="a", run="d2"),
+    )
+    runs = runs_of(spark, "d2").unionByName(runs_of(spark, "d2", source="x", exhaustive=True)).unionByName(runs_of(spark, "d2", source="empty"))
+    seen = make(spark, "SEEN", dict(norm_url="a", status="error_retry"), dict(norm_url="b", status="error"), dict(norm_url="z", status="success"))
+    drops = make(spark, "FEED_SNAPSHOTS", *[dict(run_id="d2", source="s", norm_url=u) for u in "yz"])
+    stats = feeds.feed_run_stats(items, runs, drops, seen)
+    columns = ("source", "item_count", "new_count", "dropped_count", "dropped_unarchived_count", "oldest_published_at", "newest_published_at")
+    assert values(stats, *columns) == [
+        ("empty", 0, 0, 0, 0, None, None),
+        ("s", 4, 3, 2, 1, "2024-01-01", "2024-01-03"),
+        ("x", 1, 1, None, None, "2024-01-09", "2024-01-09"),
+    ]
+    archived = spark.createDataFrame([("d2", "s", 5), ("d2", "absent", 6)], "run_id string, source string, already_archived_count bigint")
+    limited = spark.createDataFrame([("d2", "x", 7)], "run_id string, source string, rate_limited_count bigint")
+    full = feeds.attach_outcomes_to_stats(stats, archived, limited)
+    assert values(full, "source", "already_archived_count", "rate_limited_count") == [("empty", 0, 0), ("s", 5, 0), ("x", 0, 7)]
+    assert full.columns == stats.columns
+
+
+def test_loss_counts_and_sample(spark):
+    rows = [dict(ts=at("2024-01-01T00:00:00"), source="s", norm_url=f"u{i:02d}", reason="gave_up", run_id="d1") for i in range(25)]
+    log = make(spark, "DROPPED_URLS", *rows, dict(source="t", norm_url="v", reason="gave_up"), dict(source="t", norm_url="w", run_id=""))
+    assert values(feeds.dropped_count_by_run(log), "run_id", "dropped_count") == [("d1", 25)]
+    sample = feeds.dropped_sample(log.filter("source = 's'"))
+    assert values(sample, "norm_url", "position") == [(f"u{i:02d}", i + 1) for i in range(10)]
+
+
+def test_availability_is_three_valued(spark):
+    params = Params(as_of="2024-01-02T12:00:00Z")
+    captures = make(
+        spark, "CAPTURES",
+        dict(norm_url="old", captured_at=at("2024-01-01T00:00:00"), available=True),
+        dict(norm_url="edge", captured_at=at("2024-01-02T07:00:00"), available=True),
+        dict(norm_url="fresh", captured_at=at("2024-01-02T07:00:01"), available=True),
+        dict(norm_url="fresh", captured_at=at("2023-01-02T07:00:01"), available=True),
+        dict(norm_url="hidden", captured_at=at("2024-01-01T00:00:00"), available=False),
+        dict(norm_url="timeless", available=True),
+        dict(norm_url="failed", captured_at=at("2024-01-01T00:00:00"), available=True, check_failed=True),
+    )
+    names = ["old", "edge", "fresh", "hidden", "timeless", "failed", "none"]
+    urls = make(spark, "DROPPED_URLS", *[dict(norm_url=n) for n in names])
+    found = cap.capture_availability(urls, captures, params)
+    assert by(found, "norm_url", "archived") == {
+        "old": True, "edge": True, "fresh": False, "hidden": False, "timeless": True, "failed": None, "none": False,
+    }
+    kept = feeds.recheck_dropped(urls, found)
+    assert values(kept, "norm_url") == [("failed",), ("fresh",), ("hidden",), ("none",)]
+    longer = Params(as_of=params.as_of, settled_after_hours=48)
+    assert by(cap.capture_availability(urls, captures, longer), "norm_url", "archived")["old"] is False
+
+
+def test_recapture_window(spark):
+    params = Params(as_of="2024-01-31T00:00:00Z", recapture_window="1w")
+    captures = make(
+        spark, "CAPTURES",
+        dict(norm_url="inside", captured_at=at("2024-01-24T00:00:00")),
+        dict(norm_url="outside", captured_at=at("2024-01-23T23:59:59")),
+        dict(norm_url="future", captured_at=at("2024-02-01T00:00:00")),
+    )
+    urls = make(spark, "DROPPED_URLS", *[dict(norm_url=n) for n in ("inside", "outside", "future", "never")])
+    found = cap.recapture_needed(urls, captures, params)
+    assert by(found, "norm_url", "needs_capture") == {"inside": False, "outside": True, "future": True, "never": True}
+
+
+def test_purges(spark):
+    params = Params(as_of="2024-01-31T00:00:00Z", retention_days=10)
+    seen = make(
+        spark, "SEEN",
+        dict(norm_url="edge", status="error", first_seen=at("2024-01-21T00:00:00")),
+        dict(norm_url="old", status="success", first_seen=at("2024-01-20T23:59:59")),
+        dict(norm_url="waiting", status="pending", first_seen=at("2020-01-01T00:00:00")),
+        dict(norm_url="unknown", status="error_retry"),
+    )
+    assert values(purge_seen(seen, params), "norm_url") == [("edge",), ("waiting",)]
+    assert purged_seen_count(seen, params).first().purged == 2
+    log = make(spark, "DROPPED_URLS", dict(norm_url="a", ts=at("2024-01-21T00:00:00")), dict(norm_url="b", ts=at("2024-01-20T00:00:00")))
+    assert values(purge_by_time(log, params), "norm_url") == [("a",)]
