@@ -88,9 +88,9 @@ def collect_drops(snapshots: DataFrame, exhaustive: DataFrame | None = None) ->
     return spark.read.schema(schemas.FEED_SNAPSHOTS).parquet(f"{drop_root}/batch=*")
 
 
-def collect_stale(outcomes: DataFrame, params: Params) -> DataFrame:
-    """URLs that are pending longer than the limit, by event-time timers."""
-    changes = latest_by_key(stale_changes(outcomes, params), "stale", ["norm_url"])
+def collect_stale(outcomes: DataFrame, params: Params, lateness: str = "0 seconds") -> DataFrame:
+    """URLs that are pending longer than the limit at the watermark, by event-time timers."""
+    changes = latest_by_key(stale_changes(outcomes, params, lateness), "stale", ["norm_url"])
     return changes.filter("stale").select("norm_url", "first_seen")
 
 
