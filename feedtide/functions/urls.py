@@ -30,6 +30,7 @@ PARAMETER_SCHEMES = (
     "sips", "mms", "sftp", "tel",
 )
 
+_CONTROLS = "".join(map(chr, range(0x21)))
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*:"
 _HIERARCHICAL = "(?:" + "|".join(x.replace("+", "[+]") for x in HIERARCHICAL_SCHEMES) + "):"
 _WITH_PARAMETERS = "(?:(?:" + "|".join(x for x in PARAMETER_SCHEMES if x) + f"):|(?!{_SCHEME}))"
@@ -40,6 +41,18 @@ _BAD_BRACKETS = (
     r"(?![^/?#]*\[(?:v[0-9A-Fa-f]+\.[^/?#]+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%[^\]/?#]*)?)\])"
 )
 
+# URLs that need no rewriting before the query, unless they end in ";"
+_PLAIN = r"^https?://[^/\[\]]+(?:/|$)"
+
+# queries of unreserved characters with at most one "=" per pair, and the steps that rewrite them:
+# no tracking pairs, no empty pairs, "=" after a lone key
+_PLAIN_QUERY = r"^(?:[A-Za-z0-9_.~\-]*+(?:=[A-Za-z0-9_.~\-]*+)?+(?:&|$))*+$"
+_PLAIN_QUERY_STEPS = (
+    (r"(?i)(?<=^|&)(?:" + "|".join(TRACKING_PREFIXES) + r")[^&]*", ""),
+    (r"^&+|&+$|&+(?=&)", ""),
+    (r"(?<=^|&)([^&=]+)(?=&|$)", "$1="),
+)
+
 # rewriting steps of the part before the query, after its scheme is in lower case
 _HEAD_STEPS = (
     # empty ";parameters" of the last path segment
@@ -67,11 +80,17 @@ def _encode(text: Column) -> Column:
 
 
 def _without_noise(url: Column) -> Column:
-    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+    """Leading control characters and spaces go, and tabs and line breaks anywhere."""
+    return F.translate(F.ltrim(url, F.lit(_CONTROLS)), "\t\r\n", "")
+
 
+def _located(clean: Column) -> Column:
+    return F.substring_index(clean, "#", 1)
 
-def _query(url: Column) -> Column:
-    return F.regexp_extract(F.substring_index(url, "#", 1), r"(?s)^[^?]*\?(.*)$", 1)
+
+def _query(located: Column) -> Column:
+    """What follows the first "?"; to be used on URLs that have one."""
+    return F.substring(located, F.instr(located, "?") + 1, F.length(located))
 
 
 def _pairs(query: Column) -> Column:
@@ -87,12 +106,12 @@ def _pairs(query: Column) -> Column:
 
 def query_pairs(url: Column) -> Column:
     """Decoded query of a URL: ARRAY<STRUCT<key, value>> in written order."""
-    return _pairs(_query(_without_noise(url)))
+    located = _located(_without_noise(url))
+    return _pairs(F.when(F.contains(located, F.lit("?")), _query(located)).otherwise(F.lit("")))
 
 
-def _head(clean: Column) -> Column:
-    """Scheme, host and path."""
-    raw = F.substring_index(F.substring_index(clean, "#", 1), "?", 1)
+def _head(raw: Column) -> Column:
+    """Scheme, host and path of a URL, from its part before the query."""
     scheme = F.lower(F.regexp_extract(raw, f"^({_SCHEME})", 1))
     head = F.concat(scheme, F.regexp_replace(raw, f"^{_SCHEME}", ""))
     for pattern, replacement in _HEAD_STEPS:
@@ -100,16 +119,32 @@ def _head(clean: Column) -> Column:
     return head
 
 
-def normalize_url(url: Column) -> Column:
-    """Canonical form of a URL; NULL if its host part is malformed (broken IPv6 brackets)."""
-    clean = _without_noise(url)
+def _kept_pairs(query: Column) -> Column:
+    """The query without tracking pairs, decoded and encoded again."""
     kept = F.transform(
-        F.filter(_pairs(_query(clean)), lambda pair: ~is_tracking_key(pair["key"])),
+        F.filter(_pairs(query), lambda pair: ~is_tracking_key(pair["key"])),
         lambda pair: F.concat(_encode(pair["key"]), F.lit("="), _encode(pair["value"])),
     )
-    query = F.regexp_replace(F.concat(F.lit("?"), F.array_join(kept, "&")), r"^\?$", "")
-    tail = F.when(F.contains(clean, F.lit("?")), query).otherwise(F.lit(""))
-    return F.when(~F.rlike(clean, F.lit(_BAD_BRACKETS)), F.concat(_head(clean), tail))
+    return F.array_join(kept, "&")
+
+
+def _kept_plain(query: Column) -> Column:
+    """The same for a query of unreserved characters, where decoding and encoding change nothing."""
+    for pattern, replacement in _PLAIN_QUERY_STEPS:
+        query = F.regexp_replace(query, pattern, replacement)
+    return query
+
+
+def normalize_url(url: Column) -> Column:
+    """Canonical form of a URL; NULL if its host part is malformed (broken IPv6 brackets)."""
+    located = _located(_without_noise(url))
+    raw = F.substring_index(located, "?", 1)
+    plain = F.rlike(raw, F.lit(_PLAIN)) & ~F.endswith(raw, F.lit(";"))
+    head = F.when(plain, raw).when(~F.rlike(raw, F.lit(_BAD_BRACKETS)), _head(raw))
+    query = _query(located)
+    kept = F.when(F.rlike(query, F.lit(_PLAIN_QUERY)), _kept_plain(query)).otherwise(_kept_pairs(query))
+    marked = F.regexp_replace(F.concat(F.lit("?"), kept), r"^\?$", "")
+    return F.concat(head, F.when(F.contains(located, F.lit("?")), marked).otherwise(F.lit("")))
 
 
 def replay_link(status: Column, capture_ts: Column, original_url: Column) -> Column:

@@ -81,9 +81,10 @@ def _loss_log(s: SparkSession, d: str) -> DataFrame:
 
 
 def _stats(s: SparkSession, d: str) -> DataFrame:
-    items, drops = td.event_items(s, d), durable(_drops(s, d))
+    items, runs = durable(td.event_items(s, d)), td.event_runs(s, d)
+    drops = durable(feeds.feed_drops(feeds.feed_snapshots(items, runs), runs))
     keys = items.select("run_id", "norm_url").unionByName(drops.select("run_id", "norm_url"))
-    return feeds.feed_run_stats(items, td.event_runs(s, d), drops, _statuses(s, d, keys))
+    return feeds.feed_run_stats(items, runs, drops, _statuses(s, d, keys))
 
 
 def _full_stats(s: SparkSession, d: str) -> DataFrame:
@@ -95,7 +96,7 @@ def _full_stats(s: SparkSession, d: str) -> DataFrame:
 
 def _history(s: SparkSession, d: str) -> DataFrame:
     """Run history: one row per day of events."""
-    log, items, runs = td.outcomes(s, d), td.event_items(s, d), td.event_runs(s, d)
+    log, items, runs = td.outcomes(s, d), durable(td.event_items(s, d)), td.event_runs(s, d)
     first = lookup.dedupe_first_wins(items).select("run_id", "norm_url")
     unknown = first.join(_statuses(s, d, first), ["run_id", "norm_url"], "left").filter(
         F.col("status").isNull() | (F.col("status") == "error_retry")
