@@ -554,4 +554,4 @@ def stream_stale_pending(s, d):
 @query
 def stream_run_totals(s, d):
     log = td.outcomes_of(td.events_stream(s, d))
-    return jobs.collect_run_counts(log, "1 day")
+    return jobs.collect_run_totals(log, EVENTS, "1 day")

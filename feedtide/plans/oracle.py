@@ -710,13 +710,13 @@ ORACLE: dict[str, str] = {
     ),
     "stream_run_totals": _with(
         """
-        SELECT run_id, count(*) FILTER (WHERE kind = 'success') AS success, count(*) FILTER (WHERE is_error) AS error,
-          count(*) FILTER (WHERE NOT changes) AS pending,
-          count(*) FILTER (WHERE kind = 'already_archived') AS already_archived,
-          CAST(sum(n_rate_limited) AS BIGINT) AS rate_limited
-        FROM outcome GROUP BY run_id
+        SELECT t.*, o.pending, r.rate_limited FROM totals t JOIN open_jobs o USING (run_id) JOIN (
+          SELECT run_id, CAST(sum(n_rate_limited) AS BIGINT) AS rate_limited FROM outcome GROUP BY run_id) r
+        USING (run_id)
         """,
         _EVENTS,
+        _USER_FOLD,
+        _TOTALS,
     ),
 }
 ORACLE["stream_discover"] = ORACLE["discover"]

@@ -13,7 +13,8 @@ from feedtide.operators.outcomes import seen_merge
 from feedtide.params import Params
 from feedtide.session import durable, fresh_path
 from feedtide.sources.state import scan_state, write_state
-from feedtide.streaming.sinks import append_to_table, drain, latest_by_key, write_batch
+from feedtide.streaming.retries import retry_changes
+from feedtide.streaming.sinks import all_changes, append_to_table, drain, latest_by_key, write_batch
 from feedtide.streaming.stale import stale_changes
 
 
@@ -94,8 +95,11 @@ def collect_stale(outcomes: DataFrame, params: Params, lateness: str = "0 second
     return changes.filter("stale").select("norm_url", "first_seen")
 
 
-def collect_run_counts(outcomes: DataFrame, lateness: str) -> DataFrame:
-    """Outcome counts per run; late outcomes update their run's row within the watermark."""
+def collect_run_totals(outcomes: DataFrame, params: Params, lateness: str) -> DataFrame:
+    """Outcome totals per run; late outcomes update their run's row within the watermark.
+
+    Plain counts are a windowed aggregate. Which failures are retried depends on the order of a URL's
+    failures: a second query keeps the first few per URL and adds up changes."""
     counts = (
         outcomes.withWatermark("ts", lateness)
         .groupBy("run_id", F.window("ts", "1 day").alias("day"))
@@ -106,8 +110,13 @@ def collect_run_counts(outcomes: DataFrame, lateness: str) -> DataFrame:
             F.count_if(F.col("kind") == "already_archived").alias("already_archived"),
             F.sum("n_rate_limited").alias("rate_limited"),
         )
-        .select("run_id", F.col("day.start").alias("day"), "success", "error", "pending", "already_archived", "rate_limited")
+        .withColumn("day", F.col("day.start"))
     )
     per_day = latest_by_key(counts, "run-counts", ["run_id", "day"])
     names = [c for c in per_day.columns if c not in ("run_id", "day")]
-    return per_day.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in names])
+    per_run = per_day.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in names])
+    changes = all_changes(retry_changes(outcomes, params), "retries")
+    split = changes.groupBy("run_id").agg(
+        F.sum("error_retry").alias("error_retry"), F.sum("error_permanent").alias("error_permanent")
+    )
+    return per_run.join(split, "run_id", "left").fillna(0, ["error_retry", "error_permanent"])

@@ -1,0 +1,67 @@
+"""Which failures are retried, kept up to date while outcomes arrive in any order."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from feedtide.functions.status import ERROR_KINDS, is_retryable
+from feedtide.params import Params
+from feedtide.streaming.stale import ROCKSDB
+
+CHANGES = "run_id STRING, error_retry BIGINT, error_permanent BIGINT"
+
+
+def retry_split(attempts_limit: int) -> StatefulProcessor:
+    """A local class travels to the workers by value, so they need no copy of this package."""
+
+    class RetrySplit(StatefulProcessor):
+        """Only the first `attempts_limit - 1` failures of a URL can be retried, so these are all it has to
+        remember. A late one moves the others back, and the last of them from retried to given up."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.early = handle.getListState("early", "seq BIGINT, run_id STRING, retryable BOOLEAN")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            before = [tuple(e) for e in self.early.get()] if self.early.exists() else []
+            after, total = list(before), {}
+            for batch in rows:
+                for run_id, n in batch["run_id"].value_counts().items():
+                    total[run_id] = total.get(run_id, 0) + int(n)
+                found = zip(batch["seq"].tolist(), batch["run_id"], batch["retryable"].tolist(), strict=True)
+                after = sorted([*after, *found])[: attempts_limit - 1]
+            if after:
+                self.early.put(after)
+            retried: dict[str, int] = {}
+            for events, sign in ((after, 1), (before, -1)):
+                for _, run_id, retryable in events:
+                    if retryable:
+                        retried[run_id] = retried.get(run_id, 0) + sign
+            runs = sorted(set(total) | set(retried))
+            yield pd.DataFrame(
+                {
+                    "run_id": runs,
+                    "error_retry": [retried.get(r, 0) for r in runs],
+                    "error_permanent": [total.get(r, 0) - retried.get(r, 0) for r in runs],
+                }
+            )
+
+        def close(self) -> None:
+            pass
+
+    return RetrySplit()
+
+
+def retry_changes(outcomes: DataFrame, params: Params) -> DataFrame:
+    """Changes of the two failure counts per run; their sums are the counts."""
+    outcomes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    failures = outcomes.filter(F.col("kind").isin(*ERROR_KINDS)).select(
+        "norm_url", "seq", "run_id", is_retryable(F.col("kind"), F.col("status_ext")).alias("retryable")
+    )
+    return failures.groupBy("norm_url").transformWithStateInPandas(
+        retry_split(params.attempts_limit), outputStructType=CHANGES, outputMode="Update", timeMode="None"
+    )

@@ -42,18 +42,19 @@ def write_batch(rows: DataFrame, root: str, batch_id: int) -> None:
     rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
 
-def read_batches(spark, root: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("basePath", root).parquet(f"{root}/batch=*")
+def all_changes(stream: DataFrame, label: str) -> DataFrame:
+    """Update-mode stream as a change log, with the `batch` each row came in."""
+    spark, root = stream.sparkSession, fresh_path(stream.sparkSession, label)
+    drain(stream, label, "update", lambda rows, batch_id: write_batch(rows, root, batch_id))
+    return spark.read.option("basePath", root).parquet(root)
 
 
 def latest_by_key(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
-    """Update-mode stream as a change log; the result holds the last version of each key."""
-    root = fresh_path(stream.sparkSession, label)
-    drain(stream, label, "update", lambda rows, batch_id: write_batch(rows, root, batch_id))
-    spark, rest = stream.sparkSession, [c for c in stream.columns if c not in keys]
-    changes = spark.read.option("basePath", root).parquet(root)
+    """The last version of each key of an update-mode stream."""
+    rest = [c for c in stream.columns if c not in keys]
     return (
-        changes.groupBy(*keys)
+        all_changes(stream, label)
+        .groupBy(*keys)
         .agg(F.max_by(F.struct(*rest), "batch").alias("last"))
         .select(*keys, *[F.col(f"last.{c}").alias(c) for c in rest])
     )

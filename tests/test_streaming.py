@@ -59,10 +59,16 @@ def test_unique_urls(spark, sf_dir, shuffled_log):
     assert values(found, "norm_url") == values(td.outcomes(spark, sf_dir, per_day=True).select("norm_url").distinct(), "norm_url")
 
 
-def test_run_counts(spark, sf_dir, shuffled_log):
-    found = jobs.collect_run_counts(stream(spark, shuffled_log), "60 days")
-    expected = oc.run_outcome_totals(td.outcomes(spark, sf_dir, per_day=True), PARAMS)
-    columns = ("run_id", "success", "error", "pending", "already_archived")
+@pytest.mark.parametrize("per_day", [True, False])
+def test_run_totals(spark, sf_dir, tmp_path, per_day):
+    """Also for URLs with many failures, which arrive in any order."""
+    log = td.outcomes(spark, sf_dir, per_day=per_day)
+    root = str(tmp_path / "log")
+    for part in (2, 0, 1):
+        log.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(root)
+    found = jobs.collect_run_totals(stream(spark, root), PARAMS, "60 days")
+    expected = oc.run_outcome_totals(log, PARAMS)
+    columns = ("run_id", "success", "error", "pending", "already_archived", "error_retry", "error_permanent")
     assert values(found, *columns) == values(expected, *columns)
 
 
