@@ -49,6 +49,14 @@ def join_dimension(
     )
 
 
+def without_keys(
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], spread: Sequence[str]
+) -> DataFrame:
+    """Rows whose key is not in `table`: an anti join that stays balanced for few, hot keys."""
+    marked = table.select(*keys).distinct().withColumn("_listed", F.lit(True))
+    return join_dimension(rows, marked, keys, spread).filter(F.col("_listed").isNull()).drop("_listed")
+
+
 def first_k_within(
     rows: DataFrame,
     groups: Sequence[str],

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedtide.operators import captures, extract, feeds, lookup, outcomes, planning, retention
+from feedtide.operators.skew import without_keys
 from feedtide.params import Params
 from feedtide.session import durable
 
@@ -13,7 +14,7 @@ from feedtide.session import durable
 def before_capture(inputs: dict[str, DataFrame], params: Params) -> dict[str, DataFrame]:
     """What is known before anything is submitted.
 
-    Inputs: registry, fetches (of this run), previous_snapshots, seen, answers (outcomes of leftovers
+    Inputs: registry, fetches (of this run), previous_snapshots (the last one per source), seen, answers (outcomes of leftovers
     polled at the start of the run), dropped, captures. Returns discovered, snapshots, runs, seen, losses,
     stats, dropped and plan; `plan` goes to the capture system, whose outcomes close the run."""
     registry = inputs["registry"]
@@ -28,15 +29,13 @@ def before_capture(inputs: dict[str, DataFrame], params: Params) -> dict[str, Da
     earlier = previous.select("run_id", "source").distinct().withColumn("exhaustive", F.lit(False))
     compared = runs.select("run_id", "source", "exhaustive").unionByName(earlier)
     drops = durable(feeds.feed_drops(previous.unionByName(snapshots), compared))
-    drops = drops.join(runs.select("run_id").distinct(), "run_id", "left_semi")
     statuses = seen.select("norm_url", "status")
     losses = feeds.dropped_unarchived(drops, statuses)
     backlog = durable(lookup.new_urls(discovered, seen))
     plan = planning.pacing(planning.capture_plan(backlog, registry, params), params)
     entries = losses.select(params.now().alias("ts"), "source", "norm_url", "reason", "run_id")
-    untouched = previous.join(
-        runs.filter(~F.col("exhaustive")).select("source").distinct(), "source", "left_anti"
-    )
+    read = runs.filter(~F.col("exhaustive"))
+    untouched = without_keys(previous, read, ["source"], spread=["norm_url"])
     return {
         "discovered": discovered,
         "snapshots": snapshots.unionByName(untouched),
@@ -85,3 +84,10 @@ def after_capture(
         "seen": retention.purge_seen(seen, params),
         "history": retention.purge_by_time(inputs["history"].unionByName(row), params),
     }
+
+
+def run_batch(inputs: dict[str, DataFrame], params: Params) -> dict[str, DataFrame]:
+    """A run whose submissions are already done: `inputs` also holds their `outcomes`. The result is the
+    state after it, with what was discovered, lost and planned."""
+    opened = before_capture(inputs, params)
+    return {**opened, **after_capture(opened, inputs, inputs["outcomes"], params)}

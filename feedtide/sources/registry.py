@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedtide.operators.skew import join_dimension
+
 SOURCE_TYPES = ("rss", "sitemap")
 
 
@@ -39,7 +41,7 @@ def registry_violations(raw: DataFrame) -> DataFrame:
         .select("name", "first_ord")
     )
     repeated = (
-        raw.join(firsts, "name")
+        join_dimension(raw, firsts, ["name"], spread=["source_ord"], how="inner")
         .filter(F.col("source_ord") > F.col("first_ord"))
         .select("source_ord", F.lit("duplicate_name").alias("rule"))
     )

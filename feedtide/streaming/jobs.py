@@ -10,6 +10,7 @@ from feedtide.functions.status import ERROR_KINDS, PENDING_KINDS
 from feedtide.operators.extract import document_rows, items_of
 from feedtide.operators.feeds import feed_drops
 from feedtide.operators.outcomes import seen_merge
+from feedtide.operators.skew import join_dimension, without_keys
 from feedtide.params import Params
 from feedtide.session import durable, fresh_path
 from feedtide.sources.state import scan_state, write_state
@@ -67,22 +68,20 @@ def collect_drops(snapshots: DataFrame, exhaustive: DataFrame | None = None) ->
     `exhaustive` lists sources that are not tracked. The stored state is one snapshot per source."""
     spark = snapshots.sparkSession
     state_root, drop_root = fresh_path(spark, "snapshots"), fresh_path(spark, "drops")
-    if exhaustive is not None:
-        snapshots = snapshots.join(exhaustive.select("source"), "source", "left_anti")
     snapshots = snapshots.select("run_id", "source", "norm_url")
 
     def compare(batch: DataFrame, batch_id: int) -> None:
         session: SparkSession = batch.sparkSession
         stored = scan_state(session, state_root, schemas.FEED_SNAPSHOTS, below=batch_id + 1)
+        if exhaustive is not None:
+            batch = without_keys(batch, exhaustive, ["source"], spread=["norm_url"])
         listed = durable(stored.unionByName(batch.distinct()))
         runs = listed.select("run_id", "source").distinct().withColumn("exhaustive", F.lit(False))
         write_batch(feed_drops(listed, runs), drop_root, batch_id)
         last = listed.groupBy("source").agg(F.max("run_id").alias("run_id"))
+        newest = join_dimension(listed, last, ["source", "run_id"], spread=["norm_url"], how="inner")
         write_state(
-            listed.join(last, ["source", "run_id"], "left_semi").select("run_id", "source", "norm_url"),
-            state_root,
-            "norm_url",
-            version=batch_id + 1,
+            newest.select("run_id", "source", "norm_url"), state_root, "norm_url", version=batch_id + 1
         )
 
     drain(snapshots, "drops", "append", compare)

@@ -3,7 +3,7 @@ from helpers import at, make, values
 from feedtide import schemas
 from feedtide.operators.outcomes import RUN_COUNTERS
 from feedtide.params import Params
-from feedtide.plans.run import after_capture, before_capture
+from feedtide.plans.run import after_capture, before_capture, run_batch
 
 
 def feed(*links):
@@ -81,8 +81,8 @@ def test_two_runs(spark):
     second = before_capture(second_inputs, later)
     assert values(second["losses"], "run_id", "norm_url", "reason") == [("run2", "http://n/2", "still_retrying")]
     assert values(second["plan"], "norm_url") == [("http://n/3",)]
-    nothing = make(spark, "OUTCOMES")
-    done = after_capture(second, second_inputs, nothing, later)
+    done = run_batch(dict(second_inputs, outcomes=make(spark, "OUTCOMES")), later)
+    assert values(done["snapshots"], "run_id", "norm_url") == [("run2", "http://n/3")]
     assert values(done["history"], "run_id", "success", "discovered") == [("run1", 0, 5), ("run2", 1, 1)]
     assert values(done["dropped"], "norm_url", "reason") == [("http://n/2", "still_retrying")]
     assert set(done["stats"].columns) == {c.strip().split(" ")[0] for c in schemas.FEED_RUN_STATS.split(",")}
