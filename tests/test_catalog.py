@@ -24,9 +24,22 @@ def duck(sf_dir):
     return connection
 
 
+@pytest.fixture(scope="module")
+def frame_of(spark, sf_dir):
+    """Builds each query once; many of them materialise tables on the way."""
+    built = {}
+
+    def build(name):
+        if name not in built:
+            built[name] = QUERIES[name](spark, sf_dir)
+        return built[name]
+
+    return build
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_same_rows_as_sql(spark, sf_dir, duck, name):
-    frame = QUERIES[name](spark, sf_dir)
+def test_same_rows_as_sql(frame_of, duck, name):
+    frame = frame_of(name)
     columns = sorted(frame.columns)
     ours = sorted(tuple(cell(r[c]) for c in columns) for r in frame.collect())
     result = duck.execute(SQL[name])
@@ -41,8 +54,8 @@ PYTHON_ALLOWED = {"capture_plan", "planned_vs_deferred", "pacing"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_")))
-def test_plans_stay_in_the_jvm(spark, sf_dir, name):
-    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+def test_plans_stay_in_the_jvm(frame_of, name):
+    plan = frame_of(name)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "html#" not in plan
     if name not in PYTHON_ALLOWED:
