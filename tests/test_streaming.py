@@ -1,16 +1,21 @@
 import itertools
+import subprocess
+import sys
 
 import pytest
 from helpers import values
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from feedtide import schemas
 from feedtide.operators import extract, feeds, lookup
 from feedtide.operators import outcomes as oc
+from feedtide.operators.planning import _turn_taker
 from feedtide.params import Params
 from feedtide.sources import testdata as td
 from feedtide.streaming import jobs
-from feedtide.streaming.stale import stale_changes
+from feedtide.streaming.retries import retry_split
+from feedtide.streaming.stale import stale_watch
 
 PARAMS = Params(as_of="2024-01-30T23:00:00Z", attempts_limit=3)
 
@@ -103,5 +108,10 @@ def test_rate_windows(spark, sf_dir):
     assert found.agg(F.sum("submits")).first()[0] == 6 * td.events(spark, sf_dir).count()
 
 
-def test_stale_watch_needs_no_package_on_the_workers():
-    assert stale_changes.__module__ == "feedtide.streaming.stale"
+@pytest.mark.parametrize("made", [_turn_taker, lambda: stale_watch(1), lambda: retry_split(3)])
+def test_workers_need_no_copy_of_the_package(made, tmp_path):
+    """What is sent to the workers can be unpickled where the package cannot be imported."""
+    path = tmp_path / "sent"
+    path.write_bytes(cloudpickle.dumps(made()))
+    code = f"import pickle, sys; pickle.load(open({str(path)!r}, 'rb')); assert 'feedtide' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=60)
