@@ -6,10 +6,11 @@ from feedtide.llm.mixing import op3_mix_sources
 from feedtide.llm.packing import op4_best_fit_packing
 from feedtide.llm.sharding import op10_histogram_sort
 from feedtide.llm.tokens import op2_token_counts
+from feedtide.llm.toxicity import op6_toxicity
 from feedtide.llm.warc import op8_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op3_mix_sources, op4_best_fit_packing, op8_warc, op10_histogram_sort)
+    for f in (op2_token_counts, op3_mix_sources, op4_best_fit_packing, op6_toxicity, op8_warc, op10_histogram_sort)
 }
 SQL: dict[str, str] = {}
