@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from feedtide.llm.jaccard import op9_jaccard_join
 from feedtide.llm.mixing import op3_mix_sources
 from feedtide.llm.neighbours import op7_multi_index
 from feedtide.llm.order_minhash import op5_order_minhash
@@ -13,6 +14,6 @@ from feedtide.llm.warc import op8_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op3_mix_sources, op4_best_fit_packing, op5_order_minhash, op6_toxicity, op7_multi_index, op8_warc, op10_histogram_sort)
+    for f in (op2_token_counts, op3_mix_sources, op4_best_fit_packing, op5_order_minhash, op6_toxicity, op7_multi_index, op8_warc, op9_jaccard_join, op10_histogram_sort)
 }
 SQL: dict[str, str] = {}
