@@ -8,12 +8,13 @@ from feedtide.llm.neighbours import op7_multi_index
 from feedtide.llm.order_minhash import op5_order_minhash
 from feedtide.llm.packing import op4_best_fit_packing
 from feedtide.llm.sharding import op10_histogram_sort
+from feedtide.llm.substrings import op1_substring_dedup
 from feedtide.llm.tokens import op2_token_counts
 from feedtide.llm.toxicity import op6_toxicity
 from feedtide.llm.warc import op8_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op3_mix_sources, op4_best_fit_packing, op5_order_minhash, op6_toxicity, op7_multi_index, op8_warc, op9_jaccard_join, op10_histogram_sort)
+    for f in (op1_substring_dedup, op2_token_counts, op3_mix_sources, op4_best_fit_packing, op5_order_minhash, op6_toxicity, op7_multi_index, op8_warc, op9_jaccard_join, op10_histogram_sort)
 }
 SQL: dict[str, str] = {}

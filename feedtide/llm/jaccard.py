@@ -246,5 +246,12 @@ def link(docs: DataFrame) -> DataFrame:
     return rows.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_per_component(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is that of their component; rows that repeat doc_id and text are one. Rows without
+    words stay, and so do rows with a null doc_id that nothing else with an id is linked to."""
+    kept = link(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(documents(spark, sf_dir))

@@ -118,6 +118,16 @@ def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return choose(rows, source_targets(rows))
 
 
+def mixed_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Each row of `docs` as often as the mix takes it, with the same columns. Rows equal in doc_id, source and size are taken
+    equally often."""
+    taken = mix(docs, labels).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    taken = taken.toDF("_doc_id", "_source", "_size", "_copies")
+    same = docs["doc_id"].eqNullSafe(taken["_doc_id"]) & docs["source"].eqNullSafe(taken["_source"]) & (word_count() == taken["_size"])
+    repeats = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
+    return docs.join(taken, same).select(*[docs[c] for c in docs.columns], repeats).drop("_copy")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return mix(documents(spark, sf_dir), labels).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
