@@ -51,3 +51,16 @@ def numbered(rows: DataFrame, order: list[Column], name: str, label: str) -> Dat
         .withColumn(name, position + F.col("_before"))
         .drop("_part", "_place", "_before")
     )
+
+
+def bounded_sample(rows: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """At most `limit` rows, those with the smallest hashes of the columns `by`; always the same ones.
+
+    Rows whose hash cannot be among them (but for a chance below 1e-9) are filtered out first, so that what reaches the final sort is
+    a few times `limit` however many tasks there are.
+    """
+    share = 4.0 * limit / max(rows.count(), 1)
+    hashed = F.xxhash64(*by)
+    if share < 1:
+        rows = rows.filter(hashed < int(-(1 << 63) + share * (1 << 64)))
+    return rows.orderBy(hashed, *by).limit(limit)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedtide.llm.common import store
+from feedtide.llm.common import bounded_sample, store
 
 CENTROIDS = 32  # of each half
 SAMPLE = 8192  # bound of the training sample, different vectors
@@ -101,7 +101,7 @@ def search(
     known = known.filter(F.size("embedding") == dimension)
     distinct = store(entries(known, nearest), "ann-entries")
 
-    chosen = distinct.orderBy(F.xxhash64("vector"), "vector").limit(sample).select("vector").collect()
+    chosen = bounded_sample(distinct.select("vector"), ["vector"], sample).collect()
     matrix = np.array([r["vector"] for r in chosen], dtype=np.float64)
     k = min(centroids, len(matrix))
     middle = dimension // 2

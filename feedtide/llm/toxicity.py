@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedtide.llm.common import documents, store, text_or_empty
+from feedtide.llm.common import bounded_sample, documents, store, text_or_empty
 
 PREFIXES = (4, 5, 6)
 SEGMENT = 64  # tokens of a training sequence
@@ -63,7 +63,7 @@ def sample(docs: DataFrame, labels: DataFrame, fit: Fit) -> DataFrame:
     """text, toxic of at most `documents_per_class` labelled documents per class, none of them held out."""
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    taken = [one.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.documents_per_class) for c in (0, 1)]
+    taken = [bounded_sample(one.filter(F.col("toxic") == c), ["doc_id"], fit.documents_per_class) for c in (0, 1)]
     ids = F.broadcast(taken[0].unionByName(taken[1]))  # bounded by the two limits
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ids, "doc_id").select("text", "toxic")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedtide.llm.common import text_or_empty
+from feedtide.llm.common import bounded_sample, text_or_empty
 from feedtide.session import fresh_path
 
 DICTIONARY_MAGIC = b"\x5d\x2a\x4d\x18"  # skippable frame that holds a dictionary
@@ -35,8 +35,8 @@ def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from the SAMPLE_PAGES pages with the smallest hashes, at most SAMPLE_CHARS characters of each."""
     import zstandard
 
-    sample = pages.select(F.xxhash64("html").alias("h"), F.substring("html", 1, SAMPLE_CHARS).alias("s")).filter("s <> ''")
-    texts = [r["s"].encode() for r in sample.orderBy("h", "s").limit(SAMPLE_PAGES).collect()]
+    sample = bounded_sample(pages.select("page_id", F.substring("html", 1, SAMPLE_CHARS).alias("s")), ["page_id", "s"], SAMPLE_PAGES)
+    texts = [r["s"].encode() for r in sample.collect() if r["s"]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
     except zstandard.ZstdError:  # too little to learn from: use the text itself
