@@ -57,9 +57,38 @@ def outcome_delta(outcomes: DataFrame, keys: Sequence[str] = ("norm_url",)) -> D
     )
 
 
+DELTA = (
+    "norm_url STRING, first_seen TIMESTAMP, last_checked TIMESTAMP, attempts BIGINT, last_seq BIGINT, job_id STRING, "
+    "job_seq BIGINT, last_kind STRING, last_retryable BOOLEAN"
+)
+
+
+def fold_deltas(deltas: DataFrame) -> DataFrame:
+    """Folds of disjoint sets of events, folded into one per URL."""
+    return (
+        deltas.groupBy("norm_url")
+        .agg(
+            F.min("first_seen").alias("first_seen"),
+            F.max("last_checked").alias("last_checked"),
+            F.sum("attempts").alias("attempts"),
+            F.max("last_seq").alias("last_seq"),
+            F.max_by(F.struct("last_kind", "last_retryable"), "last_seq").alias("_last"),
+            F.max_by("job_id", "job_seq").alias("job_id"),
+            F.max("job_seq").alias("job_seq"),
+        )
+        .withColumn("last_kind", F.col("_last.last_kind"))
+        .withColumn("last_retryable", F.col("_last.last_retryable"))
+        .drop("_last")
+    )
+
+
+def seen_of_delta(delta: DataFrame, params: Params) -> DataFrame:
+    return delta.withColumn("status", _fold_status(params)).select(*SEEN_COLUMNS)
+
+
 def seen_from_outcomes(outcomes: DataFrame, params: Params) -> DataFrame:
     """state of every URL after all events of the log."""
-    return outcome_delta(outcomes).withColumn("status", _fold_status(params)).select(*SEEN_COLUMNS)
+    return seen_of_delta(outcome_delta(outcomes), params)
 
 
 def seen_merge(seen: DataFrame, outcomes: DataFrame, params: Params) -> DataFrame:

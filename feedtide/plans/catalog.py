@@ -513,26 +513,27 @@ def recheck_worklist(s, d):
 def stream_discover(s, d):
     """Documents written as files, read as a stream; the items must be those of `discover`."""
     root = fresh_path(s, "fetches")
-    td.documents(s, d).write.parquet(root)
-    return jobs.collect_discovered(fetch_source.stream_fetches(s, root), td.document_registry(s, d))
+    td.documents(s, d).write.parquet(f"{root}/in")
+    found = fetch_source.stream_fetches(s, f"{root}/in")
+    return jobs.collect_discovered(found, td.document_registry(s, d), f"{root}/job")
 
 
 @query
 def stream_seen_state(s, d):
     log = td.outcomes_of(td.events_stream(s, d), per_day=True)
-    return jobs.maintain_seen(log, EVENTS)
+    return jobs.maintain_seen(log, EVENTS, fresh_path(s, "stream-seen"))
 
 
 @query
 def stream_dedupe(s, d):
     rows = td.events_stream(s, d).select("ts", td.user_url().alias("norm_url"))
-    return jobs.collect_unique(rows, "90 days")
+    return jobs.collect_unique(rows, "90 days", fresh_path(s, "stream-unique"))
 
 
 @query
 def stream_rate(s, d):
     rows = td.events_stream(s, d).select("ts", F.col("event_type").alias("account"))
-    return jobs.collect_rate(rows, "1 hour", "10 minutes")
+    return jobs.collect_rate(rows, "1 hour", "10 minutes", fresh_path(s, "stream-rate"))
 
 
 @query
@@ -542,16 +543,16 @@ def stream_feed_drops(s, d):
         F.col("event_type").alias("source"),
         normalize_url(td.user_url()).alias("norm_url"),
     )
-    return jobs.collect_drops(rows, exhaustive=td.event_registry(s, d).filter("exhaustive"))
+    return jobs.collect_drops(rows, td.event_runs(s, d), fresh_path(s, "stream-drops"))
 
 
 @query
 def stream_stale_pending(s, d):
     log = td.outcomes_of(td.events_stream(s, d), per_day=True)
-    return jobs.collect_stale(log, EVENTS)
+    return jobs.collect_stale(log, EVENTS, fresh_path(s, "stream-stale"))
 
 
 @query
 def stream_run_totals(s, d):
     log = td.outcomes_of(td.events_stream(s, d))
-    return jobs.collect_run_totals(log, EVENTS, "1 day")
+    return jobs.collect_run_totals(log, EVENTS, fresh_path(s, "stream-totals"))

@@ -11,24 +11,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Numbers of the finished versions (a finished write leaves a _SUCCESS marker)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _file_system(spark: SparkSession, root: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def folders(spark: SparkSession, root: str, prefix: str) -> list[tuple[int, str]]:
+    """(number, path) of the finished folders `<prefix><number>`, ascending (a finished write leaves a _SUCCESS marker)."""
+    fs, path = _file_system(spark, root)
     if not fs.exists(path):
         return []
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     found = []
     for status in fs.listStatus(path):
         name = status.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name[2:]))
+        if name.startswith(prefix) and fs.exists(marker(status.getPath(), "_SUCCESS")):
+            found.append((int(name[len(prefix) :]), status.getPath().toString()))
     return sorted(found)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for each in paths:
+        fs, path = _file_system(spark, each)
+        fs.delete(path, True)
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    return [n for n, _ in folders(spark, root, "v=")]
+
+
 def _exists(spark: SparkSession, root: str) -> bool:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    fs, path = _file_system(spark, root)
+    return fs.exists(path)
 
 
 def latest_version(spark: SparkSession, root: str, below: int | None = None) -> int | None:

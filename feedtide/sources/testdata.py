@@ -314,12 +314,8 @@ def events_as_read(rows: DataFrame) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = (
-        spark.readStream.schema(SCHEMAS["events"])
-        .option("pathGlobFilter", "events*.parquet")
-        .option("recursiveFileLookup", "true")
-        .parquet(sf_dir)
-    )
+    """The events table as a stream: one file, or a folder of files that are read one per batch."""
+    raw = spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet")
     return events_as_read(raw)
 
 

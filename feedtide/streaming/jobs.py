@@ -1,121 +1,127 @@
-"""Streaming jobs (T1-T7). Each reads streams of the batch tables and ends in a table of results."""
+"""Streaming jobs (T1-T7). Each reads streams of the batch tables and ends in a table of results.
+
+A job stores what its batches add (parsed rows, folds, counts), which is small beside the input and does not depend on the order of
+arrival; the result is a batch query over that. So late rows are never lost, no state store grows, and a job that is called again
+with the same `root` continues. Only T3 has a horizon, which is its meaning.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedtide import schemas
-from feedtide.functions.status import ERROR_KINDS, PENDING_KINDS
+from feedtide.functions.status import ERROR_KINDS, PENDING_KINDS, is_retryable
 from feedtide.operators.extract import document_rows, items_of
 from feedtide.operators.feeds import feed_drops
-from feedtide.operators.outcomes import seen_merge
-from feedtide.operators.skew import join_dimension, without_keys
+from feedtide.operators.outcomes import DELTA, fold_deltas, outcome_delta, seen_of_delta
+from feedtide.operators.skew import first_k_within
 from feedtide.params import Params
-from feedtide.session import durable, fresh_path
-from feedtide.sources.state import scan_state, write_state
-from feedtide.streaming.retries import retry_changes
-from feedtide.streaming.sinks import all_changes, append_to_table, drain, latest_by_key, write_batch
-from feedtide.streaming.stale import stale_changes
+from feedtide.streaming.sinks import append_to_table, compact, drain, read_batches, read_folded, sum_by, write_batch
 
+COUNTS = "run_id STRING, success BIGINT, error BIGINT, pending BIGINT, already_archived BIGINT, rate_limited BIGINT"
+FAILURES = "norm_url STRING, seq BIGINT, run_id STRING, retryable BOOLEAN"
 
-def discovered_stream(fetches: DataFrame, registry: DataFrame, within: str = "1 day") -> DataFrame:
-    """The batch expressions on a stream. Only index/child pairs keep state, for `within`."""
-    rows = document_rows(fetches.withWatermark("fetched_at", within))
-    return items_of(rows, registry, within).filter(F.col("norm_url").isNotNull())
 
+def collect_discovered(fetches: DataFrame, registry: DataFrame, root: str) -> DataFrame:
+    """Documents are parsed as they arrive; the items, of index children too, are those of `discover` over all rows so
+    far, however far apart an index and its children were fetched."""
+    rows = append_to_table(document_rows(fetches), root)
+    return items_of(rows, registry).filter(F.col("norm_url").isNotNull())
 
-def collect_discovered(fetches: DataFrame, registry: DataFrame) -> DataFrame:
-    return append_to_table(discovered_stream(fetches, registry), "discovered")
 
+def maintain_seen(outcomes: DataFrame, params: Params, root: str) -> DataFrame:
+    """The state after all outcomes so far. A batch stores the fold of its own events only; folds add up in any order."""
+    drain(outcomes, root, lambda batch, n: write_batch(outcome_delta(batch), f"{root}/deltas", n))
+    return seen_of_delta(fold_deltas(read_folded(outcomes.sparkSession, f"{root}/deltas", DELTA)), params)
 
-def maintain_seen(outcomes: DataFrame, params: Params, root: str | None = None) -> DataFrame:
-    """Fold a stream of outcomes into the versioned state table.
 
-    The merge is insensitive to order, so late files need no watermark. Batch n writes version n + 1 from
-    the newest version below it: a repeated batch gives the same version again."""
-    spark = outcomes.sparkSession
-    root = root or fresh_path(spark, "seen")
+def compact_seen(spark: SparkSession, params: Params, root: str) -> None:
+    """Folds the stored deltas into one table and drops what retention (R1) would: closed URLs first seen before the cutoff."""
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        before = scan_state(batch.sparkSession, root, schemas.SEEN, below=batch_id + 1)
-        write_state(seen_merge(before, batch, params), root, "norm_url", version=batch_id + 1)
+    def fold(deltas: DataFrame) -> DataFrame:
+        folded = fold_deltas(deltas)
+        closed = seen_of_delta(folded, params).filter((F.col("status") != "pending") & (F.col("first_seen") < params.retention_cutoff()))
+        return folded.join(closed.select("norm_url"), "norm_url", "left_anti")
 
-    drain(outcomes, "seen", "append", merge)
-    return scan_state(spark, root, schemas.SEEN)
+    compact(spark, f"{root}/deltas", DELTA, fold)
 
 
-def collect_unique(rows: DataFrame, horizon: str) -> DataFrame:
+def collect_unique(rows: DataFrame, horizon: str, root: str) -> DataFrame:
     """Each URL once within `horizon`; keeps the first row to arrive."""
     unique = rows.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["norm_url"])
-    return append_to_table(unique.select("norm_url"), "unique")
+    return append_to_table(unique.select("norm_url"), root)
 
 
-def collect_rate(rows: DataFrame, window: str = "60 seconds", slide: str = "10 seconds") -> DataFrame:
+def collect_rate(rows: DataFrame, window: str, slide: str, root: str) -> DataFrame:
     """T4: submits per account in sliding windows, a coarser form of the rate audit."""
-    counted = (
-        rows.withWatermark("ts", window)
-        .groupBy("account", F.window("ts", window, slide).alias("w"))
-        .agg(F.count("*").alias("submits"))
-        .select("account", F.col("w.start").alias("window_start"), "submits")
-    )
-    return latest_by_key(counted, "rate", ["account", "window_start"])
-
-
-def collect_drops(snapshots: DataFrame, exhaustive: DataFrame | None = None) -> DataFrame:
-    """T5: compare each batch of complete runs with the last snapshot of the batches before.
-
-    `exhaustive` lists sources that are not tracked. The stored state is one snapshot per source."""
-    spark = snapshots.sparkSession
-    state_root, drop_root = fresh_path(spark, "snapshots"), fresh_path(spark, "drops")
-    snapshots = snapshots.select("run_id", "source", "norm_url")
-
-    def compare(batch: DataFrame, batch_id: int) -> None:
-        session: SparkSession = batch.sparkSession
-        stored = scan_state(session, state_root, schemas.FEED_SNAPSHOTS, below=batch_id + 1)
-        if exhaustive is not None:
-            batch = without_keys(batch, exhaustive, ["source"], spread=["norm_url"])
-        listed = durable(stored.unionByName(batch.distinct()))
-        runs = listed.select("run_id", "source").distinct().withColumn("exhaustive", F.lit(False))
-        write_batch(feed_drops(listed, runs), drop_root, batch_id)
-        last = listed.groupBy("source").agg(F.max("run_id").alias("run_id"))
-        newest = join_dimension(listed, last, ["source", "run_id"], spread=["norm_url"], how="inner")
-        write_state(
-            newest.select("run_id", "source", "norm_url"), state_root, "norm_url", version=batch_id + 1
-        )
+    start = F.col("w.start").alias("window_start")
+
+    def count(batch: DataFrame, n: int) -> None:
+        counted = batch.groupBy("account", F.window("ts", window, slide).alias("w")).agg(F.count("*").alias("submits"))
+        write_batch(counted.select("account", start, "submits"), f"{root}/counts", n)
+
+    drain(rows, root, count)
+    schema = "account STRING, window_start TIMESTAMP, submits BIGINT"
+    return sum_by(read_folded(rows.sparkSession, f"{root}/counts", schema), ["account", "window_start"])
+
+
+def collect_drops(snapshots: DataFrame, complete: DataFrame, root: str) -> DataFrame:
+    """T5: losses between complete runs. `complete` is the runs table (run_id, source, exhaustive) of the runs whose
+    feeds have been read to the end, empty ones included; rows of other runs wait until it lists them."""
+    rows = snapshots.select("run_id", "source", "norm_url")
+    drain(rows, root, lambda batch, n: write_batch(batch.distinct(), f"{root}/snapshots", n))
+    return feed_drops(read_batches(snapshots.sparkSession, f"{root}/snapshots", schemas.FEED_SNAPSHOTS), complete)
 
-    drain(snapshots, "drops", "append", compare)
-    return spark.read.schema(schemas.FEED_SNAPSHOTS).parquet(f"{drop_root}/batch=*")
 
+def collect_stale(outcomes: DataFrame, params: Params, root: str) -> DataFrame:
+    """URLs pending longer than the limit at the time of the newest event: E8 over the state of T2."""
+    seen = maintain_seen(outcomes, params, root)
+    clock = seen.agg(F.max("last_checked")).scalar()
+    limit = clock - F.make_interval(secs=F.lit(params.pending_hours_limit * 3600.0))
+    old = F.col("first_seen").isNull() | (F.col("first_seen") < limit)
+    return seen.filter((F.col("status") == "pending") & old).select("norm_url", "first_seen")
 
-def collect_stale(outcomes: DataFrame, params: Params, lateness: str = "0 seconds") -> DataFrame:
-    """URLs that are pending longer than the limit at the watermark, by event-time timers."""
-    changes = latest_by_key(stale_changes(outcomes, params, lateness), "stale", ["norm_url"])
-    return changes.filter("stale").select("norm_url", "first_seen")
 
+def collect_run_totals(outcomes: DataFrame, params: Params, root: str) -> DataFrame:
+    """Outcome totals per run.
 
-def collect_run_totals(outcomes: DataFrame, params: Params, lateness: str) -> DataFrame:
-    """Outcome totals per run; late outcomes update their run's row within the watermark.
+    A batch stores its counts per run, and of each URL its first failures: only a URL's first `attempts_limit - 1` failures can be
+    retried, so the first few of every batch contain the first few of all."""
+    limit = params.attempts_limit - 1
 
-    Plain counts are a windowed aggregate. Which failures are retried depends on the order of a URL's
-    failures: a second query keeps the first few per URL and adds up changes."""
-    counts = (
-        outcomes.withWatermark("ts", lateness)
-        .groupBy("run_id", F.window("ts", "1 day").alias("day"))
-        .agg(
-            F.count_if(F.col("kind") == "success").alias("success"),
-            F.count_if(F.col("kind").isin(*ERROR_KINDS)).alias("error"),
-            F.count_if(F.col("kind").isin(*PENDING_KINDS)).alias("pending"),
-            F.count_if(F.col("kind") == "already_archived").alias("already_archived"),
-            F.sum("n_rate_limited").alias("rate_limited"),
+    def is_kind(*kinds: str) -> Column:
+        return F.count_if(F.col("kind").isin(*kinds))
+
+    def store(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        counts = batch.groupBy("run_id").agg(
+            is_kind("success").alias("success"),
+            is_kind(*ERROR_KINDS).alias("error"),
+            is_kind(*PENDING_KINDS).alias("pending"),
+            is_kind("already_archived").alias("already_archived"),
+            F.sum(F.col("n_rate_limited").cast("bigint")).alias("rate_limited"),
         )
-        .withColumn("day", F.col("day.start"))
-    )
-    per_day = latest_by_key(counts, "run-counts", ["run_id", "day"])
-    names = [c for c in per_day.columns if c not in ("run_id", "day")]
-    per_run = per_day.groupBy("run_id").agg(*[F.sum(c).alias(c) for c in names])
-    changes = all_changes(retry_changes(outcomes, params), "retries")
-    split = changes.groupBy("run_id").agg(
-        F.sum("error_retry").alias("error_retry"), F.sum("error_permanent").alias("error_permanent")
+        write_batch(counts, f"{root}/counts", n)
+        failures = batch.filter(F.col("kind").isin(*ERROR_KINDS)).select(
+            "norm_url", "seq", "run_id", is_retryable(F.col("kind"), F.col("status_ext")).alias("retryable")
+        )
+        write_batch(_first_failures(failures, limit), f"{root}/failures", n)
+        batch.unpersist()
+
+    drain(outcomes, root, store)
+    spark = outcomes.sparkSession
+    counts = sum_by(read_folded(spark, f"{root}/counts", COUNTS), ["run_id"])
+    first = _first_failures(read_folded(spark, f"{root}/failures", FAILURES), limit)
+    retried = first.filter("retryable").groupBy("run_id").agg(F.count("*").alias("error_retry"))
+    return (
+        counts.join(retried, "run_id", "left")
+        .fillna(0, ["error_retry"])
+        .withColumn("error_permanent", F.col("error") - F.col("error_retry"))
     )
-    return per_run.join(split, "run_id", "left").fillna(0, ["error_retry", "error_permanent"])
+
+
+def _first_failures(failures: DataFrame, limit: int) -> DataFrame:
+    if limit < 1:
+        return failures.limit(0)
+    return first_k_within(failures, ["norm_url"], [F.col("seq")], limit, spread=["seq"]).drop("k")

@@ -1,20 +1,24 @@
-"""Sinks that make a micro-batch repeatable: whatever a batch writes is named by its id."""
+"""Sinks that make a micro-batch repeatable: whatever a batch writes is named by its id.
+
+A job owns one folder. Its checkpoint is `<root>/checkpoint`, its tables lie beside it, so a job that is called again with
+the same folder goes on where it stopped, and batch ids never begin anew over old output.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedtide.session import fresh_path
+from feedtide.sources.state import folders, remove
 
 
-def drain(stream: DataFrame, label: str, mode: str, handle: Callable[[DataFrame, int], None]) -> None:
+def drain(stream: DataFrame, root: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process all that is available, in as many batches as the source cuts, then stop."""
     (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", fresh_path(stream.sparkSession, f"{label}-checkpoint"))
+        .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(handle)
         .start()
@@ -22,39 +26,54 @@ def drain(stream: DataFrame, label: str, mode: str, handle: Callable[[DataFrame,
     )
 
 
-def append_to_table(stream: DataFrame, label: str) -> DataFrame:
+def append_to_table(stream: DataFrame, root: str) -> DataFrame:
     """Append-mode stream into parquet files (exactly once, by the file sink's own log)."""
-    spark = stream.sparkSession
-    root = fresh_path(spark, label)
     (
         stream.writeStream.format("parquet")
         .outputMode("append")
-        .option("path", root)
-        .option("checkpointLocation", fresh_path(spark, f"{label}-checkpoint"))
+        .option("path", f"{root}/rows")
+        .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
     )
-    return spark.read.schema(stream.schema).parquet(root)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
-def write_batch(rows: DataFrame, root: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+def write_batch(rows: DataFrame, table: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id:012d}")
 
 
-def all_changes(stream: DataFrame, label: str) -> DataFrame:
-    """Update-mode stream as a change log, with the `batch` each row came in."""
-    spark, root = stream.sparkSession, fresh_path(stream.sparkSession, label)
-    drain(stream, label, "update", lambda rows, batch_id: write_batch(rows, root, batch_id))
-    return spark.read.option("basePath", root).parquet(root)
+def read_batches(spark: SparkSession, table: str, schema: str, after: int = -1) -> DataFrame:
+    """What the finished batches with ids above `after` wrote."""
+    paths = [path for n, path in folders(spark, table, "batch=") if n > after]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths)
 
 
-def latest_by_key(stream: DataFrame, label: str, keys: Sequence[str]) -> DataFrame:
-    """The last version of each key of an update-mode stream."""
-    rest = [c for c in stream.columns if c not in keys]
-    return (
-        all_changes(stream, label)
-        .groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), "batch").alias("last"))
-        .select(*keys, *[F.col(f"last.{c}").alias(c) for c in rest])
-    )
+def compact(spark: SparkSession, table: str, schema: str, fold: Callable[[DataFrame], DataFrame]) -> None:
+    """Replaces the batches by one that holds `fold` of their rows. Not to be run beside the job that writes them.
+
+    The result takes the place of the newest batch by way of a folder of its own: a reader sees the old batches or, once the fold is
+    finished, the fold and what came later."""
+    batches = folders(spark, table, "batch=")
+    base = folders(spark, table, "upto=")
+    if not batches or base and base[-1][0] >= batches[-1][0]:
+        return
+    newest = batches[-1][0]
+    fold(read_folded(spark, table, schema)).write.mode("overwrite").parquet(f"{table}/upto={newest:012d}")
+    remove(spark, [path for _, path in batches] + [path for _, path in base])
+
+
+def read_folded(spark: SparkSession, table: str, schema: str) -> DataFrame:
+    """The newest finished fold and the batches after it."""
+    base = folders(spark, table, "upto=")
+    if not base:
+        return read_batches(spark, table, schema)
+    newest, path = base[-1]
+    return spark.read.schema(schema).parquet(path).unionByName(read_batches(spark, table, schema, after=newest))
+
+
+def sum_by(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in keys])

@@ -1,114 +1,149 @@
-import itertools
 import subprocess
 import sys
 
 import pytest
-from helpers import values
+from helpers import make, values
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from feedtide import schemas
-from feedtide.operators import extract, feeds, lookup
+from feedtide.operators import extract, feeds, lookup, retention
 from feedtide.operators import outcomes as oc
 from feedtide.operators.planning import _turn_taker
 from feedtide.params import Params
 from feedtide.sources import testdata as td
 from feedtide.streaming import jobs
-from feedtide.streaming.retries import retry_split
-from feedtide.streaming.stale import stale_watch
 
 PARAMS = Params(as_of="2024-01-30T23:00:00Z", attempts_limit=3)
 
 
-@pytest.fixture(scope="module")
-def shuffled_log(spark, sf_dir, tmp_path_factory):
-    """The outcome log cut into files whose order has nothing to do with time."""
-    root = str(tmp_path_factory.mktemp("log"))
-    log = td.outcomes(spark, sf_dir, per_day=True)
-    for part in (2, 0, 1):
-        log.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(root)
-    return root
+class Feed:
+    """A folder that grows file by file, and a stream over it that takes one file per batch."""
+
+    def __init__(self, spark, root, schema):
+        self.spark, self.root, self.schema = spark, str(root), schema
+
+    def add(self, rows):
+        rows.coalesce(1).write.mode("append").parquet(self.root)
+
+    def stream(self):
+        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(self.root)
 
 
 @pytest.fixture(scope="module")
-def daily_log(spark, sf_dir, tmp_path_factory):
-    """The log in time order, some days per file."""
-    root = str(tmp_path_factory.mktemp("daily"))
-    log = td.outcomes(spark, sf_dir, per_day=True)
-    for low, high in itertools.pairwise(["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-09"]):
-        log.filter(F.col("run_id").between(low, high) & (F.col("run_id") != high)).coalesce(1).write.mode("append").parquet(root)
-    return root
+def log(spark, sf_dir):
+    return td.outcomes(spark, sf_dir, per_day=True)
 
 
-def stream(spark, root, schema=schemas.OUTCOMES):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
+def in_two_calls(spark, log, root, job, schema=schemas.OUTCOMES, by="seq"):
+    """Calls the job twice: over two files that have nothing to do with time, then over a third one as well."""
+    feed = Feed(spark, f"{root}/in", schema)
+    third = F.pmod(F.xxhash64(by), F.lit(3))
+    for n in (2, 0):
+        feed.add(log.filter(third == n))
+    job(feed.stream(), f"{root}/job").count()
+    feed.add(log.filter(third == 1))
+    return job(feed.stream(), f"{root}/job")
 
 
 def test_discover(spark, sf_dir, tmp_path):
     docs, registry = td.documents(spark, sf_dir), td.document_registry(spark, sf_dir)
-    root = str(tmp_path / "docs")
-    docs.repartition(3).write.parquet(root)
-    found = jobs.collect_discovered(stream(spark, root, schemas.FETCHES), registry)
+    found = in_two_calls(spark, docs, tmp_path, lambda s, root: jobs.collect_discovered(s, registry, root), schemas.FETCHES, "fetch_url")
     columns = ("source", "source_ord", "item_ord", "norm_url", "published_at")
     assert values(found, *columns) == values(extract.discover(docs, registry), *columns)
 
 
-def test_seen_state(spark, sf_dir, shuffled_log):
-    found = jobs.maintain_seen(stream(spark, shuffled_log), PARAMS)
-    expected = oc.seen_from_outcomes(td.outcomes(spark, sf_dir, per_day=True), PARAMS)
+def test_index_children_that_come_much_later_are_found(spark, tmp_path):
+    registry = make(spark, "REGISTRY", dict(source="s", source_ord=0, type="sitemap", url="http://x/i.xml"))
+    space = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    index = dict(run_id="r1", source="s", source_ord=0, fetch_url="http://x/i.xml", http_status=200, body=f"<sitemapindex {space}><sitemap><loc>http://x/c.xml</loc></sitemap></sitemapindex>", fetched_at=_at("2024-01-01T00:00:00"))
+    child = dict(run_id="r1", source="s", source_ord=0, fetch_url="http://x/c.xml", parent_url="http://x/i.xml", http_status=200, body=f"<urlset {space}><url><loc>http://x/1</loc></url></urlset>", fetched_at=_at("2024-01-09T00:00:00"))
+    feed = Feed(spark, tmp_path / "in", schemas.FETCHES)
+    for row in (index, child):
+        feed.add(make(spark, "FETCHES", row))
+        found = jobs.collect_discovered(feed.stream(), registry, str(tmp_path / "job"))
+    assert values(found, "norm_url") == [("http://x/1",)]
+
+
+def _at(text):
+    import datetime as dt
+
+    return dt.datetime.fromisoformat(text)
+
+
+def test_seen_state_goes_on_after_a_restart(spark, log, tmp_path):
+    found = in_two_calls(spark, log, tmp_path, lambda s, root: jobs.maintain_seen(s, PARAMS, root))
+    expected = oc.seen_from_outcomes(log, PARAMS)
     assert values(found, *oc.SEEN_COLUMNS) == values(expected, *oc.SEEN_COLUMNS)
 
 
-def test_unique_urls(spark, sf_dir, shuffled_log):
-    found = jobs.collect_unique(stream(spark, shuffled_log), "90 days")
-    assert values(found, "norm_url") == values(td.outcomes(spark, sf_dir, per_day=True).select("norm_url").distinct(), "norm_url")
+def test_compacted_state_is_the_purged_state(spark, log, tmp_path):
+    params = Params(as_of="2024-01-30T23:00:00Z", attempts_limit=3, retention_days=20)
+    feed = Feed(spark, tmp_path / "in", schemas.OUTCOMES)
+    feed.add(log)
+    root = str(tmp_path / "job")
+    jobs.maintain_seen(feed.stream(), params, root).count()
+    jobs.compact_seen(spark, params, root)
+    jobs.compact_seen(spark, params, root)
+    found = jobs.maintain_seen(feed.stream(), params, root)
+    expected = retention.purge_seen(oc.seen_from_outcomes(log, params), params)
+    assert values(found, "norm_url", "status", "attempts") == values(expected, "norm_url", "status", "attempts")
+
+
+def test_unique_urls(spark, log, tmp_path):
+    found = in_two_calls(spark, log, tmp_path, lambda s, root: jobs.collect_unique(s, "90 days", root))
+    assert values(found, "norm_url") == values(log.select("norm_url").distinct(), "norm_url")
 
 
 @pytest.mark.parametrize("per_day", [True, False])
 def test_run_totals(spark, sf_dir, tmp_path, per_day):
-    """Also for URLs with many failures, which arrive in any order."""
+    """Also for URLs with many failures, which arrive in any order, and without any lateness limit."""
     log = td.outcomes(spark, sf_dir, per_day=per_day)
-    root = str(tmp_path / "log")
-    for part in (2, 0, 1):
-        log.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(root)
-    found = jobs.collect_run_totals(stream(spark, root), PARAMS, "60 days")
+    found = in_two_calls(spark, log, tmp_path, lambda s, root: jobs.collect_run_totals(s, PARAMS, root))
     expected = oc.run_outcome_totals(log, PARAMS)
     columns = ("run_id", "success", "error", "pending", "already_archived", "error_retry", "error_permanent")
     assert values(found, *columns) == values(expected, *columns)
 
 
-def test_drops_over_several_batches(spark, sf_dir, tmp_path):
-    shots, runs = td.event_snapshots(spark, sf_dir), td.event_runs(spark, sf_dir)
-    root = str(tmp_path / "shots")
-    for low, high in itertools.pairwise(["2024-01-01", "2024-01-10", "2024-01-11", "2024-02-09"]):
-        shots.filter((F.col("run_id") >= low) & (F.col("run_id") < high)).coalesce(1).write.mode("append").parquet(root)
-    exhaustive = td.event_registry(spark, sf_dir).filter("exhaustive")
-    found = jobs.collect_drops(stream(spark, root, schemas.FEED_SNAPSHOTS), exhaustive)
-    expected = feeds.feed_drops(shots, runs)
-    assert values(found, "run_id", "source", "norm_url") == values(expected, "run_id", "source", "norm_url")
+def shots(spark, *rows):
+    return make(spark, "FEED_SNAPSHOTS", *[dict(run_id=r, source="s", norm_url=u) for r, u in rows])
+
+
+def test_drops_equal_the_batch_form_out_of_order(spark, sf_dir, tmp_path):
+    listed, runs = td.event_snapshots(spark, sf_dir), td.event_runs(spark, sf_dir)
+    found = in_two_calls(spark, listed, tmp_path, lambda s, root: jobs.collect_drops(s, runs, root), schemas.FEED_SNAPSHOTS, "norm_url")
+    assert values(found, "run_id", "source", "norm_url") == values(feeds.feed_drops(listed, runs), "run_id", "source", "norm_url")
+
+
+def test_a_run_cut_across_files_and_an_empty_run(spark, tmp_path):
+    def runs(*names):
+        return spark.createDataFrame([(r, "s", False) for r in names], "run_id string, source string, exhaustive boolean")
 
+    feed, root = Feed(spark, tmp_path / "in", schemas.FEED_SNAPSHOTS), str(tmp_path / "job")
+    feed.add(shots(spark, ("d1", "a"), ("d1", "b"), ("d2", "a")))
+    assert jobs.collect_drops(feed.stream(), runs("d1"), root).count() == 0  # d2 has not been read to its end
+    feed.add(shots(spark, ("d2", "b"), ("d3", "a"), ("d3", "b")))
+    assert jobs.collect_drops(feed.stream(), runs("d1", "d2", "d3"), root).count() == 0
+    found = jobs.collect_drops(feed.stream(), runs("d1", "d2", "d2e", "d3"), root)  # d2e was read and is empty
+    assert values(found, "run_id", "norm_url") == [("d2e", "a"), ("d2e", "b")]
 
-@pytest.mark.parametrize("files", ["daily_log", "shuffled_log"])
-def test_stale_pending(spark, sf_dir, files, request):
-    log = td.outcomes(spark, sf_dir, per_day=True)
-    found = jobs.collect_stale(stream(spark, request.getfixturevalue(files)), PARAMS, lateness="60 days" if files == "shuffled_log" else "0 seconds")
-    end = log.agg(F.max("ts").alias("t")).first().t
-    if files == "shuffled_log":
-        import datetime as dt
 
-        end -= dt.timedelta(days=60)
+def test_stale_pending(spark, log, tmp_path):
+    found = in_two_calls(spark, log, tmp_path, lambda s, root: jobs.collect_stale(s, PARAMS, root))
+    end = log.filter(F.col("kind").isin(*oc.STATE_KINDS)).agg(F.max("ts").alias("t")).first().t
     at_end = Params(as_of=end.isoformat() + "Z", pending_hours_limit=6)
     expected = lookup.stale_pending(oc.seen_from_outcomes(log, at_end), at_end)
     assert values(found, "norm_url") == values(expected, "norm_url")
 
 
-def test_rate_windows(spark, sf_dir):
-    rows = td.events_stream(spark, sf_dir).select("ts", F.col("event_type").alias("account"))
-    found = jobs.collect_rate(rows, "1 hour", "10 minutes")
-    assert found.agg(F.sum("submits")).first()[0] == 6 * td.events(spark, sf_dir).count()
+def test_rate_windows_count_late_rows(spark, log, tmp_path):
+    rows = log.select("ts", F.col("kind").alias("account"), "seq")
+    found = in_two_calls(spark, rows, tmp_path, lambda s, root: jobs.collect_rate(s, "1 hour", "10 minutes", root), "ts timestamp, account string, seq bigint")
+    assert found.agg(F.sum("submits")).first()[0] == 6 * rows.count()
+    assert found.groupBy("account", "window_start").count().filter("count > 1").isEmpty()
 
 
-@pytest.mark.parametrize("made", [_turn_taker, lambda: stale_watch(1), lambda: retry_split(3)])
+@pytest.mark.parametrize("made", [_turn_taker])
 def test_workers_need_no_copy_of_the_package(made, tmp_path):
     """What is sent to the workers can be unpickled where the package cannot be imported."""
     path = tmp_path / "sent"
