@@ -129,7 +129,7 @@ def search(
     queries = queries.dropDuplicates(["query_id"])
     n_queries = queries.count()
     blocks = max(1, -(-n_queries // BLOCK))
-    wanted = int(np.ceil(visit * total))
+    wanted = max(int(np.ceil(visit * total)), 4 * (nearest + 1))  # few entries: all of them
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -124,7 +124,7 @@ def packing_plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
     filled = share
     for length, n in big:
         while n:
-            if filled >= share:
+            if filled >= share or len(big) <= groups and runs[-1][-1][0] != length:  # few lengths need no rounding
                 runs.append([])
                 filled = 0
             part = min(n, share - filled)
