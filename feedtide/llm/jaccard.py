@@ -34,8 +34,9 @@ BUCKETS = 1 << 20  # of document ids, for picking texts
 
 
 def class_of(shingles: np.ndarray) -> int:
+    """A hash of the set: the sum of its members, which are hashes themselves."""
     with np.errstate(over="ignore"):
-        return int((mixed(shingles).sum(dtype=np.uint64) ^ mixed(np.array([len(shingles)], dtype=np.uint64))[0]).view(np.int64))
+        return int(mixed(shingles.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
 
 
 def point_of(shingles: np.ndarray) -> np.ndarray:
@@ -54,13 +55,14 @@ def profiles(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "class", "n_shingles", "point", "bucket", "hits"])
 
         for batch in batches:
-            classes, sizes, points = [], [], []
+            classes, sizes, points, seen = [], [], [], [np.zeros(0, dtype=np.uint64)]
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(words(text))
-                counters += np.bincount((shingles & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                seen.append(shingles)
                 classes.append(class_of(shingles) if len(shingles) else None)
                 sizes.append(len(shingles))
                 points.append(point_of(shingles).tobytes())
+            counters += np.bincount((np.concatenate(seen) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             none = [None] * len(sizes)
             yield emit(batch.column(0).to_pylist(), classes, sizes, points, none, none)
         some = np.flatnonzero(counters)
@@ -161,26 +163,37 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     )
     # texts of the documents in question: a table of hash buckets, at most BUCKETS rows, keeps the others out of the shuffle
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    asked = near.select(F.col("a").alias("class"), F.col("rep_a").alias("rep")).unionByName(near.select(F.col("b"), F.col("rep_b")).toDF("class", "rep")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().alias("text"))
+    asked = near.select(F.explode(F.array("rep_a", "rep_b")).alias("rep"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().cast("binary").alias("text"))
     few = rows.withColumn("bucket", bucket("rep")).join(F.broadcast(asked.select(bucket("rep").alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_hasher()
+        """class, text (compressed): each class once per task."""
+        import zstandard
+
+        words, done, squeeze = word_hasher(), set(), zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            sets = [shingle_set(words(t.encode())) for t in batch.column(1).to_pylist()]
-            yield batch.append_column("class", pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()))
+            classes, texts = [], []
+            for text in batch.column(0).to_pylist():
+                shingles = shingle_set(words(text))
+                if len(shingles) and (c := class_of(shingles)) not in done:
+                    done.add(c)
+                    classes.append(c)
+                    texts.append(squeeze(text))
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(texts, pa.binary())], ["class", "text"])
 
-    texts = store(few.mapInArrow(own, "rep bigint, text string, class bigint").join(asked, ["rep", "class"], "left_semi").dropDuplicates(["class"]), "jaccard-texts")
+    texts = store(few.select("text").mapInArrow(own, "class bigint, text binary"), "jaccard-texts")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_hasher()
+        import zstandard
+
+        words, expand = word_hasher(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ok, last, shared = [], None, None
             for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if t != last:
-                    last, shared = t, shingle_set(words(t.encode()))
-                mine = shingle_set(words(s.encode()))
+                    last, shared = t, shingle_set(words(expand(t)))
+                mine = shingle_set(words(expand(s)))
                 common = len(np.intersect1d(mine, shared, assume_unique=True))
                 ok.append(100 * common >= 75 * (len(mine) + len(shared) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))

@@ -24,18 +24,18 @@ def word_hasher() -> Callable[[bytes], np.ndarray]:
     the ASCII white space \\x20 and \\x09-\\x0D."""
     import xxhash
 
-    known: dict[bytes, int] = {}
+    class Known(dict):
+        def __missing__(self, word: bytes) -> int:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = h = xxhash.xxh3_64_intdigest(word)
+            return h
+
+    known = Known()
 
     def hashes(text: bytes) -> np.ndarray:
         words = text.lower().split()
-        found = list(map(known.get, words))
-        if None in found:
-            if len(known) >= WORDS_KEPT:
-                known.clear()
-            for i, h in enumerate(found):
-                if h is None:
-                    found[i] = known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        return np.array(found, dtype=np.uint64)
+        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
     return hashes
 
