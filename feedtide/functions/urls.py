@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 # Prefixes of query keys that only track where a reader came from.
 TRACKING_PREFIXES = ("utm_", "fbclid", "gclid", "mc_cid", "mc_eid", "rts_source")
 
-# Schemes whose URLs are always written with "//" (WHATWG / RFC 3986 generic syntax).
+# Schemes whose URLs are always written with "//" (the list of Python's urllib.parse).
 HIERARCHICAL_SCHEMES = (
     "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp",
     "snews", "prospero", "rtsp", "rtsps", "rtspu", "rsync", "svn", "svn+ssh", "sftp", "nfs", "git",

@@ -12,11 +12,16 @@ def capture_availability(urls: DataFrame, captures: DataFrame, params: Params) -
     """`archived` per URL, three-valued.
 
     Only the latest capture counts. False: none, unavailable, or younger than the settling time (a fresh
-    one hides an older one). True also when its time is unknown. NULL: the check failed. One aggregate over
-    the index, combined on the map side; max(struct) also keeps a latest row without a timestamp."""
-    latest = captures.groupBy("norm_url").agg(
+    one hides an older one). True also when its time is unknown. NULL: the latest check failed. A row was checked at
+    `checked_at`, or else when it was captured; checks and captures after `as_of` do not exist yet. The index is cut to the
+    URLs asked for, then combined on the map side; max(struct) also keeps a latest row without a timestamp."""
+    checked = F.coalesce(F.col("checked_at"), F.col("captured_at"))
+    known = asked_for(urls, captures).filter(
+        F.coalesce(checked <= params.now(), F.lit(True)) & F.coalesce(F.col("captured_at") <= params.now(), F.lit(True))
+    )
+    latest = known.groupBy("norm_url").agg(
         F.max(F.when(~_failed(), F.struct("captured_at", "available"))).alias("last"),
-        F.max(_failed()).alias("failed"),
+        F.max(F.struct(checked.alias("checked"), _failed().alias("failed"))).alias("check"),
     )
     fresh = F.col("last.captured_at") > params.before(secs=params.settled_after_hours * 3600.0)
     return (
@@ -25,7 +30,7 @@ def capture_availability(urls: DataFrame, captures: DataFrame, params: Params) -
         .join(latest, "norm_url", "left")
         .select(
             "norm_url",
-            F.when(F.coalesce("failed", F.lit(False)), F.lit(None).cast("boolean"))
+            F.when(F.coalesce("check.failed", F.lit(False)), F.lit(None).cast("boolean"))
             .when(~F.coalesce(F.col("last.available"), F.lit(False)), F.lit(False))
             .otherwise(~F.coalesce(fresh, F.lit(False)))
             .alias("archived"),
@@ -33,6 +38,11 @@ def capture_availability(urls: DataFrame, captures: DataFrame, params: Params) -
     )
 
 
+def asked_for(urls: DataFrame, captures: DataFrame) -> DataFrame:
+    """The part of the index that answers for `urls`."""
+    return captures.join(urls.select("norm_url").distinct(), "norm_url", "left_semi")
+
+
 def _failed():
     return F.coalesce(F.col("check_failed"), F.lit(False))
 
@@ -40,7 +50,7 @@ def _failed():
 def recapture_needed(urls: DataFrame, captures: DataFrame, params: Params) -> DataFrame:
     """URLs without a capture inside the re-capture window that ends at as_of."""
     latest = (
-        captures.filter(F.col("captured_at") <= params.now())
+        asked_for(urls, captures.filter(F.col("captured_at") <= params.now()))
         .groupBy("norm_url")
         .agg(F.max("captured_at").alias("last_capture"))
     )

@@ -13,6 +13,7 @@ from feedtide.functions.urls import normalize_url
 from feedtide.operators.skew import join_dimension
 from feedtide.session import durable
 from feedtide.sources.fetches import SITEMAP_NAMESPACE, root_tag, scan_fetches, tag_name
+from feedtide.sources.registry import broken_patterns
 
 # RSS 2.0 keeps items under channel, RSS 1.0 next to it, Atom calls them entries. Prefixes are kept
 # (dc:date, media:title), so that extension elements cannot overwrite the feed's own.
@@ -213,8 +214,12 @@ def sitemap_frontier(fetches: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def url_pattern_filter(items: DataFrame, registry: DataFrame) -> DataFrame:
-    """E5: keep items whose URL starts with a match of their source's pattern; no pattern keeps all."""
+    """E5: keep items whose URL starts with a match of their source's pattern; no pattern keeps all. A source whose
+    pattern is no regular expression (S6 lists it) yields nothing; the others go on."""
     patterns = registry.select("source", "url_pattern")
+    broken = broken_patterns(registry)
+    if broken:
+        patterns = patterns.withColumn("url_pattern", F.when(F.col("url_pattern").isin(broken), F.lit("(?!)")).otherwise(F.col("url_pattern")))
     joined = join_dimension(items, patterns, ["source"], spread=["url"])
     anchored = F.concat(F.lit("^(?:"), F.col("url_pattern"), F.lit(")"))
     no_pattern = F.coalesce(F.col("url_pattern"), F.lit("")) == ""

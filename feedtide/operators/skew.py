@@ -3,7 +3,8 @@
 * `join_dimension`: join with a table holding one row per key. A table estimated below the broadcast
   threshold is joined as it is, and Spark broadcasts it. Any other table is salted: a hot key is spread over
   `SALTS` tasks, which AQE can split further.
-* `first_k_within`: the first k rows per group, cut down in salted sub-groups before the final ranking.
+* `first_k_within`: the first k rows per group. Up to GROUP_LIMIT they are cut down in salted sub-groups before
+  the shuffle; beyond it the rows are ranked by `rank_within` and cut by rank.
 * `rank_within`: exact row numbers of *all* rows of a group. One range-partitioned sort lays the rows out,
   blocks are counted, and the rank is the block's offset plus the position in the block. No task ever
   holds more than a block.
@@ -21,6 +22,7 @@ from feedtide.session import durable
 
 SALTS = 32
 BLOCK_BITS = 20
+GROUP_LIMIT = 1000  # Spark's default bound for cutting groups below a shuffle
 
 
 def _salt(columns: Sequence[str]) -> Column:
@@ -65,8 +67,13 @@ def first_k_within(
     spread: Sequence[str],
     name: str = "k",
 ) -> DataFrame:
-    """Rows numbered 1..k per group. Both filters become Spark's WindowGroupLimit, so rows beyond the
-    k-th are dropped before they are shuffled."""
+    """Rows numbered 1..k per group; `order` must be total within a group.
+
+    For k up to GROUP_LIMIT both filters become Spark's WindowGroupLimit, so rows beyond the k-th are dropped before they are
+    shuffled. Spark does not do so for larger k, and a window would then gather whole groups: such rows are ranked over one
+    range-partitioned sort, in which a hot group is spread over many tasks."""
+    if k > GROUP_LIMIT:
+        return rank_within(rows, groups, order, name).filter(F.col(name) <= k)
     salted = Window.partitionBy(*groups, "_salt").orderBy(*order)
     final = Window.partitionBy(*groups).orderBy(*order)
     return (

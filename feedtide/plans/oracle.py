@@ -288,19 +288,25 @@ _CAPTURES = f"""
 capture AS (
   SELECT 'https://example.org/u/' || o_custkey AS norm_url,
     CASE WHEN o_orderkey % 37 <> 0 THEN o_orderdate END AS captured_at, o_orderstatus <> 'F' AS available,
-    o_orderkey % 50 = 0 AS check_failed
+    o_orderkey % 50 = 0 AS check_failed, o_orderdate AS checked_at
   FROM orders),
+known AS (
+  SELECT * FROM capture WHERE checked_at <= {_CAP_AS_OF} AND coalesce(captured_at <= {_CAP_AS_OF}, true)),
 newest AS (
   SELECT norm_url, captured_at, available,
     row_number() OVER (PARTITION BY norm_url ORDER BY captured_at DESC NULLS LAST, available DESC) AS rn
-  FROM capture WHERE NOT check_failed),
+  FROM known WHERE NOT check_failed),
+latest_check AS (
+  SELECT norm_url, check_failed,
+    row_number() OVER (PARTITION BY norm_url ORDER BY checked_at DESC, check_failed DESC) AS rn
+  FROM known),
 checked AS (
   SELECT u.norm_url,
     CASE WHEN f.norm_url IS NOT NULL THEN NULL
          WHEN n.norm_url IS NULL OR NOT n.available THEN false
          WHEN n.captured_at > {_CAP_AS_OF} - INTERVAL 5 HOUR THEN false ELSE true END AS archived
   FROM (SELECT DISTINCT norm_url FROM capture) u
-  LEFT JOIN (SELECT DISTINCT norm_url FROM capture WHERE check_failed) f USING (norm_url)
+  LEFT JOIN (SELECT norm_url FROM latest_check WHERE rn = 1 AND check_failed) f USING (norm_url)
   LEFT JOIN (SELECT * FROM newest WHERE rn = 1) n USING (norm_url))
 """
 

@@ -23,7 +23,7 @@ SEEN = (
     "norm_url STRING, first_seen TIMESTAMP, job_id STRING, status STRING, attempts BIGINT, "
     "last_checked TIMESTAMP, last_seq BIGINT, last_kind STRING, last_retryable BOOLEAN, job_seq BIGINT"
 )
-CAPTURES = "norm_url STRING, captured_at TIMESTAMP, available BOOLEAN, check_failed BOOLEAN"
+CAPTURES = "norm_url STRING, captured_at TIMESTAMP, available BOOLEAN, check_failed BOOLEAN, checked_at TIMESTAMP"
 FEED_SNAPSHOTS = "run_id STRING, source STRING, norm_url STRING"
 FEED_RUN_STATS = (
     "run_id STRING, source STRING, ts TIMESTAMP, item_count BIGINT, new_count BIGINT, "

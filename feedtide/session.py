@@ -33,11 +33,19 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+def is_local(master: str) -> bool:
+    """local, local[...]; local-cluster runs executors of their own."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only where it is unset (tests) is a local one made."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; on a cluster,
+    whose machines do not share one, that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not is_local(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="feedtide-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 

@@ -7,6 +7,8 @@ Logs are appended, partitioned by day so that retention and reports prune.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,17 +76,25 @@ def write_state(df: DataFrame, root: str, key: str, version: int | None = None)
     return version
 
 
-def append_log(df: DataFrame, root: str) -> None:
+def append_log(df: DataFrame, root: str, entry: str | None = None) -> None:
     """Append rows with a `ts` to a log, one directory per day. One shuffle keeps the number of files
-    per day small without sending a day to a single task."""
+    per day small without sending a day to a single task.
+
+    With `entry` (the run's id; for all rows of a log or none) the rows are one entry of the log: writing it again replaces it, so a repeated job does
+    not double its rows."""
     dated = df.withColumn("run_date", F.to_date("ts"))
-    dated.repartition("run_date", F.pmod(F.xxhash64(*df.columns), F.lit(32))).write.mode(
-        "append"
-    ).partitionBy("run_date").parquet(root)
+    folder, mode = (root, "append") if entry is None else (f"{root}/entry={quote(entry, safe='')}", "overwrite")
+    dated.repartition("run_date", F.pmod(F.xxhash64(*df.columns), F.lit(32))).write.mode(mode).partitionBy("run_date").parquet(folder)
 
 
-def scan_log(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """S3 for logs."""
+def scan_log(spark: SparkSession, root: str, schema: str, since: str | None = None) -> DataFrame:
+    """S3 for logs: the rows that were appended, from day `since` (YYYY-MM-DD) on. Only the folders of these days are read."""
     if not _exists(spark, root):
-        return spark.createDataFrame([], f"{schema}, run_date DATE")
-    return spark.read.schema(f"{schema}, run_date DATE").parquet(root)
+        return spark.createDataFrame([], schema)
+    fs, path = _file_system(spark, root)
+    entries = any(s.getPath().getName().startswith("entry=") for s in fs.listStatus(path))
+    extra = "entry STRING, run_date DATE" if entries else "run_date DATE"
+    rows = spark.read.schema(f"{schema}, {extra}").parquet(root)
+    if since is not None:
+        rows = rows.filter(F.col("run_date") >= F.lit(since).cast("date"))
+    return rows.drop("run_date", "entry")

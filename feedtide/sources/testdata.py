@@ -450,4 +450,5 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 37 != 0, _utc(F.col("o_orderdate"))).alias("captured_at"),
         (F.col("o_orderstatus") != "F").alias("available"),
         (F.col("o_orderkey") % 50 == 0).alias("check_failed"),
+        _utc(F.col("o_orderdate")).alias("checked_at"),
     )

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, SQL = entry_module.CATALOG, entry_module.ORACLE
 
 
 def cell(value):
@@ -62,8 +62,9 @@ def test_plans_stay_in_the_jvm(frame_of, name):
         assert "Python" not in plan and "InPandas" not in plan
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(SQL) <= set(entry_module.oracle_sql())
 
 
 def test_entry(spark):

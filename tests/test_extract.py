@@ -2,6 +2,7 @@ import pytest
 from helpers import make, values
 
 from feedtide.operators import extract
+from feedtide.sources.registry import registry_violations
 from feedtide.sources.fetches import fetch_failures, scan_fetches
 
 NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
@@ -137,3 +138,11 @@ def test_discover_all(fetches, registry):
     found = extract.discover(fetches, registry)
     counts = {r["source"]: r["count"] for r in found.groupBy("source").count().collect()}
     assert counts == {"rss": 3, "atom": 2, "rdf": 1, "map": 1, "prefixed": 1, "index": 3}
+
+
+def test_a_broken_pattern_stops_only_its_source(spark):
+    registry = make(spark, "REGISTRY", dict(source="a", url_pattern="("), dict(source="b", url_pattern="http://x/[0-9]"), dict(source="c"))
+    items = make(spark, "DISCOVERED", *[dict(source=s, url="http://x/1") for s in "abc"])
+    assert values(extract.url_pattern_filter(items, registry), "source") == [("b",), ("c",)]
+    raw = make(spark, "RAW_REGISTRY", dict(source_ord=1, name="a", type="sitemap", url="u", url_pattern="("), dict(source_ord=2, name="b", type="rss", url="u", url_pattern="x+"))
+    assert values(registry_violations(raw), "source_ord", "rule") == [(1, "invalid_pattern")]

@@ -149,3 +149,21 @@ def test_purges(spark):
     assert purged_seen_count(seen, params).first().purged == 2
     log = make(spark, "DROPPED_URLS", dict(norm_url="a", ts=at("2024-01-21T00:00:00")), dict(norm_url="b", ts=at("2024-01-20T00:00:00")))
     assert values(purge_by_time(log, params), "norm_url") == [("a",)]
+
+
+def test_a_failed_check_passes_and_later_captures_do_not_exist_yet(spark):
+    index = make(
+        spark, "CAPTURES",
+        dict(norm_url="u", captured_at=at("2023-01-01T00:00:00"), available=True),
+        dict(norm_url="u", check_failed=True, checked_at=at("2022-01-01T00:00:00")),
+        dict(norm_url="v", captured_at=at("2023-01-01T00:00:00"), available=True),
+        dict(norm_url="v", captured_at=at("2025-01-01T00:00:00"), available=False),
+        dict(norm_url="w", captured_at=at("2023-01-01T00:00:00"), available=True),
+        dict(norm_url="w", check_failed=True, checked_at=at("2023-06-01T00:00:00")),
+        dict(norm_url="other", captured_at=at("2023-01-01T00:00:00"), available=True),
+    )
+    urls = index.filter("norm_url != 'other'").select("norm_url")
+    found = cap.capture_availability(urls, index, Params(as_of="2024-01-01T00:00:00Z"))
+    assert by(found, "norm_url", "archived") == {"u": True, "v": True, "w": None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")  # the index is cut below its aggregate

@@ -88,48 +88,55 @@ def test_plan_captures_end_to_end(spark):
     assert values(plan, "slot", "norm_url", "minute") == [(1, "https://a/1", 0), (2, "https://a/0", 1)]
 
 
-def greedy(queues, exhaustive, reserved, capacity):
-    """Brute force: pick one source after another by the rules, in order of the sources."""
-    names, done, picked, last = list(queues), {s: 0 for s in queues}, [], -1
-    while len(picked) < capacity and any(done[s] < queues[s] for s in names):
-        turn = sorted(range(len(names)), key=lambda i: (i <= last, i))
-        left = [i for i in turn if done[names[i]] < queues[names[i]]]
-        short = [i for i in left if done[names[i]] < reserved]
-        if short:
-            best = short[0]
-        else:
-            pool = [i for i in left if not exhaustive[names[i]]] or left
-            best = min(pool, key=lambda i: done[names[i]] / queues[names[i]])
-        picked.append((names[best], done[names[best]] + 1))
-        done[names[best]] += 1
-        last = best
-    return picked
-
-
-def test_plan_equals_brute_force(spark):
+def check_plan(plan, queues, exhaustive, reserved, capacity):
+    """The rules, stated as properties of a finished plan [(source, k)]; sources take turns by name."""
+    assert len(plan) == min(capacity, sum(queues.values()))
+    for s in queues:
+        mine = [k for source, k in plan if source == s]
+        assert mine == list(range(1, len(mine) + 1)), "a queue is served from its front"
+    floor = {(s, k) for s, n in queues.items() for k in range(1, min(reserved, n) + 1)}
+    assert set(plan[: len(floor)]) == floor if capacity >= len(floor) else set(plan) <= floor
+    assert [k for _, k in plan[: len(floor)]] == sorted(k for _, k in plan[: len(floor)]), "the floor goes round by round"
+    rest = plan[len(floor) :]
+    late = [exhaustive[s] for s, _ in rest]
+    assert late == sorted(late), "exhaustive sources come last"
+    for tier in (False, True):
+        shares = [(k - 1) / queues[s] for s, k in rest if exhaustive[s] == tier]
+        assert shares == sorted(shares), "each slot has the smallest share left"
+    if len(plan) < sum(queues.values()) and rest:
+        s, k = rest[-1]
+        waiting = [(exhaustive[o], done / n) for o, n in queues.items() if (done := sum(x == o for x, _ in plan)) < n]
+        assert min(waiting) >= (exhaustive[s], (k - 1) / queues[s]), "what waits has no smaller share"
+    names = sorted(queues)
+    start = 0
+    while start < len(plan):  # equal shares: the turn goes on after the source served last
+        same = lambda i: (i < len(floor), plan[i][1] if i < len(floor) else (exhaustive[plan[i][0]], (plan[i][1] - 1) / queues[plan[i][0]]))
+        end = start
+        while end < len(plan) and same(end) == same(start):
+            end += 1
+        last = names.index(plan[start - 1][0]) if start else -1
+        turns = [(names.index(s) - last - 1) % len(names) for s, _ in plan[start:end]]
+        assert turns == sorted(turns), "ties take turns"
+        start = end
+
+
+def test_random_plans_keep_the_rules(spark):
     """Many random cases at once: each is one run_id of the same tables."""
     rnd = random.Random(11)
-    rows, expected, reserved, capacity = [], {}, 1, 9
+    rows, cases, capacity = [], {}, 9
     flags = {f"s{i}": i in (1, 4) for i in range(6)}
     for case in range(150):
-        queues = {s: rnd.randint(1, 7) for s in sorted(rnd.sample(sorted(flags), rnd.randint(1, 6)))}
         run = f"case{case:03d}"
-        expected[run] = greedy(queues, flags, reserved, capacity)
-        for s, size in queues.items():
+        cases[run] = {s: rnd.randint(1, 7) for s in sorted(rnd.sample(sorted(flags), rnd.randint(1, 6)))}
+        for s, size in cases[run].items():
             rows += [item(s, n, None, url=f"{run}/{s}/{n}", ord=int(s[1]), run=run) for n in range(size)]
     items, flagged = make(spark, "DISCOVERED", *rows), registry(spark, **flags)
-    for chosen in (params(reserved=reserved), params(reserved=0), params(reserved=3)):
-        plan = planning.capture_plan(items, flagged, chosen, capacity)
-        found = {}
-        for r in plan.orderBy("run_id", "slot").collect():
-            found.setdefault(r.run_id, []).append((r.source, r.k))
-        if chosen.reserved_per_source != reserved:
-            sizes = {}
-            for r in rows:
-                sizes.setdefault(r["run_id"], {}).setdefault(r["source"], 0)
-                sizes[r["run_id"]][r["source"]] += 1
-            expected = {run: greedy(q, flags, chosen.reserved_per_source, capacity) for run, q in sizes.items()}
-        assert found == expected
+    for reserved in (1, 0, 3):
+        found = {run: [] for run in cases}
+        for r in planning.capture_plan(items, flagged, params(reserved=reserved), capacity).orderBy("run_id", "slot").collect():
+            found[r.run_id].append((r.source, r.k))
+        for run, queues in cases.items():
+            check_plan(found[run], queues, flags, reserved, capacity)
 
 
 def test_hot_source_rank_is_exact_over_many_blocks(spark):
@@ -154,6 +161,15 @@ def test_first_k_is_exact_and_limited_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 4
 
 
+def test_first_k_beyond_the_group_limit_sends_no_group_to_one_task(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "b").otherwise("hot").alias("g"), F.pmod(F.xxhash64("id"), F.lit(997)).alias("v"), "id")
+    top = first_k_within(rows, ["g"], [F.col("v").asc(), F.col("id").asc()], 3000, spread=["id"])
+    pdf = rows.toPandas().sort_values(["g", "v", "id"])
+    assert [r.id for r in top.orderBy("g", "k").collect()] == pdf[pdf.groupby("g").cumcount() < 3000]["id"].tolist()
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(g" not in plan.replace("hashpartitioning(g#0, _block", "") or "_block" in plan
+
+
 def test_salted_join_equals_plain_join(spark, no_broadcast):
     rows = spark.range(500).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(1)).alias("key"))
     table = spark.range(0, 500, 5).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))

@@ -2,7 +2,7 @@ import pytest
 from helpers import at, make, values
 
 from feedtide import schemas
-from feedtide.session import fresh_path, shared_folder
+from feedtide.session import fresh_path, is_local, shared_folder
 from feedtide.sources import state
 
 
@@ -44,11 +44,37 @@ def test_log_is_appended_by_day(spark, tmp_path):
         state.append_log(make(spark, "DROPPED_URLS", dict(ts=at(f"2024-01-0{day}T10:00:00"), norm_url=str(day))), root)
     log = state.scan_log(spark, root, schemas.DROPPED_URLS)
     assert values(log, "norm_url") == [("1",), ("2",)]
-    pruned = log.filter("run_date >= '2024-01-02'")
+    pruned = state.scan_log(spark, root, schemas.DROPPED_URLS, since="2024-01-02")
     assert "PartitionFilters: [isnotnull(run_date" in pruned._jdf.queryExecution().executedPlan().toString()
     assert pruned.count() == 1
 
 
+def test_a_repeated_entry_replaces_itself(spark, tmp_path):
+    root = str(tmp_path / "dropped")
+    for run, urls in (("r/1", "ab"), ("r2", "c"), ("r/1", "a")):
+        state.append_log(make(spark, "DROPPED_URLS", *[dict(ts=at("2024-01-01T10:00:00"), norm_url=u, run_id=run) for u in urls]), root, entry=run)
+    log = state.scan_log(spark, root, schemas.DROPPED_URLS)
+    assert values(log, "norm_url", "run_id") == [("a", "r/1"), ("c", "r2")]
+    new = make(spark, "DROPPED_URLS", dict(ts=at("2024-01-02T10:00:00"), norm_url="d", run_id="r3"))
+    assert log.unionByName(new).count() == 3  # what is read composes with new rows
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+    assert is_local("local[*]") and is_local("local") and not is_local("local-cluster[2,1,1024]")
+
+
 def test_shared_folder_is_stable(spark):
     assert shared_folder(spark) == shared_folder(spark)
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
