@@ -314,8 +314,9 @@ def events_as_read(rows: DataFrame) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream: one file, or a folder of files that are read one per batch."""
-    raw = spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet")
+    """The events table as a stream: one file, or a folder of files that are read one per batch. The pattern matches that name
+    alone; without a pattern a stream accepts folders only."""
+    raw = spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events[.]parquet")
     return events_as_read(raw)
 
 
