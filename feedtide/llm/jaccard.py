@@ -9,6 +9,9 @@ similarity 0.75 must meet): no pair is lost, and a tree compares only documents
 Texts with equal sets are one class. First each class is compared with the smallest class of its lists, which joins groups of copies
 into stars; then the trees look for links between classes that are still in different components. So a group of n near copies costs
 n comparisons, not n^2, and every link between components is found.
+
+A pair that passes is bounded once more by finer points, whose number of groups grows with the set (at most PER_GROUP shingles a group
+on average), before any text is fetched for it.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from feedtide.llm.common import documents, store, text_or_empty
 from feedtide.llm.components import components
 from feedtide.llm.shingles import mixed, shingle_set, word_hasher
 
-GROUPS = 64
+GROUPS = 64  # of a point in a tree; a power of 2
+PER_GROUP = 4  # shingles in a group of a finer point, on average and at most
 COUNTERS = 1 << 17  # of shingles by hash: shows which ones are frequent
 FREQUENT = 8.0  # standard deviations above the mean counter
 FAN = 16  # entries of a tree node
@@ -41,36 +45,60 @@ def class_of(shingles: np.ndarray) -> int:
 
 def point_of(shingles: np.ndarray) -> np.ndarray:
     """uint32 counts: a group is the top bits of the hash."""
-    return np.bincount((shingles >> np.uint64(64 - GROUPS.bit_length() + 1)).astype(np.int64), minlength=GROUPS).astype("<u4")
+    return counts_of(shingles, GROUPS).astype("<u4")
+
+
+def counts_of(shingles: np.ndarray, groups: int) -> np.ndarray:
+    """How many shingles fall in each of `groups` groups, a power of 2. Groups 2 i and 2 i + 1 are group i of half as many."""
+    return np.bincount((shingles >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
+def fine_groups(n: int) -> int:
+    """Groups of the finer point of n shingles: a power of 2, GROUPS at least."""
+    return max(GROUPS, 1 << (-(-n // PER_GROUP) - 1).bit_length())
+
+
+def fine_point(shingles: np.ndarray) -> bytes:
+    """Counts in bytes, or in four bytes each if one of them needs more."""
+    counts = counts_of(shingles, fine_groups(len(shingles)))
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def fine_overlap(p: bytes, n: int, q: bytes, m: int) -> int:
+    """Upper bound on the overlap of sets of n and m shingles by their finer points: the sum of minima in the coarser groups of the two."""
+    a, b = (np.frombuffer(x, dtype="u1" if len(x) == fine_groups(k) else "<u4") for x, k in ((p, n), (q, m)))
+    groups = min(len(a), len(b))
+    return int(np.minimum(a.reshape(groups, -1).sum(axis=1), b.reshape(groups, -1).sum(axis=1)).sum())
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, class, n_shingles, point for each document, and bucket, hits: how many shingles of all documents fall on a counter."""
+    """doc_id, class, n_shingles, point, fine for each document, and bucket, hits: how many shingles of all documents fall on a counter."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counters = word_hasher(), np.zeros(COUNTERS, dtype=np.int64)
 
-        def emit(ids: list, classes: list, sizes: list, points: list, buckets: list, hits: list) -> pa.RecordBatch:
-            arrays = [pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()), pa.array(buckets, pa.int32()), pa.array(hits, pa.int64())]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "class", "n_shingles", "point", "bucket", "hits"])
+        def emit(ids: list, classes: list, sizes: list, points: list, fine: list, buckets: list, hits: list) -> pa.RecordBatch:
+            arrays = [pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.array(buckets, pa.int32()), pa.array(hits, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "class", "n_shingles", "point", "fine", "bucket", "hits"])
 
         for batch in batches:
-            classes, sizes, points, seen = [], [], [], [np.zeros(0, dtype=np.uint64)]
+            classes, sizes, points, fine, seen = [], [], [], [], [np.zeros(0, dtype=np.uint64)]
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(words(text))
                 seen.append(shingles)
                 classes.append(class_of(shingles) if len(shingles) else None)
                 sizes.append(len(shingles))
                 points.append(point_of(shingles).tobytes())
+                fine.append(fine_point(shingles))
             counters += np.bincount((np.concatenate(seen) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             none = [None] * len(sizes)
-            yield emit(batch.column(0).to_pylist(), classes, sizes, points, none, none)
+            yield emit(batch.column(0).to_pylist(), classes, sizes, points, fine, none, none)
         some = np.flatnonzero(counters)
         none = [None] * len(some)
-        yield emit(none, none, none, none, some.tolist(), counters[some].tolist())
+        yield emit(none, none, none, none, none, some.tolist(), counters[some].tolist())
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary"))
-    return rows.mapInArrow(profile, "doc_id bigint, class bigint, n_shingles bigint, point binary, bucket int, hits bigint")
+    return rows.mapInArrow(profile, "doc_id bigint, class bigint, n_shingles bigint, point binary, fine binary, bucket int, hits bigint")
 
 
 def frequent_counters(profiled: DataFrame) -> np.ndarray:
@@ -148,17 +176,18 @@ def tree_join(key: np.ndarray, side: np.ndarray, group: np.ndarray, size: np.nda
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets have a similarity of 0.75 or more: first by their points, then by their texts."""
-    side = lambda c: classes.select(F.col("class").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("point").alias(f"point_{c}"))
+    """The pairs (a, b) of classes whose sets have a similarity of 0.75 or more: first by their finer points, then by their texts."""
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.array([np.frombuffer(x, dtype="<u4") for x in batch.column(c).to_pylist()], dtype=np.int64).reshape(-1, GROUPS) for c in ("point_a", "point_b"))
-            ok = _enough(np.minimum(p, q).sum(axis=1), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            p, n, q, m = (batch.column(c).to_pylist() for c in ("fine_a", "n_a", "fine_b", "n_b"))
+            most = np.fromiter(map(fine_overlap, p, n, q, m), dtype=np.int64, count=len(p))
+            ok = _enough(most, np.array(n, dtype=np.int64), np.array(m, dtype=np.int64))
             yield batch.select(["a", "b", "rep_a", "rep_b"]).filter(pa.array(ok))
 
     near = store(
-        pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "point_a", "point_b").mapInArrow(bound, "a bigint, b bigint, rep_a bigint, rep_b bigint"),
+        pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(bound, "a bigint, b bigint, rep_a bigint, rep_b bigint"),
         "jaccard-near",
     )
     # texts of the documents in question: a table of hash buckets, at most BUCKETS rows, keeps the others out of the shuffle
@@ -237,9 +266,9 @@ def link(docs: DataFrame) -> DataFrame:
     rows are kept. Other columns are not looked at. An empty table gives an empty result.
     """
     profiled = store(profiles(docs), "jaccard-profiles")
-    rows = profiled.filter("n_shingles is not null").select("doc_id", "class", "n_shingles", "point")
+    rows = profiled.filter("n_shingles is not null").select("doc_id", "class", "n_shingles", "point", "fine")
     classes = store(
-        rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("point").alias("point")),
+        rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("point").alias("point"), F.min("fine").alias("fine")),
         "jaccard-classes",
     )
     dealt = postings(docs, frequent_counters(profiled)).repartition("token")  # both uses below read this one exchange

@@ -160,3 +160,16 @@ def test_words_are_split_and_lowered_as_stated():
     assert (hashes("Ab\x0bÉ x\r\ncd".encode()) == hashes("aB É x CD".encode())).all()
     assert len(hashes("Ab\x0bÉ x\r\ncd".encode())) == 3
     assert hashes("É".encode()) != hashes("é".encode())
+
+
+def test_finer_points_bound_the_overlap():
+    rng = np.random.default_rng(4)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    base = draw(3000)
+    crowded = np.arange(1000, dtype=np.uint64)  # all in one group: counts beyond a byte
+    sets = [base, base[:2400], np.union1d(base[:2600], draw(300)), draw(3000), draw(40), base[:60], crowded, crowded[:800], base[:0]]
+    for a, b in itertools.product(sets, sets):
+        most = jaccard.fine_overlap(jaccard.fine_point(a), len(a), jaccard.fine_point(b), len(b))
+        assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+    unlike = jaccard.fine_overlap(jaccard.fine_point(base), len(base), jaccard.fine_point(sets[3]), len(sets[3]))
+    assert 7 * unlike < 3 * (len(base) + len(sets[3]))  # and tells unlike texts of any length apart
