@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from feedtide.llm.harmonic import op12_harmonic_packing
 from feedtide.llm.jaccard import op9_jaccard_join
 from feedtide.llm.mixing import op3_mix_sources
 from feedtide.llm.neighbours import op7_multi_index
@@ -15,6 +16,9 @@ from feedtide.llm.warc import op8_warc
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_token_counts, op3_mix_sources, op4_best_fit_packing, op5_order_minhash, op6_toxicity, op7_multi_index, op8_warc, op9_jaccard_join, op10_histogram_sort)
+    for f in (
+        op1_substring_dedup, op2_token_counts, op3_mix_sources, op4_best_fit_packing, op5_order_minhash, op6_toxicity, op7_multi_index, op8_warc,
+        op9_jaccard_join, op10_histogram_sort, op12_harmonic_packing,
+    )
 }
 SQL: dict[str, str] = {}
