@@ -77,3 +77,24 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c
 LEFT JOIN totals t ON c.conv_id IS NOT DISTINCT FROM t.conv_id
 LEFT JOIN best b ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.left_rows = 0
 """
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH = f"""
+WITH asked AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE item_id IS NOT NULL
+), texts AS (
+  SELECT row_number() OVER () AS place, doc_id, {_TERMS} AS terms FROM documents
+), sizes AS (
+  SELECT count_if(len(terms) > 0)::BIGINT AS n_documents, sum(len(terms))::BIGINT AS n_terms FROM texts
+), counted AS (
+  SELECT place, doc_id, n, term, count(*) AS tf
+  FROM (SELECT place, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM texts) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weighed AS (
+  SELECT term, floor(1000 * ln((2.0 * n_documents + 2)::DOUBLE / (2.0 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, sizes GROUP BY term, n_documents
+), scored AS (
+  SELECT item_id, place, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_documents) // n_terms))))::BIGINT AS score
+  FROM counted JOIN asked USING (term) JOIN weighed USING (term), sizes GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
