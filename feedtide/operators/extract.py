@@ -12,7 +12,7 @@ from feedtide.functions.dates import feed_date, feed_date_text
 from feedtide.functions.urls import normalize_url
 from feedtide.operators.skew import join_dimension
 from feedtide.session import durable
-from feedtide.sources.fetches import SITEMAP_NAMESPACE, root_tag, scan_fetches, tag_name
+from feedtide.sources.fetches import SITEMAP_NAMESPACE, judged_documents, root_element, root_tag, scan_fetches, tag_name
 from feedtide.sources.registry import broken_patterns
 
 # RSS 2.0 keeps items under channel, RSS 1.0 next to it, Atom calls them entries. Prefixes are kept
@@ -213,6 +213,27 @@ def sitemap_frontier(fetches: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
+def complete_listings(fetches: DataFrame, registry: DataFrame) -> DataFrame:
+    """(run_id, source) of the runs that were read to the end: every document fetched for the source itself, and every child
+    that its indexes list, has a usable answer (see S2; a sitemap outside the sitemap namespace lists nothing and is not usable). A feed without items is usable; a cut, failed or missing document is
+    not, since the URLs it would have listed are unknown. An index below an index lists nothing and must only be usable.
+
+    Indexes alone are parsed for their children; the rest is two aggregates, so a source with very many children is combined on
+    the map side."""
+    keys = ["run_id", "source", "fetch_url"]
+    top = fetches.filter(F.col("parent_url").isNull())
+    indexes = document_rows(top.filter(root_element(F.col("body")) == "sitemapindex"))
+    needed = top.select(*keys).unionByName(index_children_of(indexes, registry).select(*keys))
+    says_something = F.col("reason").isNull() & ((F.col("type") != "sitemap") | F.col("in_namespace"))
+    usable = judged_documents(fetches, registry).filter(says_something).select(*keys)
+    marked = needed.withColumn("needed", F.lit(True)).withColumn("usable", F.lit(False)).unionByName(
+        usable.withColumn("needed", F.lit(False)).withColumn("usable", F.lit(True))
+    )
+    per_document = marked.groupBy(*keys).agg(F.bool_or("needed").alias("needed"), F.bool_or("usable").alias("usable"))
+    per_run = per_document.filter("needed").groupBy("run_id", "source").agg(F.bool_and("usable").alias("complete"))
+    return per_run.filter("complete").select("run_id", "source")
+
+
 def url_pattern_filter(items: DataFrame, registry: DataFrame) -> DataFrame:
     """E5: keep items whose URL starts with a match of their source's pattern; no pattern keeps all. A source whose
     pattern is no regular expression (S6 lists it) yields nothing; the others go on."""

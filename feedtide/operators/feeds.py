@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedtide.functions.status import drop_reason, is_archived_status, is_known_status
+from feedtide.operators.extract import complete_listings
 from feedtide.operators.skew import first_k_within, join_dimension
 from feedtide.params import Params
 
@@ -13,12 +14,13 @@ from feedtide.params import Params
 def feed_runs(fetches: DataFrame, registry: DataFrame, params: Params) -> DataFrame:
     """(run_id, source, ts, exhaustive) of the runs whose feed counts as read.
 
-    A failed fetch looks like an empty feed and would report everything as dropped. By default such a run
-    is skipped for its source and the previous snapshot stays; `ignore_failed_fetches=False` counts it."""
+    A feed that could not be read looks like an empty one and would report everything as dropped. By default a run counts
+    for its source only if its listing is complete (`extract.complete_listings`); otherwise it is skipped and the previous snapshot stays.
+    `ignore_failed_fetches=False` counts every run."""
     top = fetches.filter(F.col("parent_url").isNull())
-    if params.ignore_failed_fetches:
-        top = top.filter(F.col("http_status").between(200, 299))
     runs = top.groupBy("run_id", "source").agg(F.max("fetched_at").alias("ts"))
+    if params.ignore_failed_fetches:
+        runs = runs.join(complete_listings(fetches, registry), ["run_id", "source"], "left_semi")
     flags = registry.select("source", F.coalesce("exhaustive", F.lit(False)).alias("exhaustive"))
     return join_dimension(runs, flags, ["source"], spread=["run_id"], how="inner")
 

@@ -258,6 +258,20 @@ def feed_drops(s, d):
     return _drops(s, d)
 
 
+@query
+def feed_runs(s, d):
+    """Runs that count as read, by the documents fetched in them."""
+    return feeds.feed_runs(td.history_documents(s, d), td.history_registry(s, d), EVENTS)
+
+
+@query
+def document_drops(s, d):
+    """J4 from documents to losses: cut, failed and missing documents report nothing as dropped."""
+    fetches, registry = td.history_documents(s, d), td.history_registry(s, d)
+    runs = durable(feeds.feed_runs(fetches, registry, EVENTS))
+    return feeds.feed_drops(feeds.feed_snapshots(extract.discover(fetches, registry), runs), runs)
+
+
 @query
 def dropped_unarchived(s, d):
     return _lost(s, d)

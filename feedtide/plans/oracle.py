@@ -131,6 +131,22 @@ kept_map_rows AS (
              WHEN starts_with(host, 'm.') THEN regexp_matches(url, '^(?:[.]html)') ELSE true END)
 """
 
+_LISTINGS = f"""
+page AS (SELECT page_id, {_canonical("url")} AS norm_url, {_HOST} AS host, page_id // 200 AS chunk FROM pages),
+doc AS (SELECT host, chunk, min(page_id) % 6 AS fault FROM page GROUP BY host, chunk),
+history_run AS (SELECT n, '2024-01-0' || n AS run_id FROM range(1, 4) r(n)),
+read AS (
+  SELECT n, run_id, host, chunk, kind, fault = 4 AND n = 2 AS bare
+  FROM doc, history_run, (VALUES ('feed'), ('map')) k(kind)
+  WHERE n <> 2 OR fault IN (0, 4) OR (fault = 5 AND kind = 'feed')),
+snapshot AS (
+  SELECT DISTINCT n, run_id, host || '/' || chunk || ' ' || kind AS source, norm_url
+  FROM read JOIN page USING (host, chunk) WHERE NOT bare AND page_id % 4 + 1 >= n),
+successor AS (
+  SELECT run_id, host || '/' || chunk || ' ' || kind AS source,
+    lead(run_id) OVER (PARTITION BY host, chunk, kind ORDER BY n) AS next_run FROM read)
+"""
+
 _EVENTS = f"""
 event AS (SELECT event_id, ts, user_id, event_type, strftime(ts, '%Y-%m-%d') AS day FROM events),
 feed_item AS (
@@ -725,4 +741,18 @@ ORACLE: dict[str, str] = {
         _TOTALS,
     ),
 }
+ORACLE["feed_runs"] = _with(
+    """
+    SELECT run_id, host || '/' || chunk || ' ' || kind AS source, CAST(run_id AS TIMESTAMP) AS ts, false AS exhaustive FROM read
+    """,
+    _LISTINGS,
+)
+ORACLE["document_drops"] = _with(
+    """
+    SELECT next_run AS run_id, source, norm_url FROM snapshot JOIN successor USING (run_id, source)
+    WHERE next_run IS NOT NULL AND NOT EXISTS (
+      SELECT 1 FROM snapshot s WHERE s.run_id = next_run AND s.source = snapshot.source AND s.norm_url = snapshot.norm_url)
+    """,
+    _LISTINGS,
+)
 ORACLE["stream_discover"] = ORACLE["discover"]

@@ -12,6 +12,8 @@ from feedtide import schemas
 from feedtide.operators.skew import join_dimension
 
 SITEMAP_NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
+SITEMAP_ROOTS = ("urlset", "sitemapindex")
+FEED_ROOTS = ("rss", "RDF", "feed")
 
 _PROLOG = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*"
 
@@ -49,20 +51,31 @@ def is_malformed(body: Column) -> Column:
     return body.isNull() | (root_element(body) == "") | parsed["_corrupt_record"].isNotNull()
 
 
-def with_failure_reason(fetches: DataFrame, registry: DataFrame) -> DataFrame:
-    """Adds `reason`: http_error, malformed, unexpected_root, or NULL when the document is usable."""
+def judged_documents(fetches: DataFrame, registry: DataFrame) -> DataFrame:
+    """Fetches without their bodies, with `reason` (http_error, malformed, unexpected_root, or NULL when the document is usable)
+    and `in_namespace`: whether the start tag of the root mentions the sitemap namespace.
+
+    A document whose root is none of its type gives no item, which is not the same as a feed without items."""
     types = registry.select("source", "type")
     judged = fetches.withColumn(
         "_fault",
         F.when(~F.coalesce(F.col("http_status").between(200, 299), F.lit(False)), F.lit("http_error"))
         .when(is_malformed(F.col("body")), F.lit("malformed")),
-    ).withColumn("_root", F.when(F.col("_fault").isNull(), root_element(F.col("body"))))
+    ).withColumn("_tag", F.when(F.col("_fault").isNull(), root_tag(F.col("body"))))
     slim = judged.drop("body")
     typed = join_dimension(slim, types, ["source"], spread=["fetch_url"])
-    wrong_root = (F.col("type") == "sitemap") & ~F.col("_root").isin("urlset", "sitemapindex")
-    return typed.withColumn(
-        "reason", F.coalesce(F.col("_fault"), F.when(wrong_root, F.lit("unexpected_root")))
-    ).drop("_fault", "_root")
+    root = tag_name(F.col("_tag"))
+    wrong_root = F.when(F.col("type") == "sitemap", ~root.isin(*SITEMAP_ROOTS)).when(F.col("type") == "rss", ~root.isin(*FEED_ROOTS))
+    return (
+        typed.withColumn("reason", F.coalesce(F.col("_fault"), F.when(wrong_root, F.lit("unexpected_root"))))
+        .withColumn("in_namespace", F.contains("_tag", F.lit(SITEMAP_NAMESPACE)))
+        .drop("_fault", "_tag")
+    )
+
+
+def with_failure_reason(fetches: DataFrame, registry: DataFrame) -> DataFrame:
+    """Adds `reason`; see `judged_documents`."""
+    return judged_documents(fetches, registry).drop("in_namespace")
 
 
 def fetch_failures(fetches: DataFrame, registry: DataFrame) -> DataFrame:

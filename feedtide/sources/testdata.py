@@ -170,8 +170,8 @@ def _escaped(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
-def _document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (host, chunk of pages) with the bodies of its feed and its sitemap."""
+def _page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (host, chunk of pages) with each page's feed item and sitemap entry."""
     n = F.col("page_id")
     dated = n % 7 != 0
     mail_date = F.concat(F.date_format("page_ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
@@ -188,7 +188,7 @@ def _document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(dated, F.concat(F.lit("<lastmod>"), lastmod, F.lit("</lastmod>"))).otherwise(F.lit("")),
         F.lit("</url>"),
     )
-    parts = (
+    return (
         pages(spark, sf_dir)
         .select("host", F.floor(n / CHUNK).cast("bigint").alias("chunk"), "page_id", item.alias("item"), entry.alias("entry"))
         .groupBy("host", "chunk")
@@ -197,11 +197,20 @@ def _document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sort_array(F.collect_list(F.struct("page_id", "item", "entry"))).alias("parts"),
         )
     )
-    return parts.select(
-        "host", "chunk", "first",
-        F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>t</title>'), F.array_join("parts.item", ""), F.lit("</channel></rss>")).alias("feed"),
-        F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join("parts.entry", ""), F.lit("</urlset>")).alias("map"),
-    )
+
+
+def _feed_body(parts: Column) -> Column:
+    return F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>t</title>'), F.array_join(parts["item"], ""), F.lit("</channel></rss>"))
+
+
+def _map_body(parts: Column) -> Column:
+    return F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(parts["entry"], ""), F.lit("</urlset>"))
+
+
+def _document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (host, chunk of pages) with the bodies of its feed and its sitemap."""
+    parts = F.col("parts")
+    return _page_parts(spark, sf_dir).select("host", "chunk", "first", _feed_body(parts).alias("feed"), _map_body(parts).alias("map"))
 
 
 def _site(path: str) -> Column:
@@ -296,6 +305,62 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HISTORY_RUNS = ("2024-01-01", "2024-01-02", "2024-01-03")
+
+
+def history_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of `history_documents`: per (host, chunk) a feed and a sitemap index."""
+    columns = ["source", "type", "url", "url_pattern", "exhaustive", "source_ord"]
+    plain = document_registry(spark, sf_dir).withColumn("url_pattern", F.lit(None).cast("string")).withColumn("exhaustive", F.lit(False))
+    return plain.select(*columns)
+
+
+def history_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of feeds and sitemap indexes of two children. The second lists three quarters of the pages, the third a half. In
+    the second, by `first % 6`: 1 the feed is cut and a child not found, 2 the feed is a web page and a child was not fetched, 3 the feed
+    fails and a child is cut, 4 feed and index are empty, 5 the index is a web page."""
+    docs = _page_parts(spark, sf_dir)
+    fault = F.when(F.col("run_id") == HISTORY_RUNS[1], F.col("first") % 6).otherwise(F.lit(0))
+    run = F.explode(F.array(*[F.lit(r) for r in HISTORY_RUNS])).alias("run_id")
+    left = F.array_position(F.array(*[F.lit(r) for r in HISTORY_RUNS]), F.col("run_id"))  # pages with page_id % 4 + 1 below it are gone
+
+    def listed(which: Column, keep) -> Column:
+        return F.filter(which, lambda p: (p["page_id"] % 4 + 1 >= F.col("left")) & keep(p["page_id"]))
+
+    parts = F.col("parts")
+    rows = docs.select("host", "chunk", "first", "parts", run).withColumn("fault", fault).withColumn("left", left)
+    feed = _feed_body(listed(parts, lambda n: F.lit(True)))
+    even, odd = (_map_body(listed(parts, lambda n, r=r: n % 2 == r)) for r in (0, 1))
+    page = F.lit("<html><body>moved</body></html>")
+    head = F.lit('<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">')
+    children = F.concat(*[x for path in ("even", "odd") for x in (F.lit("<sitemap><loc>"), _site(path), F.lit("</loc></sitemap>"))])
+    index = F.when(F.col("fault") == 5, page).when(F.col("fault") == 4, F.concat(head, F.lit("</sitemapindex>"))).otherwise(
+        F.concat(head, children, F.lit("</sitemapindex>"))
+    )
+
+    def cut(body: Column) -> Column:
+        return F.substring(body, F.lit(1), F.length(body) - 12)
+
+    def document(kind: str, path: str, parent: Column, status: Column, body: Column) -> Column:
+        return F.struct(
+            _source_name(kind).alias("source"), (F.col("first") * 2 + int(kind == "map")).alias("source_ord"), _site(path).alias("fetch_url"),
+            parent.cast("string").alias("parent_url"), status.cast("int").alias("http_status"), body.alias("body"),
+        )
+
+    ok, fault = F.lit(200), F.col("fault")
+    feed_body = F.when(fault == 1, cut(feed)).when(fault == 2, page).when(fault == 4, _feed_body(F.filter(parts, lambda p: F.lit(False)))).otherwise(feed)
+    site = F.array(
+        document("feed", "feed", F.lit(None), F.when(fault == 3, 503).otherwise(ok), feed_body),
+        document("map", "index", F.lit(None), ok, index),
+        document("map", "even", _site("index"), ok, even),
+        F.when(fault != 2, document("map", "odd", _site("index"), F.when(fault == 1, 404).otherwise(ok), F.when(fault == 3, cut(odd)).otherwise(odd))),
+    )
+    return rows.select("run_id", F.explode(F.array_compact(site)).alias("doc")).select(
+        "run_id", "doc.source", "doc.source_ord", "doc.fetch_url", "doc.parent_url", "doc.http_status",
+        F.col("run_id").cast("timestamp").alias("fetched_at"), "doc.body",
+    )
+
+
 # --- from events --------------------------------------------------------------------------------
 
 

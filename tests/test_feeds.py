@@ -43,18 +43,64 @@ def test_exhaustive_sources_are_not_compared(spark):
     assert feeds.feed_snapshots(make(spark, "DISCOVERED", item("s", 1, run="d1")), runs).count() == 0
 
 
+RSS = '<rss version="2.0"><channel>%s</channel></rss>'
+NS = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+
+
+def doc(run, source="s", url="top", body=RSS % "<item><link>http://x/1</link></item>", status=200, parent=None):
+    return dict(run_id=run, source=source, fetch_url=url, parent_url=parent, http_status=status, fetched_at=at("2024-01-01T00:00:00"), body=body)
+
+
+def index(*children):
+    return f"<sitemapindex {NS}>" + "".join(f"<sitemap><loc>{c}</loc></sitemap>" for c in children) + "</sitemapindex>"
+
+
 def test_failed_fetch_policy(spark):
     registry = make(spark, "REGISTRY", dict(source="s", type="rss", exhaustive=False))
-    fetches = make(
-        spark, "FETCHES",
-        dict(run_id="d1", source="s", http_status=200), dict(run_id="d2", source="s", http_status=500),
-        dict(run_id="d3", source="s", http_status=200, parent_url="p"),
-    )
+    fetches = make(spark, "FETCHES", doc("d1"), doc("d2", status=500), doc("d3", parent="p"))
     assert values(feeds.feed_runs(fetches, registry, PARAMS), "run_id") == [("d1",)]
     parity = Params(as_of=PARAMS.as_of, ignore_failed_fetches=False)
     assert values(feeds.feed_runs(fetches, registry, parity), "run_id") == [("d1",), ("d2",)]
 
 
+def test_a_run_counts_only_if_its_whole_listing_was_read(spark):
+    registry = make(spark, "REGISTRY", dict(source="s", type="rss"), dict(source="m", type="sitemap"))
+    whole = f"<urlset {NS}><url><loc>http://x/1</loc></url></urlset>"
+    cases = {
+        "feed": [doc("feed")],
+        "no items": [doc("no items", body=RSS % "")],
+        "cut": [doc("cut", body="<rss><channel><item><link>http://x/1</link></item>")],
+        "page": [doc("page", body="<html><body/></html>")],
+        "nothing": [doc("nothing", body=None)],
+        "second try": [doc("second try", status=503), doc("second try")],
+        "map": [doc("map", "m", body=whole)],
+        "no namespace": [doc("no namespace", "m", body="<urlset><url><loc>http://x/1</loc></url></urlset>")],
+        "index": [doc("index", "m", body=index("a", "b"))] + [doc("index", "m", c, whole, parent="top") for c in "ab"],
+        "empty index": [doc("empty index", "m", body=index())],
+        "missing child": [doc("missing child", "m", body=index("a", "b")), doc("missing child", "m", "a", whole, parent="top")],
+        "failed child": [doc("failed child", "m", body=index("a")), doc("failed child", "m", "a", whole, 404, "top")],
+        "cut child": [doc("cut child", "m", body=index("a")), doc("cut child", "m", "a", whole[:-9], parent="top")],
+        "nested": [doc("nested", "m", body=index("a")), doc("nested", "m", "a", index("c"), parent="top")],
+        "child of another": [doc("child of another", "m", body=index("a")), doc("child of another", "s", "a", whole, parent="top")],
+    }
+    fetches = make(spark, "FETCHES", *[d for docs in cases.values() for d in docs])
+    found = {r for (r,) in values(feeds.feed_runs(fetches, registry, PARAMS), "run_id")}
+    assert found == {"feed", "no items", "second try", "map", "index", "empty index", "nested"}
+    parity = Params(as_of=PARAMS.as_of, ignore_failed_fetches=False)
+    assert feeds.feed_runs(fetches, registry, parity).count() == len(cases)
+
+
+def test_a_cut_feed_loses_nothing_and_an_empty_one_everything(spark):
+    from feedtide.operators.extract import discover
+
+    registry = make(spark, "REGISTRY", dict(source="s", type="rss"))
+    items = "".join(f"<item><link>http://x/{k}</link></item>" for k in range(3))
+    for middle, lost in ((RSS[:-12] % items[:20], []), (RSS % "", [("d2", f"http://x/{k}") for k in range(3)])):
+        fetches = make(spark, "FETCHES", doc("d1", body=RSS % items), doc("d2", body=middle), doc("d3", body=RSS % items))
+        runs = feeds.feed_runs(fetches, registry, PARAMS)
+        assert values(feeds.feed_drops(feeds.feed_snapshots(discover(fetches, registry), runs), runs), "run_id", "norm_url") == lost
+
+
 def test_reasons(spark):
     statuses = ["error", "error_retry", "pending", "success", "already_archived", "odd"]
     seen = make(spark, "SEEN", *[dict(norm_url=s, status=s) for s in statuses])
