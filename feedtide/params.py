@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 from dataclasses import dataclass
 
@@ -65,5 +66,10 @@ class Params:
     def before(self, **interval: float) -> Column:
         return self.now() - F.make_interval(**{unit: F.lit(n) for unit, n in interval.items()})
 
+    def first_day(self) -> str:
+        """The day that retention begins on, as YYYY-MM-DD."""
+        now = dt.datetime.fromisoformat(self.as_of.replace("Z", "+00:00"))
+        return (now - dt.timedelta(days=self.retention_days)).date().isoformat()
+
     def retention_cutoff(self) -> Column:
         return self.before(days=self.retention_days)

@@ -1,14 +1,21 @@
-"""One whole run over tables: discovery, comparison, fold, plan, statistics and retention."""
+"""One whole run over tables: discovery, comparison, fold, plan, statistics and retention.
+
+`before_capture` and `after_capture` go from frames to frames. `open_run` and `close_run` do the same over state that is stored in a
+folder: `seen`, `snapshots` and `dropped` are versioned state, `stats` and `history` are logs with one entry per run. Everything is
+written in the name of the run, so a run that is started again reads what it read before and changes nothing that it has finished.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedtide import schemas
 from feedtide.operators import captures, extract, feeds, lookup, outcomes, planning, retention
 from feedtide.operators.skew import without_keys
 from feedtide.params import Params
 from feedtide.session import durable
+from feedtide.sources.state import append_log, purge_log, scan_log, scan_state, write_state
 
 
 def before_capture(inputs: dict[str, DataFrame], params: Params) -> dict[str, DataFrame]:
@@ -91,3 +98,38 @@ def run_batch(inputs: dict[str, DataFrame], params: Params) -> dict[str, DataFra
     state after it, with what was discovered, lost and planned."""
     opened = before_capture(inputs, params)
     return {**opened, **after_capture(opened, inputs, inputs["outcomes"], params)}
+
+
+KEYED = {"seen": schemas.SEEN, "snapshots": schemas.FEED_SNAPSHOTS, "dropped": schemas.DROPPED_URLS}
+LOGGED = {"stats": schemas.FEED_RUN_STATS, "history": schemas.RUN_HISTORY}
+
+
+def stored_inputs(root: str, run_id: str, given: dict[str, DataFrame], params: Params) -> dict[str, DataFrame]:
+    """The inputs of `before_capture`: `given` (registry, fetches, answers, captures) and the state as it was before this run."""
+    spark = given["fetches"].sparkSession
+    first_day = params.first_day()
+    state = {name: scan_state(spark, f"{root}/{name}", schema, writer=run_id) for name, schema in KEYED.items()}
+    logs = {name: scan_log(spark, f"{root}/{name}", schema, since=first_day, without=run_id) for name, schema in LOGGED.items()}
+    return {**given, **logs, "seen": state["seen"], "dropped": state["dropped"], "previous_snapshots": state["snapshots"]}
+
+
+def open_run(root: str, run_id: str, given: dict[str, DataFrame], params: Params) -> dict[str, DataFrame]:
+    """First half of a run over stored state. The plan is also written to `plans/run=<run_id>` for the capture system."""
+    opened = before_capture(stored_inputs(root, run_id, given, params), params)
+    opened["plan"].write.mode("overwrite").parquet(f"{root}/plans/run={run_id}")
+    return opened
+
+
+def close_run(root: str, run_id: str, given: dict[str, DataFrame], log: DataFrame, params: Params, opened: dict[str, DataFrame] | None = None) -> None:
+    """Second half, once `log` holds the outcomes. A job of its own computes the first half again from the same state; within one job
+    `opened` saves that."""
+    inputs = stored_inputs(root, run_id, given, params)
+    opened = opened or before_capture(inputs, params)
+    closed = after_capture(opened, inputs, log, params)
+    for name, schema in LOGGED.items():
+        columns = [part.strip().split(" ")[0] for part in schema.split(",")]
+        append_log(closed[name].filter(F.col("run_id") == run_id).select(*columns), f"{root}/{name}", entry=run_id)
+        purge_log(log.sparkSession, f"{root}/{name}", before=params.first_day())
+    write_state(opened["snapshots"], f"{root}/snapshots", "norm_url", writer=run_id)
+    write_state(closed["dropped"], f"{root}/dropped", "norm_url", writer=run_id)
+    write_state(closed["seen"], f"{root}/seen", "norm_url", writer=run_id)

@@ -1,9 +1,11 @@
+import pytest
 from helpers import at, make, values
 
 from feedtide import schemas
 from feedtide.operators.outcomes import RUN_COUNTERS
 from feedtide.params import Params
-from feedtide.plans.run import after_capture, before_capture, run_batch
+from feedtide.plans.run import KEYED, LOGGED, after_capture, before_capture, close_run, open_run, run_batch
+from feedtide.sources.state import scan_log, scan_state, write_state
 
 
 def feed(*links):
@@ -86,3 +88,65 @@ def test_two_runs(spark):
     assert values(done["history"], "run_id", "success", "discovered") == [("run1", 0, 5), ("run2", 1, 1)]
     assert values(done["dropped"], "norm_url", "reason") == [("http://n/2", "still_retrying")]
     assert set(done["stats"].columns) == {c.strip().split(" ")[0] for c in schemas.FEED_RUN_STATS.split(",")}
+
+
+def test_two_runs_through_folders_and_a_repeated_one(spark, tmp_path):
+    root = str(tmp_path / "state")
+    registry = make(spark, "REGISTRY", dict(source="news", type="rss", exhaustive=False, source_ord=0))
+    none = dict(registry=registry, captures=make(spark, "CAPTURES"), answers=make(spark, "OUTCOMES"))
+
+    def given(run, *links):
+        return dict(none, fetches=make(spark, "FETCHES", fetch(run, "news", 0, feed(*links))))
+
+    def outcome(run, url, seq, kind, minute):
+        return dict(run_id=run, source="news", norm_url=url, seq=seq, kind=kind, ts=at(f"2024-01-03T00:{minute:02d}:00"), job_id="j")
+
+    def stored():
+        state = {name: sorted(map(str, scan_state(spark, f"{root}/{name}", schema).collect())) for name, schema in KEYED.items()}
+        return state | {name: sorted(map(str, scan_log(spark, f"{root}/{name}", schema).collect())) for name, schema in LOGGED.items()}
+
+    params = Params(as_of="2024-01-03T00:00:00Z")
+    first = given("run1", ("http://n/1", D1), ("http://n/2", D2))
+    opened = open_run(root, "run1", first, params)
+    assert values(spark.read.parquet(f"{root}/plans/run=run1"), "slot", "norm_url") == [(1, "http://n/1"), (2, "http://n/2")]
+    log = make(spark, "OUTCOMES", outcome("run1", "http://n/1", 1, "success", 1), outcome("run1", "http://n/2", 2, "submit_error", 2))
+    close_run(root, "run1", first, log, params, opened)
+    once = stored()
+    assert len(once["seen"]) == 2 and len(once["history"]) == 1 and len(once["stats"]) == 1 and once["dropped"] == []
+
+    open_run(root, "run1", first, params)  # the whole run again, in jobs of its own
+    close_run(root, "run1", first, log, params)
+    assert stored() == once
+
+    later = Params(as_of="2024-01-03T03:00:00Z")
+    second = given("run2", ("http://n/3", D2))
+    opened = open_run(root, "run2", second, later)
+    assert values(opened["losses"], "norm_url", "reason") == [("http://n/2", "still_retrying")]
+    assert values(opened["plan"], "norm_url") == [("http://n/3",)]
+    close_run(root, "run2", second, make(spark, "OUTCOMES", outcome("run2", "http://n/3", 3, "submitted", 3)), later)
+    twice = stored()
+    assert len(twice["seen"]) == 3 and len(twice["history"]) == 2 and len(twice["dropped"]) == 1
+    close_run(root, "run2", second, make(spark, "OUTCOMES", outcome("run2", "http://n/3", 3, "submitted", 3)), later)
+    assert stored() == twice
+    assert [len(list((tmp_path / "state" / name).glob("v=*"))) for name in KEYED] == [2, 2, 2]
+
+
+def test_a_run_that_died_half_way_is_finished(spark, tmp_path, monkeypatch):
+    import feedtide.plans.run as run
+
+    root, params = str(tmp_path / "state"), Params(as_of="2024-01-03T00:00:00Z")
+    registry = make(spark, "REGISTRY", dict(source="news", type="rss", exhaustive=False, source_ord=0))
+    given = dict(registry=registry, captures=make(spark, "CAPTURES"), answers=make(spark, "OUTCOMES"), fetches=make(spark, "FETCHES", fetch("r", "news", 0, feed(("http://n/1", D1)))))
+
+    def dies(df, folder, *args, **options):
+        if folder.endswith("/seen"):
+            raise OSError("lost")
+        return write_state(df, folder, *args, **options)
+
+    monkeypatch.setattr(run, "write_state", dies)
+    with pytest.raises(OSError):
+        close_run(root, "r", given, make(spark, "OUTCOMES"), params)
+    monkeypatch.undo()
+    close_run(root, "r", given, make(spark, "OUTCOMES"), params)
+    assert values(scan_state(spark, f"{root}/snapshots", schemas.FEED_SNAPSHOTS), "norm_url") == [("http://n/1",)]
+    assert values(scan_log(spark, f"{root}/history", schemas.RUN_HISTORY), "run_id", "discovered") == [("r", 1)]

@@ -38,6 +38,67 @@ def test_corrupt_state_raises(spark, tmp_path):
         state.scan_state(spark, str(root), schemas.SEEN).collect()
 
 
+def exchanges(frame, *words):
+    """How many shuffles the plan has, and whether one lies above a scan whose path holds one of `words`."""
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    shuffles = [k for k, line in enumerate(plan) if "Exchange hashpartitioning" in line]
+    depth = [len(line) - len(line.lstrip(" :+-*")) for line in plan]
+    over = []
+    for k, line in enumerate(plan):
+        if "FileScan" in line and any(w in line for w in words):
+            above, d = [], depth[k]
+            for i in range(k - 1, -1, -1):
+                if depth[i] < d:
+                    above.append(i)
+                    d = depth[i]
+            over += [i for i in above if i in shuffles]
+    return len(shuffles), over
+
+
+def test_joins_do_not_shuffle_the_state(spark, tmp_path, no_broadcast):
+    from feedtide.operators.outcomes import seen_merge
+    from feedtide.params import Params
+
+    root = str(tmp_path / "seen")
+    rows = [dict(norm_url=f"u{k}", status="pending", attempts=k, last_seq=k, first_seen=at("2024-01-01T00:00:00")) for k in range(200)]
+    state.write_state(make(spark, "SEEN", *rows), root, "norm_url")
+    state.write_state(make(spark, "SEEN", *rows[50:]), root, "norm_url")
+    new, old = state.scan_state(spark, root, schemas.SEEN), state.scan_state(spark, root, schemas.SEEN, below=2)
+    both = old.select("norm_url", "attempts").join(new.select("norm_url", "status"), "norm_url", "left")
+    assert exchanges(both, "v=") == (0, []) and both.count() == 200
+    log = make(spark, "OUTCOMES", *[dict(norm_url=f"u{k}", seq=1000 + k, kind="success", ts=at("2024-01-02T00:00:00")) for k in range(100, 300)])
+    merged = seen_merge(new, log, Params(as_of="2024-01-03T00:00:00Z"))
+    assert exchanges(merged, "v=") == (1, [])  # the new rows only
+    assert values(merged.groupBy("status").count(), "status", "count") == [("pending", 50), ("success", 200)]
+
+
+def test_old_versions_go_and_a_second_writer_fails(spark, tmp_path):
+    root = str(tmp_path / "seen")
+    one, two = (make(spark, "SEEN", dict(norm_url=u)) for u in "ab")
+    assert [state.write_state(one, root, "norm_url", writer=w) for w in ("r1", "r2", "r2", "r3")] == [1, 2, 2, 3]
+    assert sorted(p.name for p in (tmp_path / "seen").glob("v=*")) == ["v=000000000002", "v=000000000003"]
+    (tmp_path / "seen" / "_claims" / "000000000004").write_text("r9")  # claimed, not finished
+    with pytest.raises(state.StateConflict, match="r9"):
+        state.write_state(two, root, "norm_url", writer="r4")
+    assert state.write_state(two, root, "norm_url", writer="r9") == 4  # the claimant goes on
+    assert values(state.scan_state(spark, root, schemas.SEEN, writer="r9"), "norm_url") == [("a",)]
+    assert values(state.scan_state(spark, root, schemas.SEEN), "norm_url") == [("b",)]
+    (tmp_path / "seen" / "_claims" / "000000000005").write_text("dead")
+    state.release(spark, root, 5)
+    assert state.write_state(one, root, "norm_url") == 5
+
+
+def test_old_days_of_a_log_are_removed(spark, tmp_path):
+    for entry in (None, "r1"):
+        root = str(tmp_path / f"log-{entry}")
+        rows = [dict(ts=at(f"2024-01-0{day}T10:00:00"), norm_url=str(day), run_id="r1") for day in (1, 2, 3)]
+        state.append_log(make(spark, "DROPPED_URLS", *rows), root, entry=entry)
+        state.purge_log(spark, root, "2024-01-02")
+        assert values(state.scan_log(spark, root, schemas.DROPPED_URLS), "norm_url") == [("2",), ("3",)]
+        assert state.scan_log(spark, root, schemas.DROPPED_URLS, without="r1").count() == (2 if entry is None else 0)
+    state.purge_log(spark, str(tmp_path / "none"), "2024-01-02")
+
+
 def test_log_is_appended_by_day(spark, tmp_path):
     root = str(tmp_path / "dropped")
     for day in (1, 2):
