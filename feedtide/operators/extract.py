@@ -172,10 +172,18 @@ def index_children_of(rows: DataFrame, registry: DataFrame) -> DataFrame:
 def index_urls_of(rows: DataFrame, registry: DataFrame, within: str | None = None) -> DataFrame:
     """URLs of index children. A child with 50,000 URLs is salted. On streams `within` bounds how far
     apart an index and its child are fetched, so that state expires."""
-    children = index_children_of(rows, registry).drop("index_url")
-    pages = rows.filter((F.col("kind") == PAGE) & F.col("parent_url").isNotNull()).drop("source_ord")
+    return join_children(index_children_of(rows, registry), child_pages(rows), within)
+
+
+def child_pages(rows: DataFrame) -> DataFrame:
+    """URLs listed by documents below an index."""
+    return rows.filter((F.col("kind") == PAGE) & F.col("parent_url").isNotNull()).drop("source_ord")
+
+
+def join_children(children: DataFrame, pages: DataFrame, within: str | None = None) -> DataFrame:
+    """Items from the children that indexes list and the URLs that child documents list."""
     joined = join_dimension(
-        pages, children, ["run_id", "source", "fetch_url"], spread=["position"], how="inner"
+        pages, children.drop("index_url"), ["run_id", "source", "fetch_url"], spread=["position"], how="inner"
     )
     if within is not None:
         span = F.expr(f"interval {within}")

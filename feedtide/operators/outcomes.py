@@ -27,7 +27,7 @@ SEEN_COLUMNS = [
 ]
 
 
-def _fold_status(params: Params) -> Column:
+def seen_status(params: Params) -> Column:
     return folded_status(
         F.col("last_kind"), F.col("last_retryable"), F.col("attempts"), params.attempts_limit
     )
@@ -83,7 +83,7 @@ def fold_deltas(deltas: DataFrame) -> DataFrame:
 
 
 def seen_of_delta(delta: DataFrame, params: Params) -> DataFrame:
-    return delta.withColumn("status", _fold_status(params)).select(*SEEN_COLUMNS)
+    return delta.withColumn("status", seen_status(params)).select(*SEEN_COLUMNS)
 
 
 def seen_from_outcomes(outcomes: DataFrame, params: Params) -> DataFrame:
@@ -121,7 +121,7 @@ def seen_merge(seen: DataFrame, outcomes: DataFrame, params: Params) -> DataFram
         o("status").alias("_old_status"),
     )
     # rows without events keep their status as it is, so a changed attempts limit is not retroactive
-    status = F.when(F.col("_untouched"), F.col("_old_status")).otherwise(_fold_status(params))
+    status = F.when(F.col("_untouched"), F.col("_old_status")).otherwise(seen_status(params))
     return merged.withColumn("status", status).select(*SEEN_COLUMNS)
 
 
@@ -149,7 +149,7 @@ def status_as_of(keys: DataFrame, outcomes: DataFrame, params: Params) -> DataFr
         .withColumn("last", F.max("last").over(so_far))
         .filter((F.col("is_event") == 0) & F.col("last").isNotNull())
         .select("norm_url", "run_id", "attempts", "last.last_kind", "last.last_retryable")
-        .select("norm_url", "run_id", _fold_status(params).alias("status"))
+        .select("norm_url", "run_id", seen_status(params).alias("status"))
     )
 
 

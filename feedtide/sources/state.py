@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Callable
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ def _file_system(spark: SparkSession, root: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def folders(spark: SparkSession, root: str, prefix: str) -> list[tuple[int, str]]:
+def folders(spark: SparkSession, root: str, prefix: str, number: Callable = int, finished: bool = True) -> list[tuple]:
     """(number, path) of the finished folders `<prefix><number>`, ascending (a finished write leaves a _SUCCESS marker)."""
     fs, path = _file_system(spark, root)
     if not fs.exists(path):
@@ -31,11 +32,17 @@ def folders(spark: SparkSession, root: str, prefix: str) -> list[tuple[int, str]
     found = []
     for status in fs.listStatus(path):
         name = status.getPath().getName()
-        if name.startswith(prefix) and fs.exists(marker(status.getPath(), "_SUCCESS")):
-            found.append((int(name[len(prefix) :]), status.getPath().toString()))
+        if name.startswith(prefix) and (not finished or fs.exists(marker(status.getPath(), "_SUCCESS"))):
+            found.append((number(name[len(prefix) :]), status.getPath().toString()))
     return sorted(found)
 
 
+def children(spark: SparkSession, root: str) -> list[str]:
+    """Names of what lies in a folder."""
+    fs, path = _file_system(spark, root)
+    return [status.getPath().getName() for status in fs.listStatus(path)]
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     for each in paths:
         fs, path = _file_system(spark, each)
@@ -55,7 +62,7 @@ class StateConflict(RuntimeError):
     """Another writer has claimed the version."""
 
 
-def _read_small(spark: SparkSession, file: str) -> str | None:
+def read_small(spark: SparkSession, file: str) -> str | None:
     fs, path = _file_system(spark, file)
     if not fs.exists(path):
         return None
@@ -66,7 +73,7 @@ def _read_small(spark: SparkSession, file: str) -> str | None:
         stream.close()
 
 
-def _write_small(spark: SparkSession, file: str, text: str, overwrite: bool) -> bool:
+def write_small(spark: SparkSession, file: str, text: str, overwrite: bool) -> bool:
     """Whether the file could be written; without `overwrite` only one of several writers can."""
     fs, path = _file_system(spark, file)
     try:
@@ -87,7 +94,7 @@ def _path(root: str, version: int) -> str:
 
 
 def _layout(spark: SparkSession, root: str, version: int) -> dict:
-    text = _read_small(spark, f"{_path(root, version)}/_layout")
+    text = read_small(spark, f"{_path(root, version)}/_layout")
     return json.loads(text) if text else {}
 
 
@@ -131,14 +138,14 @@ def write_state(df: DataFrame, root: str, key: str, version: int | None = None,
     own = writer or (f"version {version}" if version is not None else uuid.uuid4().hex)
     version = version if version is not None else (newest or 0) + 1
     claim = f"{root}/_claims/{version:012d}"
-    if not _write_small(spark, claim, own, overwrite=False) and _read_small(spark, claim) != own:
-        raise StateConflict(f"version {version} of {root} is being written by {_read_small(spark, claim)}")
+    if not write_small(spark, claim, own, overwrite=False) and read_small(spark, claim) != own:
+        raise StateConflict(f"version {version} of {root} is being written by {read_small(spark, claim)}")
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"state_{uuid.uuid4().hex}", _path(root, version)
     laid = df.repartition(buckets, key).sortWithinPartitions(key)
     laid.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")
-    _write_small(spark, f"{path}/_layout", json.dumps({"key": key, "buckets": buckets, "writer": own}), overwrite=True)
+    write_small(spark, f"{path}/_layout", json.dumps({"key": key, "buckets": buckets, "writer": own}), overwrite=True)
     old = [v for v in _versions(spark, root) if v <= version][:-keep]
     remove(spark, [_path(root, v) for v in old] + [f"{root}/_claims/{v:012d}" for v in old])
     return version
