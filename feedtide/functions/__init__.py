@@ -2,7 +2,7 @@
 
 from feedtide.functions.dates import feed_date, feed_date_text, stamp_to_timestamp
 from feedtide.functions.status import drop_reason, is_archived_status, is_permanent, reason_label
-from feedtide.functions.urls import normalize_url, query_pairs, replay_link
+from feedtide.functions.urls import normalize_url, query_pairs, replay_link, resolve_reference
 
 __all__ = [
     "drop_reason",
@@ -14,5 +14,6 @@ __all__ = [
     "query_pairs",
     "reason_label",
     "replay_link",
+    "resolve_reference",
     "stamp_to_timestamp",
 ]

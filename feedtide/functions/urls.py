@@ -9,6 +9,7 @@ query run only for URLs that have one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -147,6 +148,58 @@ def normalize_url(url: Column) -> Column:
     return F.concat(head, F.when(F.contains(located, F.lit("?")), marked).otherwise(F.lit("")))
 
 
+_REFERENCE_PATH = r"(?s)^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)"
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once, however often `use` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def without_dot_segments(path: Column) -> Column:
+    """RFC 3986 5.2.4: `.` goes, `..` takes the segment before it along."""
+
+    def step(done: Column, part: Column) -> Column:
+        kept = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(F.slice(done, 1, F.when(F.element_at(done, 1) == "", 1).otherwise(0)))
+        up = F.when(F.size(done) == 0, done).otherwise(kept)
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    def joined(parts: Column) -> Column:
+        kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+        ends_in_dots = F.element_at(parts, -1).isin(".", "..")
+        return F.array_join(F.when(ends_in_dots, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+    return F.when(F.rlike(path, F.lit(r"(?:^|/)\.\.?(?:/|$)")), _bound(F.split(path, "/"), joined)).otherwise(path)
+
+
+def resolve_reference(base: Column, reference: Column) -> Column:
+    """The URL that a reference means at a base (RFC 3986 5.2). References with a scheme, and any where the base has none, stay as
+    they are. NULL for a NULL reference."""
+
+    def at(b: Column) -> Column:
+        return _bound(reference, lambda r: resolved(b, r))
+
+    def resolved(b: Column, r: Column) -> Column:
+        scheme = F.regexp_extract(b, f"^({_SCHEME})", 1)
+        authority = F.regexp_extract(b, r"^(?:[^:/?#]+:)?(//[^/?#]*)", 1)
+        base_path = F.regexp_extract(b, _REFERENCE_PATH, 1)
+        path = F.regexp_extract(r, "(?s)^([^?#]*)", 1)
+        tail = F.regexp_extract(r, "(?s)^[^?#]*(.*)$", 1)
+        beside = F.when((authority != "") & (base_path == ""), F.lit("/")).otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
+        return (
+            F.when(F.startswith(r, F.lit("//")), F.concat(scheme, r))
+            .when(r == "", F.substring_index(b, "#", 1))
+            .when(F.startswith(r, F.lit("#")), F.concat(F.substring_index(b, "#", 1), r))
+            .when(F.startswith(r, F.lit("?")), F.concat(scheme, authority, base_path, r))
+            .when(F.startswith(r, F.lit("/")), F.concat(scheme, authority, without_dot_segments(path), tail))
+            .otherwise(F.concat(scheme, authority, _bound(F.concat(beside, path), without_dot_segments), tail))
+        )
+
+    rooted = F.rlike(base, F.lit(f"^{_SCHEME}"))
+    absolute = F.rlike(reference, F.lit(f"^{_SCHEME}"))
+    return F.when(absolute | ~F.coalesce(rooted, F.lit(False)), reference).otherwise(_bound(base, at))
+
+
 def replay_link(status: Column, capture_ts: Column, original_url: Column) -> Column:
     """Replay address of a finished capture, or NULL when a part of it is missing."""
     complete = (status == "success") & (capture_ts != "") & (original_url != "")

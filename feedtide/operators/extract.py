@@ -9,24 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedtide.functions.dates import feed_date, feed_date_text
-from feedtide.functions.urls import normalize_url
+from feedtide.functions.urls import normalize_url, resolve_reference
 from feedtide.operators.skew import join_dimension
 from feedtide.session import durable
-from feedtide.sources.fetches import SITEMAP_NAMESPACE, judged_documents, root_element, root_tag, scan_fetches, tag_name
+from feedtide.sources.fetches import SITEMAP_NAMESPACE, SITEMAP_ROOTS, judged_documents, root_element, root_tag, scan_fetches, tag_name
 from feedtide.sources.registry import broken_patterns
 
 # RSS 2.0 keeps items under channel, RSS 1.0 next to it, Atom calls them entries. Prefixes are kept
 # (dc:date, media:title), so that extension elements cannot overwrite the feed's own.
+_BASE = "`_xml:base` STRING"
 _ITEM = (
-    "STRUCT<title STRING, link STRING, guid STRUCT<_VALUE STRING, _isPermaLink STRING>, "
+    f"STRUCT<{_BASE}, title STRING, link STRING, guid STRUCT<_VALUE STRING, _isPermaLink STRING>, "
     "pubDate STRING, published STRING, updated STRING, `dc:date` STRING>"
 )
 _ENTRY = (
-    "STRUCT<title STRING, link ARRAY<STRUCT<_href STRING, _rel STRING, _type STRING>>, "
+    f"STRUCT<{_BASE}, title STRING, link ARRAY<STRUCT<{_BASE}, _href STRING, _rel STRING, _type STRING>>, "
     "published STRING, updated STRING>"
 )
 FEED_XML = (
-    f"STRUCT<channel STRUCT<item ARRAY<{_ITEM}>>, item ARRAY<{_ITEM}>, entry ARRAY<{_ENTRY}>>"
+    f"STRUCT<{_BASE}, channel STRUCT<{_BASE}, item ARRAY<{_ITEM}>>, item ARRAY<{_ITEM}>, entry ARRAY<{_ENTRY}>>"
 )
 SITEMAP_XML = (
     "STRUCT<url ARRAY<STRUCT<loc STRING, lastmod STRING>>, sitemap ARRAY<STRUCT<loc STRING>>>"
@@ -45,21 +46,32 @@ def _filled(text: Column) -> Column:
     return F.when(text != "", text)
 
 
-def _item_link(item: Column) -> Column:
+def _under(bases: list[Column], reference: Column) -> Column:
+    """A link below the given xml:base attributes, outermost first; the first is the document's own address. Most links are
+    absolute and need none of them."""
+    base = bases[0]
+    for inner in bases[1:]:
+        base = F.when(F.coalesce(inner, F.lit("")) == "", base).otherwise(resolve_reference(base, _trim(inner)))
+    return F.when(F.rlike(reference, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), reference).otherwise(resolve_reference(base, reference))
+
+
+def _item_link(item: Column, bases: list[Column]) -> Column:
     permalink = F.coalesce(F.lower(item["guid"]["_isPermaLink"]), F.lit("true")) == "true"
-    return F.coalesce(
+    link = F.coalesce(
         _filled(_trim(item["link"])), F.when(permalink, _filled(_trim(item["guid"]["_VALUE"])))
     )
+    return _under([*bases, item["_xml:base"]], link)
 
 
-def _entry_link(entry: Column) -> Column:
+def _entry_link(entry: Column, bases: list[Column]) -> Column:
     pages = F.filter(
         entry["link"],
         lambda link: (F.coalesce(link["_rel"], F.lit("alternate")) == "alternate")
         & F.coalesce(link["_type"], F.lit("text/html")).isin("text/html", "application/xhtml+xml")
         & link["_href"].isNotNull(),
     )
-    return _filled(_trim(F.try_element_at(pages, F.lit(-1))["_href"]))
+    chosen = F.transform(F.slice(pages, F.greatest(F.size(pages), F.lit(1)), 1), lambda link: _under([*bases, entry["_xml:base"], link["_xml:base"]], _filled(_trim(link["_href"]))))
+    return F.try_element_at(chosen, F.lit(1))
 
 
 def _published(item: Column) -> Column:
@@ -83,17 +95,25 @@ def _row(kind: str, url: Column, title: Column, published_at: Column) -> Column:
     )
 
 
-def _feed_rows(body: Column) -> Column:
-    feed = F.from_xml(body, FEED_XML)
+def _unprefixed(body: Column, tag: Column) -> Column:
+    """A feed whose elements all carry the root's prefix (`<a:feed xmlns:a=...>`) without that prefix; others keep theirs. RSS 1.0
+    has a prefix at its root alone."""
+    prefix = F.regexp_extract(tag, r"^<([\w.\-]+):", 1)
+    prefixed = (prefix != "") & tag_name(tag).isin("feed", "rss")
+    return F.when(prefixed, F.regexp_replace(body, F.concat(F.lit("(</?)"), prefix, F.lit(":")), F.lit("$1"))).otherwise(body)
+
+
+def _feed_rows(feed: Column, address: Column) -> Column:
+    top = [address, feed["_xml:base"], feed["channel"]["_xml:base"]]
     items = F.transform(
         F.coalesce(feed["channel"]["item"], feed["item"]),
-        lambda item: _row(FEED, _item_link(item), item["title"], _published(item)),
+        lambda item: _row(FEED, _item_link(item, top), item["title"], _published(item)),
     )
     entries = F.transform(
         feed["entry"],
         lambda entry: _row(
             FEED,
-            _entry_link(entry),
+            _entry_link(entry, top[:2]),
             entry["title"],
             F.coalesce(feed_date_text(entry["published"]), feed_date_text(entry["updated"])),
         ),
@@ -101,10 +121,10 @@ def _feed_rows(body: Column) -> Column:
     return F.coalesce(items, entries)
 
 
-def _sitemap_rows(body: Column, part: str, kind: str) -> Column:
+def _sitemap_rows(listing: Column, part: str, kind: str) -> Column:
     nothing = F.lit(None)
     return F.transform(
-        F.from_xml(body, SITEMAP_XML, {"ignoreNamespace": "true"})[part],
+        listing[part],
         lambda node: _row(
             kind, _filled(_trim(node["loc"])), nothing, _trim(node["lastmod"]) if part == "url" else nothing
         ),
@@ -115,20 +135,26 @@ def document_rows(fetches: DataFrame) -> DataFrame:
     """What the fetched documents say, one narrow row per feed item, sitemap URL or index child.
 
     Each body is read and parsed once, where it lies; it never takes part in a shuffle. Rows keep their
-    position in the document. Documents below an index contribute URLs only: indexes are followed one
+    position in the document. Links of feeds that are relative are resolved at their xml:base, or else at the document's
+    address. Documents below an index contribute URLs only: indexes are followed one
     level, feeds not at all."""
     tag, body, top = F.col("tag"), F.col("body"), F.col("parent_url").isNull()
     sitemap = F.contains(tag, F.lit(SITEMAP_NAMESPACE))
     name = tag_name(tag)
+    lists = sitemap & ((name == "urlset") | ((name == "sitemapindex") & top))
+    is_feed = top & ~name.isin(*SITEMAP_ROOTS)
+    listing, feed = F.col("listing"), F.col("feed")
     rows = (
-        F.when(sitemap & (name == "urlset"), _sitemap_rows(body, "url", PAGE))
-        .when(sitemap & (name == "sitemapindex") & top, _sitemap_rows(body, "sitemap", CHILD))
-        .when(top & ~name.isin("urlset", "sitemapindex"), _feed_rows(body))
+        F.when(lists & (name == "urlset"), _sitemap_rows(listing, "url", PAGE))
+        .when(lists, _sitemap_rows(listing, "sitemap", CHILD))
+        .when(is_feed, _feed_rows(feed, F.col("fetch_url")))
     )
     place = ["run_id", "source", "source_ord", "fetch_url", "parent_url", "fetched_at"]
     return (
         scan_fetches(fetches)
         .withColumn("tag", root_tag(body))
+        .withColumn("listing", F.when(lists, F.from_xml(body, SITEMAP_XML, {"ignoreNamespace": "true"})))
+        .withColumn("feed", F.when(is_feed, F.from_xml(_unprefixed(body, tag), FEED_XML)))
         .select(*place, F.posexplode(rows).alias("position", "row"))
         .select(*place, "position", "row.*")
         .filter(F.col("url").isNotNull())

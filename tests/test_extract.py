@@ -146,3 +146,48 @@ def test_a_broken_pattern_stops_only_its_source(spark):
     assert values(extract.url_pattern_filter(items, registry), "source") == [("b",), ("c",)]
     raw = make(spark, "RAW_REGISTRY", dict(source_ord=1, name="a", type="sitemap", url="u", url_pattern="("), dict(source_ord=2, name="b", type="rss", url="u", url_pattern="x+"))
     assert values(registry_violations(raw), "source_ord", "rule") == [(1, "invalid_pattern")]
+
+
+RELATIVE_ATOM = """<a:feed xmlns:a="http://www.w3.org/2005/Atom" xmlns:m="media" xml:base="/blog/">
+<a:entry xml:base="2024/"><a:title>One</a:title><m:title>other</m:title><a:link href="3"/><a:updated>2024-01-01T00:00:00Z</a:updated></a:entry>
+<a:entry><a:title>Two</a:title><a:link href="../x/./y?q#f" xml:base="http://other/a/b/"/></a:entry>
+<a:entry><a:title>Three</a:title><a:link href="//cdn/z"/></a:entry>
+<a:entry><a:title>Four</a:title><a:link rel="self" href="self"/></a:entry>
+<a:entry><a:title>Five</a:title><a:link href="https://site/abs/../kept"/></a:entry></a:feed>"""
+RELATIVE_RSS = """<rss version="2.0"><channel xml:base="http://site/news/"><item><link>a.html</link></item><item xml:base="old/"><link>/b</link></item>
+<item xml:base="old/"><guid>c</guid></item><item><link>http://site/d</link></item></channel></rss>"""
+
+
+def test_relative_links_and_prefixed_atom(spark, registry):
+    docs = make(
+        spark, "FETCHES",
+        dict(run_id="r", source="atom", fetch_url="http://site/feeds/atom.xml", http_status=200, body=RELATIVE_ATOM),
+        dict(run_id="r", source="rss", fetch_url="http://site/feeds/rss.xml", http_status=200, body=RELATIVE_RSS),
+        dict(run_id="r", source="rdf", fetch_url="http://site/feeds/rdf.xml", http_status=200, body=RDF.replace("http://site/old", "old?x=1")),
+    )
+    assert values(extract.rss_items(docs, registry), "source", "item_ord", "url", "title") == sorted(
+        [
+            ("atom", 0, "http://site/blog/2024/3", "One"), ("atom", 1, "http://other/a/x/y?q#f", "Two"), ("atom", 2, "http://cdn/z", "Three"),
+            ("atom", 4, "https://site/abs/../kept", "Five"),
+            ("rss", 0, "http://site/news/a.html", None), ("rss", 1, "http://site/b", None), ("rss", 2, "http://site/news/old/c", None), ("rss", 3, "http://site/d", None),
+            ("rdf", 0, "http://site/feeds/old?x=1", "Old"),
+        ],
+        key=repr,
+    )
+
+
+def test_a_feed_without_entries_because_of_its_root_is_listed(spark, registry):
+    docs = make(
+        spark, "FETCHES",
+        dict(run_id="r", source="rss", fetch_url="a", http_status=200, body="<html><body><entry/></body></html>"),
+        dict(run_id="r", source="rss", fetch_url="b", http_status=200, body="<rss><channel/></rss>"),
+        dict(run_id="r", source="atom", fetch_url="c", http_status=200, body=RELATIVE_ATOM),
+        dict(run_id="r", source="rdf", fetch_url="d", http_status=200, body=URLSET),
+    )
+    assert values(fetch_failures(docs, registry), "source", "reason", "failures") == [("rdf", "unexpected_root", 1), ("rss", "unexpected_root", 1)]
+
+
+def test_a_body_is_parsed_once(spark, fetches, registry):
+    for frame in (extract.rss_items(fetches, registry), extract.sitemap_urls(fetches, registry)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_xml(") <= 2  # one for feeds, one for sitemaps

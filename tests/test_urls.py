@@ -69,3 +69,28 @@ def test_replay_link(spark):
     df = spark.createDataFrame(rows, "id int, status string, ts string, url string")
     links = by(df.withColumn("l", replay_link(F.col("status"), F.col("ts"), F.col("url"))), "id", "l")
     assert links == {1: "https://web.archive.org/web/20240102030405/http://a/x", 2: None, 3: None, 4: None}
+
+
+# The examples of RFC 3986 5.4, at http://a/b/c/d;p?q
+RFC_EXAMPLES = {
+    "g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g",
+    "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s", "g?y#s": "http://a/b/c/g?y#s",
+    ";x": "http://a/b/c/;x", "g;x": "http://a/b/c/g;x", "g;x?y#s": "http://a/b/c/g;x?y#s", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/",
+    "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../": "http://a/",
+    "../../g": "http://a/g", "../../../g": "http://a/g", "../../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g",
+    "g.": "http://a/b/c/g.", ".g": "http://a/b/c/.g", "g..": "http://a/b/c/g..", "..g": "http://a/b/c/..g", "./../g": "http://a/b/g",
+    "./g/.": "http://a/b/c/g/", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g;x=1/./y": "http://a/b/c/g;x=1/y",
+    "g;x=1/../y": "http://a/b/c/y", "g?y/./x": "http://a/b/c/g?y/./x", "g?y/../x": "http://a/b/c/g?y/../x", "g#s/../x": "http://a/b/c/g#s/../x",
+}
+
+
+def test_references_are_resolved_as_in_the_rfc(spark):
+    from pyspark.sql import functions as F
+
+    from feedtide.functions import resolve_reference
+
+    rows = [("http://a/b/c/d;p?q", r, w) for r, w in RFC_EXAMPLES.items()]
+    rows += [("http://a", "g", "http://a/g"), ("http://a?x", "g/../h", "http://a/h"), (None, "g", "g"), ("top", "../g", "../g"), ("http://a/b", None, None), ("http://a/b#f", "", "http://a/b")]
+    df = spark.createDataFrame(rows, "base string, ref string, expected string")
+    got = df.select("ref", resolve_reference(F.col("base"), F.col("ref")).alias("got"), "expected").collect()
+    assert [(r.ref, r.got) for r in got] == [(r.ref, r.expected) for r in got]
