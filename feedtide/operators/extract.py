@@ -13,7 +13,7 @@ from feedtide.functions.urls import normalize_url, resolve_reference
 from feedtide.operators.skew import join_dimension
 from feedtide.session import durable
 from feedtide.sources.fetches import SITEMAP_NAMESPACE, SITEMAP_ROOTS, judged_documents, root_element, root_tag, scan_fetches, tag_name
-from feedtide.sources.registry import broken_patterns
+from feedtide.sources.registry import is_pattern
 
 # RSS 2.0 keeps items under channel, RSS 1.0 next to it, Atom calls them entries. Prefixes are kept
 # (dc:date, media:title), so that extension elements cannot overwrite the feed's own.
@@ -271,14 +271,14 @@ def complete_listings(fetches: DataFrame, registry: DataFrame) -> DataFrame:
 def url_pattern_filter(items: DataFrame, registry: DataFrame) -> DataFrame:
     """E5: keep items whose URL starts with a match of their source's pattern; no pattern keeps all. A source whose
     pattern is no regular expression (S6 lists it) yields nothing; the others go on."""
-    patterns = registry.select("source", "url_pattern")
-    broken = broken_patterns(registry)
-    if broken:
-        patterns = patterns.withColumn("url_pattern", F.when(F.col("url_pattern").isin(broken), F.lit("(?!)")).otherwise(F.col("url_pattern")))
-    joined = join_dimension(items, patterns, ["source"], spread=["url"])
+    none = F.coalesce(F.col("url_pattern"), F.lit("")) == ""
     anchored = F.concat(F.lit("^(?:"), F.col("url_pattern"), F.lit(")"))
-    no_pattern = F.coalesce(F.col("url_pattern"), F.lit("")) == ""
-    return joined.filter(no_pattern | F.rlike(F.col("url"), anchored)).drop("url_pattern")
+    # one row per source: a broken pattern becomes one that matches nothing, no pattern one that is not tried
+    patterns = registry.select("source", F.when(none, F.lit(None)).when(is_pattern(F.col("url_pattern")), anchored).otherwise(F.lit("(?!)")).alias("_anchored"))
+    joined = join_dimension(items, patterns, ["source"], spread=["url"])
+    # unlike rlike, regexp_instr keeps the compiled pattern while it stays the same, and a source's items lie together
+    kept = F.col("_anchored").isNull() | (F.regexp_instr(F.col("url"), F.col("_anchored")) == 1)
+    return joined.filter(kept).drop("_anchored")
 
 
 def with_canonical_url(items: DataFrame) -> DataFrame:

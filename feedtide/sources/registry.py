@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,19 +14,9 @@ def _blank(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) == ""
 
 
-def broken_patterns(registry: DataFrame) -> list[str]:
-    """Distinct `url_pattern`s that Java cannot compile. Only these reach the driver one by one; the registry is a configuration
-    table, and its distinct patterns are compiled there once."""
-    if "url_pattern" not in registry.columns:
-        return []
-    java = registry.sparkSession.sparkContext._jvm.java.util.regex
-    found = []
-    for row in registry.select("url_pattern").filter(F.col("url_pattern").isNotNull()).distinct().collect():
-        try:
-            java.Pattern.compile(f"^(?:{row.url_pattern})")
-        except IllegalArgumentException:  # PatternSyntaxException is one
-            found.append(row.url_pattern)
-    return found
+def is_pattern(pattern: Column) -> Column:
+    """Whether Java can compile the text as a regular expression; checked where the row is."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit("^(?:"), pattern, F.lit(")"))).isNotNull()
 
 
 def registry_violations(raw: DataFrame) -> DataFrame:
@@ -43,9 +32,8 @@ def registry_violations(raw: DataFrame) -> DataFrame:
         "non_boolean_exhaustive": F.col("exhaustive").isNotNull()
         & ~F.lower(F.col("exhaustive")).isin("true", "false"),
     }
-    broken_regex = broken_patterns(raw)
-    if broken_regex:
-        rules["invalid_pattern"] = F.col("url_pattern").isin(broken_regex)
+    if "url_pattern" in raw.columns:
+        rules["invalid_pattern"] = F.col("url_pattern").isNotNull() & ~is_pattern(F.col("url_pattern"))
     broken = raw.select(
         "source_ord",
         F.explode(

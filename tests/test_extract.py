@@ -191,3 +191,18 @@ def test_a_body_is_parsed_once(spark, fetches, registry):
     for frame in (extract.rss_items(fetches, registry), extract.sitemap_urls(fetches, registry)):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_xml(") <= 2  # one for feeds, one for sitemaps
+
+
+def test_patterns_of_a_million_sources_stay_on_the_executors(spark, no_broadcast):
+    """No job runs while the query is built, and the pattern is not among its literals."""
+    sources = spark.range(1_000_000).selectExpr("concat('s', id) AS source", "concat('http://s', id, '/a.*', if(id = 3, '(', '')) AS url_pattern", "'sitemap' AS type")
+    items = spark.range(2000).selectExpr("concat('s', id % 1000) AS source", "concat('http://s', id % 1000, if(id < 1000, '/a', '/b')) AS url")
+    spark.sparkContext.setJobGroup("building", "")
+    try:
+        kept = extract.url_pattern_filter(items, sources)
+        broken = registry_violations(sources.selectExpr("cast(substr(source, 2) AS bigint) AS source_ord", "source AS name", "type", "'u' AS url", "url_pattern", "'true' AS exhaustive"))
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept.count() == 999 and kept.filter("source = 's3'").isEmpty()
+    assert values(broken, "source_ord", "rule") == [(3, "invalid_pattern")]
