@@ -1,11 +1,43 @@
-"""Questions to the capture index."""
+"""Questions to the capture index.
+
+Captures may be any table of the schema. Stored as an index (`write_capture_index`) they lie by a hash prefix of their URL, and a question
+reads only the prefixes of the URLs it asks for.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedtide import schemas
 from feedtide.params import Params, parse_duration
+from feedtide.sources.state import read_small, write_small
+
+PREFIXES = 1024
+
+
+def _prefix(prefixes: int) -> Column:
+    return F.pmod(F.xxhash64("norm_url"), F.lit(prefixes)).cast("int")
+
+
+def write_capture_index(captures: DataFrame, root: str, entry: str, prefixes: int = PREFIXES) -> None:
+    """Adds captures to an index; the same entry written again replaces itself. The first entry decides the number of prefixes."""
+    spark = captures.sparkSession
+    write_small(spark, f"{root}/_prefixes", str(prefixes), overwrite=False)
+    laid = captures.withColumn("prefix", _prefix(int(read_small(spark, f"{root}/_prefixes"))))
+    laid.repartition("prefix").sortWithinPartitions("prefix", "norm_url").write.mode("overwrite").partitionBy("prefix").parquet(f"{root}/entry={quote(entry, safe='')}")
+
+
+def captures_of(urls: DataFrame, root: str) -> DataFrame:
+    """The part of an index that lies under the prefixes of `urls`. The prefixes asked for, at most as many as the index has, are
+    found by one aggregate over the URLs; the folders of all others are not opened."""
+    spark = urls.sparkSession
+    prefixes = int(read_small(spark, f"{root}/_prefixes"))
+    asked = [r[0] for r in urls.select(_prefix(prefixes).alias("prefix")).distinct().collect()]
+    index = spark.read.schema(f"{schemas.CAPTURES}, entry STRING, prefix INT").parquet(root)
+    return index.filter(F.col("prefix").isin(asked)).drop("entry", "prefix")
 
 
 def capture_availability(urls: DataFrame, captures: DataFrame, params: Params) -> DataFrame:
@@ -40,7 +72,7 @@ def capture_availability(urls: DataFrame, captures: DataFrame, params: Params) -
 
 def asked_for(urls: DataFrame, captures: DataFrame) -> DataFrame:
     """The part of the index that answers for `urls`."""
-    return captures.join(urls.select("norm_url").distinct(), "norm_url", "left_semi")
+    return captures.join(urls.select("norm_url"), "norm_url", "left_semi")
 
 
 def _failed():

@@ -282,6 +282,15 @@ def capture_availability(s, d):
     return cap.capture_availability(td.captures(s, d), td.captures(s, d), CAPTURES)
 
 
+@query
+def indexed_availability(s, d):
+    """J7 against a stored index: the captures of the URLs that events name."""
+    root = fresh_path(s, "captures")
+    cap.write_capture_index(td.captures(s, d), root, "all", prefixes=64)
+    urls = durable(td.events(s, d).select(td.user_url().alias("norm_url")).distinct())
+    return cap.capture_availability(urls, cap.captures_of(urls, root), CAPTURES)
+
+
 @query
 def recheck_dropped(s, d):
     log = _loss_log(s, d)

@@ -741,6 +741,13 @@ ORACLE: dict[str, str] = {
         _TOTALS,
     ),
 }
+ORACLE["indexed_availability"] = _with(
+    """
+    SELECT u.norm_url, CASE WHEN c.norm_url IS NULL THEN false ELSE c.archived END AS archived
+    FROM (SELECT DISTINCT 'https://example.org/u/' || user_id AS norm_url FROM events) u LEFT JOIN checked c USING (norm_url)
+    """,
+    _CAPTURES,
+)
 ORACLE["feed_runs"] = _with(
     """
     SELECT run_id, host || '/' || chunk || ' ' || kind AS source, CAST(run_id AS TIMESTAMP) AS ts, false AS exhaustive FROM read

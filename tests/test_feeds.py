@@ -1,4 +1,5 @@
 from helpers import at, by, item, make, values
+from pyspark.sql import functions as F
 
 from feedtide.operators import captures as cap
 from feedtide.operators import feeds
@@ -213,3 +214,23 @@ def test_a_failed_check_passes_and_later_captures_do_not_exist_yet(spark):
     assert by(found, "norm_url", "archived") == {"u": True, "v": True, "w": None}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("LeftSemi")  # the index is cut below its aggregate
+
+
+def test_an_index_is_read_by_the_prefixes_asked_for(spark, tmp_path):
+    root, params = str(tmp_path / "index"), Params(as_of="2024-01-31T00:00:00Z")
+    rows = [dict(norm_url=f"u{k}", captured_at=at(f"2024-01-{1 + k % 28:02d}T00:00:00"), available=k % 3 > 0) for k in range(300)]
+    cap.write_capture_index(make(spark, "CAPTURES", *rows[:200]), root, "r1", prefixes=64)
+    for _ in range(2):
+        cap.write_capture_index(make(spark, "CAPTURES", *rows[200:]), root, "r2", prefixes=8)  # the index has 64
+    urls = make(spark, "DROPPED_URLS", *[dict(norm_url=u) for u in ("u1", "u250", "nowhere")])
+    index = cap.captures_of(urls, root)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "prefix" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    folders = {f.split("prefix=")[1].split("/")[0] for f in spark.read.parquet(root).inputFiles()}
+    read = index.select(F.input_file_name().alias("f")).distinct().collect()
+    assert len({r.f.split("prefix=")[1].split("/")[0] for r in read}) <= 3 < len(folders)
+    whole = make(spark, "CAPTURES", *rows)
+    for question in (cap.capture_availability, cap.recapture_needed):
+        found = question(urls, index, params)
+        assert values(found, *found.columns) == values(question(urls, whole, params), *found.columns)
+    assert cap.captures_of(urls.limit(0), root).count() == 0
