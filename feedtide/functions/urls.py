@@ -172,32 +172,43 @@ def without_dot_segments(path: Column) -> Column:
     return F.when(F.rlike(path, F.lit(r"(?:^|/)\.\.?(?:/|$)")), _bound(F.split(path, "/"), joined)).otherwise(path)
 
 
+def _resolved(b: Column, r: Column) -> Column:
+    """`r` at the base `b`; both should be bound, since they are named many times."""
+    scheme = F.regexp_extract(b, f"^({_SCHEME})", 1)
+    authority = F.regexp_extract(b, r"^(?:[^:/?#]+:)?(//[^/?#]*)", 1)
+    base_path = F.regexp_extract(b, _REFERENCE_PATH, 1)
+    path = F.regexp_extract(r, "(?s)^([^?#]*)", 1)
+    tail = F.regexp_extract(r, "(?s)^[^?#]*(.*)$", 1)
+    beside = F.when((authority != "") & (base_path == ""), F.lit("/")).otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
+    whole = F.when(F.startswith(r, F.lit("/")), path).otherwise(F.concat(beside, path))
+    return (
+        F.when(F.rlike(r, F.lit(f"^{_SCHEME}")) | ~F.coalesce(F.rlike(b, F.lit(f"^{_SCHEME}")), F.lit(False)), r)
+        .when(F.startswith(r, F.lit("//")), F.concat(scheme, r))
+        .when(r == "", F.substring_index(b, "#", 1))
+        .when(F.startswith(r, F.lit("#")), F.concat(F.substring_index(b, "#", 1), r))
+        .when(F.startswith(r, F.lit("?")), F.concat(scheme, authority, base_path, r))
+        .otherwise(F.concat(scheme, authority, _bound(whole, without_dot_segments), tail))
+    )
+
+
 def resolve_reference(base: Column, reference: Column) -> Column:
     """The URL that a reference means at a base (RFC 3986 5.2). References with a scheme, and any where the base has none, stay as
     they are. NULL for a NULL reference."""
+    return _bound(reference, lambda r: _bound(base, lambda b: _resolved(b, r)))
+
+
+def resolve_below(bases: list[Column], reference: Column) -> Column:
+    """The same at nested bases, outermost first; an inner one may itself be relative, empty or NULL. An empty reference is the base. References with a scheme, most of
+    all, need no base and compute none."""
+
+    def step(outer: Column, inner: Column) -> Column:
+        return F.when(F.coalesce(inner, F.lit("")) == "", outer).otherwise(_resolved(outer, inner))
+
+    def at(r: Column) -> Column:
+        chained = F.aggregate(F.array(*bases[1:], r), bases[0], step)
+        return F.when(r.isNull() | F.rlike(r, F.lit(f"^{_SCHEME}")), r).otherwise(chained)
 
-    def at(b: Column) -> Column:
-        return _bound(reference, lambda r: resolved(b, r))
-
-    def resolved(b: Column, r: Column) -> Column:
-        scheme = F.regexp_extract(b, f"^({_SCHEME})", 1)
-        authority = F.regexp_extract(b, r"^(?:[^:/?#]+:)?(//[^/?#]*)", 1)
-        base_path = F.regexp_extract(b, _REFERENCE_PATH, 1)
-        path = F.regexp_extract(r, "(?s)^([^?#]*)", 1)
-        tail = F.regexp_extract(r, "(?s)^[^?#]*(.*)$", 1)
-        beside = F.when((authority != "") & (base_path == ""), F.lit("/")).otherwise(F.regexp_replace(base_path, "[^/]*$", ""))
-        return (
-            F.when(F.startswith(r, F.lit("//")), F.concat(scheme, r))
-            .when(r == "", F.substring_index(b, "#", 1))
-            .when(F.startswith(r, F.lit("#")), F.concat(F.substring_index(b, "#", 1), r))
-            .when(F.startswith(r, F.lit("?")), F.concat(scheme, authority, base_path, r))
-            .when(F.startswith(r, F.lit("/")), F.concat(scheme, authority, without_dot_segments(path), tail))
-            .otherwise(F.concat(scheme, authority, _bound(F.concat(beside, path), without_dot_segments), tail))
-        )
-
-    rooted = F.rlike(base, F.lit(f"^{_SCHEME}"))
-    absolute = F.rlike(reference, F.lit(f"^{_SCHEME}"))
-    return F.when(absolute | ~F.coalesce(rooted, F.lit(False)), reference).otherwise(_bound(base, at))
+    return _bound(reference, at)
 
 
 def replay_link(status: Column, capture_ts: Column, original_url: Column) -> Column:

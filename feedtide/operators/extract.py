@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedtide.functions.dates import feed_date, feed_date_text
-from feedtide.functions.urls import normalize_url, resolve_reference
+from feedtide.functions.urls import normalize_url, resolve_below
 from feedtide.operators.skew import join_dimension
 from feedtide.session import durable
 from feedtide.sources.fetches import SITEMAP_NAMESPACE, SITEMAP_ROOTS, judged_documents, root_element, root_tag, scan_fetches, tag_name
@@ -46,21 +46,12 @@ def _filled(text: Column) -> Column:
     return F.when(text != "", text)
 
 
-def _under(bases: list[Column], reference: Column) -> Column:
-    """A link below the given xml:base attributes, outermost first; the first is the document's own address. Most links are
-    absolute and need none of them."""
-    base = bases[0]
-    for inner in bases[1:]:
-        base = F.when(F.coalesce(inner, F.lit("")) == "", base).otherwise(resolve_reference(base, _trim(inner)))
-    return F.when(F.rlike(reference, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), reference).otherwise(resolve_reference(base, reference))
-
-
 def _item_link(item: Column, bases: list[Column]) -> Column:
     permalink = F.coalesce(F.lower(item["guid"]["_isPermaLink"]), F.lit("true")) == "true"
     link = F.coalesce(
         _filled(_trim(item["link"])), F.when(permalink, _filled(_trim(item["guid"]["_VALUE"])))
     )
-    return _under([*bases, item["_xml:base"]], link)
+    return resolve_below([*bases, _trim(item["_xml:base"])], link)
 
 
 def _entry_link(entry: Column, bases: list[Column]) -> Column:
@@ -70,7 +61,8 @@ def _entry_link(entry: Column, bases: list[Column]) -> Column:
         & F.coalesce(link["_type"], F.lit("text/html")).isin("text/html", "application/xhtml+xml")
         & link["_href"].isNotNull(),
     )
-    chosen = F.transform(F.slice(pages, F.greatest(F.size(pages), F.lit(1)), 1), lambda link: _under([*bases, entry["_xml:base"], link["_xml:base"]], _filled(_trim(link["_href"]))))
+    last = F.slice(pages, F.greatest(F.size(pages), F.lit(1)), 1)
+    chosen = F.transform(last, lambda link: resolve_below([*bases, _trim(entry["_xml:base"]), _trim(link["_xml:base"])], _filled(_trim(link["_href"]))))
     return F.try_element_at(chosen, F.lit(1))
 
 
@@ -104,7 +96,7 @@ def _unprefixed(body: Column, tag: Column) -> Column:
 
 
 def _feed_rows(feed: Column, address: Column) -> Column:
-    top = [address, feed["_xml:base"], feed["channel"]["_xml:base"]]
+    top = [address, _trim(feed["_xml:base"]), _trim(feed["channel"]["_xml:base"])]
     items = F.transform(
         F.coalesce(feed["channel"]["item"], feed["item"]),
         lambda item: _row(FEED, _item_link(item, top), item["title"], _published(item)),

@@ -18,7 +18,7 @@ from feedtide.functions.status import (
     folded_status,
     is_retryable,
 )
-from feedtide.operators.skew import running_within
+from feedtide.operators.skew import first_k_within, running_within
 from feedtide.params import Params
 
 SEEN_COLUMNS = [
@@ -176,23 +176,40 @@ def attempts_timeline(
 def run_outcome_totals(
     outcomes: DataFrame, params: Params, seen: DataFrame | None = None
 ) -> DataFrame:
-    """A3: outcome counts per run, leftovers and new URLs together."""
-    failures = attempts_timeline(outcomes, params, seen).select("run_id", "kind", "is_error", "will_retry")
-    open_jobs = outcomes.filter(F.col("kind").isin(*PENDING_KINDS)).select(
-        "run_id", "kind", F.lit(False).alias("is_error"), F.lit(None).cast("boolean").alias("will_retry")
+    """A3: outcome counts per run, leftovers and new URLs together, and the 429 answers of all outcomes (`rate_limited`).
+
+    One conditional aggregate over the log counts everything but retries. Those are the retryable ones among a URL's first
+    `attempts_limit - 1` failures (those in `seen` come first), so only the first few failures of each URL are ranked. A run
+    without any outcome of state or pending kind has no row."""
+    kind = F.col("kind")
+    failed = kind.isin(*ERROR_KINDS)
+    counts = outcomes.groupBy("run_id").agg(
+        F.count_if(kind == "success").alias("success"),
+        F.count_if(failed).alias("error"),
+        F.count_if(kind.isin(*PENDING_KINDS)).alias("pending"),
+        F.count_if(kind == "already_archived").alias("already_archived"),
+        F.sum(F.col("n_rate_limited").cast("bigint")).alias("rate_limited"),
+        F.count_if(kind.isin(*STATE_KINDS) | kind.isin(*PENDING_KINDS)).alias("_rows"),
     )
+    failures = outcomes.filter(failed).select(
+        "norm_url", "seq", "run_id", is_retryable(kind, F.col("status_ext")).alias("retryable")
+    )
+    limit = max(params.attempts_limit - 1, 0)
+    first = first_k_within(failures, ["norm_url"], [F.col("seq")], max(limit, 1), spread=["seq"], name="attempt").filter(F.col("attempt") <= limit)
+    if seen is not None:
+        earlier = seen.select("norm_url", F.col("attempts").alias("_earlier"))
+        first = first.join(earlier, "norm_url", "left").filter(F.col("attempt") + F.coalesce("_earlier", F.lit(0)) <= limit)
+    retried = first.filter("retryable").groupBy("run_id").agg(F.count("*").alias("error_retry"))
     return (
-        failures.unionByName(open_jobs)
-        .groupBy("run_id")
-        .agg(
-            F.count_if(F.col("kind") == "success").alias("success"),
-            F.count_if("is_error").alias("error"),
-            F.count_if(F.col("kind").isin(*PENDING_KINDS)).alias("pending"),
-            F.count_if(F.col("kind") == "already_archived").alias("already_archived"),
-            F.count_if(F.col("is_error") & F.col("will_retry")).alias("error_retry"),
-            F.count_if(F.col("is_error") & ~F.col("will_retry")).alias("error_permanent"),
+        counts.filter("_rows > 0 OR rate_limited > 0")
+        .join(retried, "run_id", "left")
+        .select(
+            "run_id", "success", "error", "pending", "already_archived",
+            F.coalesce("error_retry", F.lit(0)).alias("error_retry"),
+            (F.col("error") - F.coalesce("error_retry", F.lit(0))).alias("error_permanent"),
+            "rate_limited",
         )
-    )
+    )
 
 
 def already_archived_by_source(outcomes: DataFrame) -> DataFrame:
@@ -220,8 +237,8 @@ RUN_COUNTERS = [
 
 
 def run_summary(runs: DataFrame, *counts: DataFrame) -> DataFrame:
-    """One row per run. `counts` are tables of run_id and some of RUN_COUNTERS, one row per run."""
-    joined = runs.select("run_id", "ts")
+    """One row per run. `runs` (with ts) and `counts` are tables of run_id and some of RUN_COUNTERS, one row per run."""
+    joined = runs
     for table in counts:
         joined = joined.join(table, "run_id", "left")
     present = set(joined.columns)

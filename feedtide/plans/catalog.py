@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedtide import schemas
+from feedtide.functions.status import is_known_status
 from feedtide.functions.urls import normalize_url
 from feedtide.operators import captures as cap
 from feedtide.operators import extract, feeds, lookup, outcomes, planning, rate, reports, retention
@@ -72,11 +73,9 @@ def _lost(s: SparkSession, d: str) -> DataFrame:
 
 
 def _loss_log(s: SparkSession, d: str) -> DataFrame:
-    """The loss log, a table in practice; entries carry the time of their run."""
-    return durable(
-        _lost(s, d).select(
-            F.col("run_id").cast("timestamp").alias("ts"), "source", "norm_url", "reason", "run_id"
-        )
+    """The loss log; entries carry the time of their run."""
+    return _lost(s, d).select(
+        F.col("run_id").cast("timestamp").alias("ts"), "source", "norm_url", "reason", "run_id"
     )
 
 
@@ -96,13 +95,12 @@ def _full_stats(s: SparkSession, d: str) -> DataFrame:
 
 def _history(s: SparkSession, d: str) -> DataFrame:
     """Run history: one row per day of events."""
-    log, items, runs = td.outcomes(s, d), durable(td.event_items(s, d)), td.event_runs(s, d)
-    first = lookup.dedupe_first_wins(items).select("run_id", "norm_url")
-    unknown = first.join(_statuses(s, d, first), ["run_id", "norm_url"], "left").filter(
-        F.col("status").isNull() | (F.col("status") == "error_retry")
-    )
+    log, items, runs = td.outcomes(s, d), td.event_items(s, d), td.event_runs(s, d)
+    listed = items.select("run_id", "norm_url").distinct()
+    known = _statuses(s, d, listed).filter(is_known_status(F.col("status"))).select("run_id")
+    unknown = listed.select("run_id", F.lit(1).alias("n")).unionByName(known.select("run_id", F.lit(-1).alias("n")))
     deferred = unknown.groupBy("run_id").agg(
-        F.greatest(F.count("*") - EVENTS.capacity, F.lit(0)).alias("deferred")
+        F.greatest(F.sum("n") - EVENTS.capacity, F.lit(0)).alias("deferred")
     )
     expiring = (
         outcomes.seen_from_outcomes(log, EVENTS)
@@ -111,11 +109,9 @@ def _history(s: SparkSession, d: str) -> DataFrame:
         .agg(F.count("*").alias("purged"))
     )
     return outcomes.run_summary(
-        runs.groupBy("run_id").agg(F.max("ts").alias("ts")),
-        runs.groupBy("run_id").agg(F.count("*").alias("sources_processed")),
+        runs.groupBy("run_id").agg(F.max("ts").alias("ts"), F.count("*").alias("sources_processed")),
         items.groupBy("run_id").agg(F.count("*").alias("discovered")),
         outcomes.run_outcome_totals(log, EVENTS),
-        outcomes.rate_limited_by_source(log).groupBy("run_id").agg(F.sum("rate_limited_count").alias("rate_limited")),
         deferred,
         expiring,
     )
@@ -293,7 +289,7 @@ def indexed_availability(s, d):
 
 @query
 def recheck_dropped(s, d):
-    log = _loss_log(s, d)
+    log = durable(_loss_log(s, d))
     return feeds.recheck_dropped(log, _availability(s, d, log))
 
 
@@ -365,7 +361,7 @@ def published_coverage(s, d):
 
 @query
 def run_outcome_totals(s, d):
-    return outcomes.run_outcome_totals(td.outcomes(s, d, per_day=True), EVENTS)
+    return outcomes.run_outcome_totals(td.outcomes(s, d, per_day=True), EVENTS).drop("rate_limited")
 
 
 @query
@@ -515,7 +511,7 @@ def recent_runs(s, d):
 
 @query
 def recent_dropped(s, d):
-    return reports.recent_dropped(_loss_log(s, d))
+    return reports.recent_dropped(durable(_loss_log(s, d)))
 
 
 @query
@@ -525,7 +521,7 @@ def data_freshness(s, d):
 
 @query
 def recheck_worklist(s, d):
-    log = _loss_log(s, d)
+    log = durable(_loss_log(s, d))
     return reports.recheck_worklist(log, _availability(s, d, log))
 
 

@@ -81,7 +81,6 @@ def after_capture(
         sources,
         opened["discovered"].groupBy("run_id").agg(F.count("*").alias("discovered")),
         outcomes.run_outcome_totals(everything, params, inputs["seen"]),
-        everything.groupBy("run_id").agg(F.sum(F.col("n_rate_limited").cast("bigint")).alias("rate_limited")),
         opened["coverage"].groupBy("run_id").agg(F.sum("deferred").alias("deferred")),
         purged,
     )
