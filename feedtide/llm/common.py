@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedtide.session import fresh_path
+from feedtide.sources.state import remove
 
 POSITION_BITS = 33  # of monotonically_increasing_id: the row number in its partition
 
@@ -18,7 +19,15 @@ def store(df: DataFrame, label: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage ends there and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stored tables that no later plan reads: what was made of them must be stored, too."""
+    for table in tables:
+        remove(table.sparkSession, [table.stored_at])
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedtide.llm.common import store
+from feedtide.llm.common import discard, store
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        pairs = store(small.distinct(), f"{label}-{n}")
+        before, pairs = pairs, store(small.distinct(), f"{label}-{n}")
+        discard(before)
         row = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (row["n"], row["s"]) == state:
             break

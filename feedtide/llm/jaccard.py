@@ -6,35 +6,44 @@ and pairs of documents by their points. Points of unrelated texts are far apart
 prunes little. Therefore the trees are built over documents that share a token of their prefixes (the 25 % of a set that any set with
 similarity 0.75 must meet): no pair is lost, and a tree compares only documents with something in common.
 
-Texts with equal sets are one class. First each class is compared with the smallest class of its lists, which joins groups of copies
-into stars; then the trees look for links between classes that are still in different components. So a group of n near copies costs
-n comparisons, not n^2, and every link between components is found.
+A point has more groups the larger the set (at most PER_GROUP shingles a group on average, up to TREE_GROUPS groups), since few groups say
+nothing about long texts. Sets that may link differ by a third in size at most, so a set meets those of its own number of groups, and
+those of half as many with its groups added up in twos.
 
-A pair that passes is bounded once more by finer points, whose number of groups grows with the set (at most PER_GROUP shingles a group
-on average), before any text is fetched for it.
+Texts with equal sets are one class. First each class is compared with a class of like size that leads one of its lists, which joins groups
+of copies into stars; while that finds links for a good share of the pairs it is done again with other leaders. Then the trees look for links between
+classes that are still in different components. So a group of n near copies costs a few n comparisons, not n^2, and every link between
+components is found.
+
+A pair that passes is bounded once more by finer points, whose number of groups has no limit, before any text is fetched for it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedtide.llm.common import documents, store, text_or_empty
+from feedtide.llm.common import discard, documents, store, text_or_empty
 from feedtide.llm.components import components
 from feedtide.llm.shingles import mixed, shingle_set, word_hasher
 
-GROUPS = 64  # of a point in a tree; a power of 2
+GROUPS = 64  # of a point at least; a power of 2
+TREE_GROUPS = 1024  # of a point in a tree at most
 PER_GROUP = 4  # shingles in a group of a finer point, on average and at most
 COUNTERS = 1 << 17  # of shingles by hash: shows which ones are frequent
 FREQUENT = 8.0  # standard deviations above the mean counter
 FAN = 16  # entries of a tree node
 LIST_BLOCK = 2048  # longer lists are joined block by block
 TREE_ROWS = 20_000  # entries of a tree, about
+CORNERS = 1 << 22  # coordinates that are compared at once
 BUCKETS = 1 << 20  # of document ids, for picking texts
+ROUNDS = 6  # of stars at most; the trees find whatever is left
+WORTH = 10  # a further round needs links for one pair in so many
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -43,11 +52,6 @@ def class_of(shingles: np.ndarray) -> int:
         return int(mixed(shingles.sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
 
 
-def point_of(shingles: np.ndarray) -> np.ndarray:
-    """uint32 counts: a group is the top bits of the hash."""
-    return counts_of(shingles, GROUPS).astype("<u4")
-
-
 def counts_of(shingles: np.ndarray, groups: int) -> np.ndarray:
     """How many shingles fall in each of `groups` groups, a power of 2. Groups 2 i and 2 i + 1 are group i of half as many."""
     return np.bincount((shingles >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
@@ -58,12 +62,20 @@ def fine_groups(n: int) -> int:
     return max(GROUPS, 1 << (-(-n // PER_GROUP) - 1).bit_length())
 
 
-def fine_point(shingles: np.ndarray) -> bytes:
+def tree_groups(n: int) -> int:
+    return min(fine_groups(n), TREE_GROUPS)
+
+
+def point_of(shingles: np.ndarray, groups: int) -> bytes:
     """Counts in bytes, or in four bytes each if one of them needs more."""
-    counts = counts_of(shingles, fine_groups(len(shingles)))
+    counts = counts_of(shingles, groups)
     return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
 
 
+def fine_point(shingles: np.ndarray) -> bytes:
+    return point_of(shingles, fine_groups(len(shingles)))
+
+
 def fine_overlap(p: bytes, n: int, q: bytes, m: int) -> int:
     """Upper bound on the overlap of sets of n and m shingles by their finer points: the sum of minima in the coarser groups of the two."""
     a, b = (np.frombuffer(x, dtype="u1" if len(x) == fine_groups(k) else "<u4") for x, k in ((p, n), (q, m)))
@@ -88,7 +100,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 seen.append(shingles)
                 classes.append(class_of(shingles) if len(shingles) else None)
                 sizes.append(len(shingles))
-                points.append(point_of(shingles).tobytes())
+                points.append(point_of(shingles, tree_groups(len(shingles))))
                 fine.append(fine_point(shingles))
             counters += np.bincount((np.concatenate(seen) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             none = [None] * len(sizes)
@@ -147,34 +159,75 @@ def tree_join(key: np.ndarray, side: np.ndarray, group: np.ndarray, size: np.nda
     corner of its points. Both sides of the join go down the tree together, one level at a time.
     """
     order = np.lexsort((point[:, 0], size, key))
-    levels = [(key[order], key[order], size[order].astype(np.int64), point[order].astype(np.int64))]
+    levels = [(key[order], key[order], size[order].astype(np.int64), point[order].astype(np.int32))]
     while len(levels[-1][0]) > 1:
         low, high, least, corner = levels[-1]
         cuts = np.arange(0, len(low), FAN)
         levels.append((low[cuts], high[np.minimum(cuts + FAN, len(low)) - 1], np.minimum.reduceat(least, cuts), np.maximum.reduceat(corner, cuts, axis=0)))
     left, right = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    child, at_once = np.arange(FAN), max(1, CORNERS // point.shape[1])
     for depth in range(len(levels) - 1, -1, -1):
         low, high, least, corner = levels[depth]
-        if depth < len(levels) - 1:
-            child = np.arange(FAN)
-            left, right = np.broadcast_arrays(left[:, None, None] * FAN + child[:, None], right[:, None, None] * FAN + child)
-            left, right = left.ravel(), right.ravel()
-        kept_left, kept_right = [], []
-        for at in range(0, len(left), 1 << 17):
-            i, j = left[at : at + (1 << 17)], right[at : at + (1 << 17)]
+        kept_left, kept_right = [left[:0]], [right[:0]]
+        for start in range(0, len(left), at_once):  # pairs of nodes are opened a few at a time
+            i, j = left[start : start + at_once], right[start : start + at_once]
+            if depth < len(levels) - 1:
+                i, j = np.broadcast_arrays(i[:, None, None] * FAN + child[:, None], j[:, None, None] * FAN + child)
+                i, j = i.ravel(), j.ravel()
             ok = (i < len(low)) & (j < len(low)) & (i <= j)
             i, j = i[ok], j[ok]
             ok = (low[i] <= high[j]) & (low[j] <= high[i])
             i, j = i[ok], j[ok]
-            ok = _enough(np.minimum(corner[i], corner[j]).sum(axis=1), least[i], least[j])
-            kept_left.append(i[ok])
-            kept_right.append(j[ok])
+            for at in range(0, len(i), at_once):
+                p, q = i[at : at + at_once], j[at : at + at_once]
+                ok = _enough(np.minimum(corner[p], corner[q]).sum(axis=1), least[p], least[q])
+                kept_left.append(p[ok])
+                kept_right.append(q[ok])
         left, right = np.concatenate(kept_left), np.concatenate(kept_right)
     left, right = order[left], order[right]
     meet = (group[left] != group[right]) & ((side[left] == 2) | (side[left] != side[right]))
     return left[meet], right[meet]
 
 
+def unpacked(point: bytes, groups: int) -> np.ndarray:
+    return np.frombuffer(point, dtype="u1" if len(point) == groups else "<u4")
+
+
+def joined_by_size(key: np.ndarray, side: np.ndarray, group: np.ndarray, size: np.ndarray, points: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """`tree_join` over one tree for each number of groups. Sets with twice as many come into it with their groups added up in twos
+    if they are small enough for a link with a set of the tree; two of those are not compared here."""
+    groups = np.array([tree_groups(int(n)) for n in size], dtype=np.int64)
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for g in np.unique(groups).tolist():
+        own, finer = np.flatnonzero(groups == g), np.flatnonzero((groups == 2 * g) & (3 * size <= 4 * PER_GROUP * g))
+        rows = np.concatenate([own, finer])
+        point = np.empty((len(rows), g), dtype=np.int32)
+        for k, row in enumerate(rows.tolist()):
+            counts = unpacked(points[row], int(groups[row]))
+            point[k] = counts if k < len(own) else counts.reshape(g, 2).sum(axis=1)
+        i, j = tree_join(key[rows], side[rows], group[rows], size[rows], point)
+        ok = (i < len(own)) | (j < len(own))
+        left.append(rows[i[ok]])
+        right.append(rows[j[ok]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def star_pairs(lists: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """a, b: each class with one leader of its lists, the one it shares most tokens with. The leaders of a list are one class for each
+    range of sizes, another one each turn."""
+    labelled = lists.withColumn("group", F.col("class")) if labels is None else _labelled(lists, labels)
+    ranged = labelled.withColumn("range", F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(4 / 3))).cast("int"))
+    leader = F.min(F.struct(F.xxhash64("class", F.lit(turn)), F.col("class").alias("leader"), F.col("group").alias("of"))).alias("first")
+    leaders = ranged.groupBy("token", "range").agg(leader, F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
+    shared = ranged.join(leaders.select("token", "range", "first.leader", "first.of"), ["token", "range"]).filter("group != of")
+    counted = shared.groupBy("class", "leader").agg(F.count("*").alias("n"))
+    return counted.groupBy("class").agg(F.max_by("leader", F.struct("n", "leader")).alias("b")).select(F.col("class").alias("a"), "b")
+
+
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    return lists.join(labels, lists["class"] == labels["node"], "left").withColumn("group", F.coalesce("root", "class")).drop("node", "root")
+
+
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets have a similarity of 0.75 or more: first by their finer points, then by their texts."""
     side = lambda c: classes.select(F.col("class").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}"))
@@ -228,12 +281,14 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = near.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    return store(both.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a bigint, b bigint"), "jaccard-links")
+    links = store(both.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a bigint, b bigint"), "jaccard-links")
+    discard(near, texts)
+    return links
 
 
 def tree_candidates(multi: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of classes in different components that share a token and whose points allow a link."""
-    labelled = multi.join(labels, multi["class"] == labels["node"], "left").select("token", "class", F.coalesce("root", "class").alias("group"))
+    labelled = _labelled(multi.select("token", "class"), labels)
     open_ = labelled.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     entries = labelled.join(open_.select("token", "n"), "token")
     # a long list is joined block by block: an entry of block i goes to all pairs of blocks with i
@@ -247,15 +302,16 @@ def tree_candidates(multi: DataFrame, labels: DataFrame, classes: DataFrame) ->
     trees = max(1, spread.count() // TREE_ROWS)
 
     def join(table: pa.Table) -> pa.Table:
-        point = np.array([np.frombuffer(x, dtype="<u4") for x in table["point"].to_pylist()]).reshape(-1, GROUPS)
         names = ("key", "side", "group", "n_shingles", "class")
         key, side, group, size, cls = (table[c].to_numpy() for c in names)
-        i, j = tree_join(key, side, group, size, point)
+        i, j = joined_by_size(key, side, group, size, table["point"].to_pylist())
         found = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1), axis=0)
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
     grouped = spread.withColumn("tree", F.pmod(F.xxhash64("key"), F.lit(trees))).groupBy("tree")
-    return grouped.applyInArrow(join, "a bigint, b bigint").distinct()
+    pairs = store(grouped.applyInArrow(join, "a bigint, b bigint").distinct(), "jaccard-pairs")
+    discard(spread)
+    return pairs
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -272,16 +328,25 @@ def link(docs: DataFrame) -> DataFrame:
         "jaccard-classes",
     )
     dealt = postings(docs, frequent_counters(profiled)).repartition("token")  # both uses below read this one exchange
-    shared = dealt.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last")).filter("leader < last")
-    multi = store(dealt.join(shared.select("token", "leader"), "token").distinct(), "jaccard-lists")
-
-    stars = multi.filter("class != leader").groupBy("class", "leader").agg(F.count("*").alias("n"))
-    best = stars.groupBy("class").agg(F.max_by("leader", F.struct("n", "leader")).alias("b")).select(F.col("class").alias("a"), "b")
-    first = verify(best, classes, docs)
-    labels = components(first, "jaccard-stars")
-    second = verify(tree_candidates(multi.select("token", "class"), labels, classes), classes, docs)
-    if not second.isEmpty():
-        labels = components(first.unionByName(second), "jaccard-all")
+    shared = dealt.groupBy("token").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first < last")
+    lists = dealt.join(shared.select("token"), "token").distinct().join(classes.select("class", "n_shingles"), "class", "left")  # an inner join would put a filter below one of the two uses of `dealt`
+    multi = store(lists.select("token", "class", "n_shingles"), "jaccard-lists")
+
+    labels, links = None, []
+    for turn in range(ROUNDS):
+        pairs = store(star_pairs(multi, labels, turn), "jaccard-stars")
+        links.append(verify(pairs, classes, docs))
+        tried, linked = pairs.count(), links[-1].count()
+        discard(pairs)
+        if linked or labels is None:
+            labels = components(reduce(DataFrame.unionByName, links), "jaccard-stars")
+        if linked * WORTH < tried or not tried:
+            break
+    pairs = tree_candidates(multi, labels, classes)
+    links.append(verify(pairs, classes, docs))
+    discard(pairs, multi)
+    if not links[-1].isEmpty():
+        labels = components(reduce(DataFrame.unionByName, links), "jaccard-all")
 
     named = classes.join(labels, classes["class"] == labels["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "rep")
     named = named.select("class", "root").join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("class", "component_id")

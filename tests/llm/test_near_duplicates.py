@@ -173,3 +173,39 @@ def test_finer_points_bound_the_overlap():
         assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
     unlike = jaccard.fine_overlap(jaccard.fine_point(base), len(base), jaccard.fine_point(sets[3]), len(sets[3]))
     assert 7 * unlike < 3 * (len(base) + len(sets[3]))  # and tells unlike texts of any length apart
+
+
+def test_points_of_different_numbers_of_groups_meet():
+    """Sets around the sizes at which the number of groups doubles: no similar pair is lost."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (200, 250, 256, 257, 300, 340, 512, 513, 600, 5000):
+        base = np.unique(rng.integers(0, 1 << 63, n * 2).astype(np.uint64) * np.uint64(2))[:n]
+        for share in (0.0, 0.05, 0.12, 0.3):
+            own = np.concatenate([base[int(share * n) :], rng.integers(0, 1 << 63, int(share * n * rng.random())).astype(np.uint64)])
+            sets.append(np.unique(own))
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    points = [jaccard.point_of(s, jaccard.tree_groups(len(s))) for s in sets]
+    same = np.zeros(len(sets), dtype=np.int64)
+    i, j = jaccard.joined_by_size(same, same + 2, np.arange(len(sets)), size, points)
+    got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        assert (a, b) in got or 100 * common < 75 * (size[a] + size[b] - common)
+    assert len(got) < len(sets) * 4  # other families are not candidates
+
+
+def test_many_near_copies_need_few_pairs(spark, monkeypatch):
+    rnd = random.Random(11)
+    base, rows = prose(77, 60).split(), []
+    for copy in range(150):
+        words = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            words[rnd.randrange(len(words))] = f"y{rnd.randrange(1000)}"
+        rows.append((copy, " ".join(words)))
+    tried = []
+    original = jaccard.tree_candidates
+    monkeypatch.setattr(jaccard, "tree_candidates", lambda *args: tried.append(original(*args)) or tried[-1])
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: None)
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute_components(rows)
+    assert tried[0].count() < 10 * len(rows)
