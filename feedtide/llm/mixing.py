@@ -84,13 +84,12 @@ def choose(rows: DataFrame, targets: DataFrame) -> DataFrame:
     open_ = chosen.filter(~F.col("picked")).join(left, chosen["source"].eqNullSafe(F.col("_source")))
     last = (
         open_.groupBy("source")
-        .agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("miss"), "key", "doc_id", "size", "left")).alias("best"))
+        .agg(F.min(F.struct(F.abs(F.col("left") - F.col("size")).alias("miss"), "key", "doc_id", "size", "end", "left")).alias("best"))
         .filter(F.col("best.miss") < F.col("best.left"))
-        .select(F.col("source").alias("_source"), F.col("best.key").alias("_key"), F.col("best.doc_id").alias("_doc_id"), F.col("best.size").alias("_size"))
-    )
-    same = (
-        chosen["source"].eqNullSafe(last["_source"]) & (chosen["key"] == last["_key"]) & chosen["doc_id"].eqNullSafe(last["_doc_id"]) & (chosen["size"] == last["_size"])
+        .select(F.col("source").alias("_source"), F.col("best.key").alias("_key"), F.col("best.end").alias("_end"))
     )
+    # sizes above 0 add up to another sum at every row, so the sum tells equal rows apart
+    same = chosen["source"].eqNullSafe(last["_source"]) & (chosen["key"] == last["_key"]) & (chosen["end"] == last["_end"]) & (chosen["size"] > 0)
     copies = F.col("epochs") + (F.col("picked") | F.col("_key").isNotNull()).cast("int")
     return chosen.join(last, same, "left").select(
         "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies")
@@ -119,13 +118,29 @@ def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """Each row of `docs` as often as the mix takes it, with the same columns. Rows equal in doc_id, source and size are taken
-    equally often."""
-    taken = mix(docs, labels).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    taken = taken.toDF("_doc_id", "_source", "_size", "_copies")
+    """Each row of `docs` as often as the mix takes it, with the same columns. Where the mix takes some of the rows that are equal in
+    doc_id, source and size more often than others (a few groups for each source), as many of them are taken so."""
+    copies = F.col("copies")
+    taken = mix(docs, labels).groupBy("doc_id", "source", "size").agg(F.min(copies).alias("least"), F.max(copies).alias("most"), F.sum(copies).alias("all"), F.count("*").alias("n"))
+    taken = store(taken.filter("most > 0").toDF("_doc_id", "_source", "_size", "_least", "_most", "_all", "_n"), "mix-taken")
     same = docs["doc_id"].eqNullSafe(taken["_doc_id"]) & docs["source"].eqNullSafe(taken["_source"]) & (word_count() == taken["_size"])
-    repeats = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
-    return docs.join(taken, same).select(*[docs[c] for c in docs.columns], repeats).drop("_copy")
+
+    def repeated(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), times)).alias("_copy")).drop("_copy")
+
+    mixed = repeated(docs.join(taken.filter("_least = _most"), same), F.col("_most"))
+    uneven = taken.filter("_least < _most")
+    if uneven.isEmpty():
+        return mixed
+    keys = ["_doc_id", "_source", "_size"]
+    rows = docs.join(uneven, same).withColumn("_tie", F.monotonically_increasing_id())
+    placed = numbered(rows, [F.col(c) for c in [*keys, "_tie"]], "_nth", "mix-uneven")
+    first = placed.groupBy(*keys).agg(F.min("_nth").alias("_first")).toDF("_d", "_s", "_z", "_first")
+    found = placed["_doc_id"].eqNullSafe(first["_d"]) & placed["_source"].eqNullSafe(first["_s"]) & (placed["_size"] == first["_z"])
+    # copies differ by one at most: the first rows are taken once more
+    often = F.col("_least") + (F.col("_nth") - F.col("_first") < F.col("_all") - F.col("_least") * F.col("_n")).cast("int")
+    again = placed.join(first, found).withColumn("_often", often.cast("int")).filter("_often > 0")
+    return mixed.unionByName(repeated(again, F.col("_often")))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

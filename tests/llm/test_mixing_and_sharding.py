@@ -93,3 +93,20 @@ def test_shards_are_even_and_cut_only_large_groups(spark):
     for r in sharding.shard_documents(few, tolerance=0.001).collect():
         where.setdefault(r.text_crc32, set()).add(r.shard)
     assert sum(len(s) > 1 for s in where.values()) <= 7
+
+
+@pytest.mark.parametrize("copies", [1, 7, 200])
+def test_repeated_rows_are_taken_one_by_one(spark, copies):
+    """Rows that are equal in every column are rows of their own: each source comes within one document of its target."""
+    rows = [(k, "word " * (10 + k % 5), s) for s in "abc" for k in range(20)] + [(777, "word " * 12, s) for s in "abc" for _ in range(copies)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(rows)
+    for s in "abc":
+        mine = [r for r in found if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 14
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    assert out.count() == sum(r.copies for r in found)
+    per_source = {r.source: r.n for r in out.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert per_source == {s: n for s in "abc" if (n := sum(r.copies for r in found if r.source == s))}
