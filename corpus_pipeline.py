@@ -22,7 +22,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below REJECT_FROM."""
     model = train(docs, _labels(spark, sf_dir))
-    return score(docs, model).filter(F.col("score") < REJECT_FROM).select(*docs.columns)
+    scored = score(docs, model, names=("_toxicity", "_toxic_spans"))  # a documents table may have a score of its own
+    return scored.filter(F.col("_toxicity") < REJECT_FROM).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -281,9 +281,9 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit | None = None) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, span_from: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, span_from: float = 0.5, names: tuple[str, str] = ("score", "spans")) -> DataFrame:
     """The rows of `docs` with `score` and `spans`: code-point offsets [start, end) of tokens whose toxic marginal is at least `span_from`,
-    neighbours joined. Columns of these names are replaced.
+    neighbours joined. The two columns have the names `names`; columns of `docs` that are called so are replaced.
 
     Null, empty and blank texts have the score of a text without toxic words and no span. Repeated rows get equal scores.
     """
@@ -298,12 +298,12 @@ def score(docs: DataFrame, model: Model, span_from: float = 0.5) -> DataFrame:
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, b0 + b1 * total + b2 * most)))))
                 spans.append(offsets(text, [i for i, m in zip(places, marginals, strict=True) if m >= span_from]))
             kept = batch.columns[:-1]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64()), pa.array(spans, SPANS)], [*batch.schema.names[:-1], "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64()), pa.array(spans, SPANS)], [*batch.schema.names[:-1], *names])
 
     SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    rows = docs.drop("score", "spans")
+    rows = docs.drop(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.select("*", text_or_empty().cast("binary").alias("_utf8")).mapInArrow(tagged, f"{schema}, score double, spans array<struct<start:bigint,end:bigint>>")
+    return rows.select("*", text_or_empty().cast("binary").alias("_utf8")).mapInArrow(tagged, f"{schema}, `{names[0]}` double, `{names[1]}` array<struct<start:bigint,end:bigint>>")
 
 
 def offsets(text: bytes, tokens: list[int]) -> list[dict[str, int]]:

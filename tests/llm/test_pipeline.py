@@ -1,6 +1,7 @@
 """The stages in order over the small test table, and what their decisions must leave."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from feedtide.llm import jaccard, mixing, packing, substrings, toxicity
@@ -64,5 +65,11 @@ def test_mix_and_pack(steps, spark, sf_dir):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES)
+
+
+def test_columns_that_clash_with_work_columns_are_kept(spark, sf_dir):
+    docs = documents(spark, sf_dir).withColumn("score", F.lit(42.0)).withColumn("spans", F.lit("mine"))
+    after = corpus_pipeline.without_toxic(spark, docs, sf_dir)
+    assert after.schema == docs.schema and after.filter("score != 42.0 OR spans != 'mine'").isEmpty() and after.count() > 0
