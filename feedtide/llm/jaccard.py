@@ -6,8 +6,7 @@ and pairs of documents by their points. Points of unrelated texts are far apart
 prunes little. Therefore the trees are built over documents that share a token of their prefixes (the 25 % of a set that any set with
 similarity 0.75 must meet): no pair is lost, and a tree compares only documents with something in common.
 
-A point has more groups the larger the set (at most PER_GROUP shingles a group on average, up to TREE_GROUPS groups), since few groups say
-nothing about long texts. Sets that may link differ by a third in size at most, so a set meets those of its own number of groups, and
+A point has at least as many groups as the set has shingles, up to TREE_GROUPS groups, so that the minima come close to the overlap itself. Sets that may link differ by a third in size at most, so a set meets those of its own number of groups, and
 those of half as many with its groups added up in twos.
 
 Texts with equal sets are one class. First each class is compared with a class of like size that leads one of its lists, which joins groups
@@ -15,6 +14,10 @@ of copies into stars; while that finds links for a good share of the pairs it is
 classes that are still in different components. So a group of n near copies costs a few n comparisons, not n^2, and every link between
 components is found.
 
+A tree also looks at where the shared token stands in the two prefixes: if it is the first one that the sets share, they share at most what
+follows it in each. A pair that fails this has an earlier token in common, whose tree decides, or is no link. Entries that cannot pass
+it even with the smallest set of their list are left out of the trees.
+
 A pair that passes is bounded once more by finer points, whose number of groups has no limit, before any text is fetched for it.
 """
 
@@ -34,13 +37,13 @@ from feedtide.llm.shingles import mixed, shingle_set, word_hasher
 
 GROUPS = 64  # of a point at least; a power of 2
 TREE_GROUPS = 1024  # of a point in a tree at most
-PER_GROUP = 4  # shingles in a group of a finer point, on average and at most
+PER_GROUP = 1  # shingles in a group of a finer point, on average and at most
 COUNTERS = 1 << 17  # of shingles by hash: shows which ones are frequent
 FREQUENT = 8.0  # standard deviations above the mean counter
 FAN = 16  # entries of a tree node
 LIST_BLOCK = 2048  # longer lists are joined block by block
-TREE_ROWS = 20_000  # entries of a tree, about
-CORNERS = 1 << 22  # coordinates that are compared at once
+TREE_BYTES = 1 << 23  # of the points of a tree, about
+CORNERS = 1 << 23  # coordinates that are compared at once
 BUCKETS = 1 << 20  # of document ids, for picking texts
 ROUNDS = 6  # of stars at most; the trees find whatever is left
 WORTH = 10  # a further round needs links for one pair in so many
@@ -84,7 +87,7 @@ def fine_overlap(p: bytes, n: int, q: bytes, m: int) -> int:
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, class, n_shingles, point, fine for each document, and bucket, hits: how many shingles of all documents fall on a counter."""
+    """doc_id, class, n_shingles, point (null if it is the finer one), fine for each document, and bucket, hits: how many shingles of all documents fall on a counter."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counters = word_hasher(), np.zeros(COUNTERS, dtype=np.int64)
@@ -100,8 +103,8 @@ def profiles(docs: DataFrame) -> DataFrame:
                 seen.append(shingles)
                 classes.append(class_of(shingles) if len(shingles) else None)
                 sizes.append(len(shingles))
-                points.append(point_of(shingles, tree_groups(len(shingles))))
                 fine.append(fine_point(shingles))
+                points.append(point_of(shingles, TREE_GROUPS) if fine_groups(len(shingles)) > TREE_GROUPS else None)
             counters += np.bincount((np.concatenate(seen) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
             none = [None] * len(sizes)
             yield emit(batch.column(0).to_pylist(), classes, sizes, points, fine, none, none)
@@ -130,21 +133,23 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """token, class: the prefixes. A task emits a class once, so exact copies cost nothing."""
+    """token, class, rest (shingles of the set from the token on): the prefixes. A task emits a class once, so exact copies cost nothing."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done = word_hasher(), set()
         for batch in batches:
-            tokens, classes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+            tokens, classes, rests = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for text in batch.column(0).to_pylist():
                 shingles = shingle_set(words(text))
                 if len(shingles) and (c := class_of(shingles)) not in done:
                     done.add(c)
                     tokens.append(prefix(shingles, frequent))
                     classes.append(np.full(len(tokens[-1]), c, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes))], ["token", "class"])
+                    rests.append(len(shingles) - np.arange(len(tokens[-1])))
+            columns = [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(rests))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "class", "rest"])
 
-    return docs.select(text_or_empty().cast("binary")).mapInArrow(emit, "token bigint, class bigint")
+    return docs.select(text_or_empty().cast("binary")).mapInArrow(emit, "token bigint, class bigint, rest bigint")
 
 
 def _enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,22 +157,26 @@ def _enough(overlap: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 7 * overlap >= 3 * (a + b)
 
 
-def tree_join(key: np.ndarray, side: np.ndarray, group: np.ndarray, size: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with equal key, different group, sides that meet (0 with 1, 2 with 2) and a sufficient bound on their overlap.
+def tree_join(
+    key: np.ndarray, side: np.ndarray, group: np.ndarray, size: np.ndarray, point: np.ndarray, rest: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with equal key, different group, sides that meet (0 with 1, 2 with 2) and sufficient bounds on their overlap: the sum of
+    the minima of their points, and the smaller rest (without `rest`, a set may share all its shingles).
 
-    The tree is packed bottom-up over rows sorted by key, size and point; a node has the range of its keys, its smallest size and the upper
-    corner of its points. Both sides of the join go down the tree together, one level at a time.
+    The tree is packed bottom-up over rows sorted by key, size and point; a node has the range of its keys, its smallest size, its largest rest
+    and the upper corner of its points. Both sides of the join go down the tree together, one level at a time.
     """
+    rest = size if rest is None else rest
     order = np.lexsort((point[:, 0], size, key))
-    levels = [(key[order], key[order], size[order].astype(np.int64), point[order].astype(np.int32))]
+    levels = [(key[order], key[order], size[order].astype(np.int64), rest[order].astype(np.int64), point[order])]
     while len(levels[-1][0]) > 1:
-        low, high, least, corner = levels[-1]
+        low, high, least, most, corner = levels[-1]
         cuts = np.arange(0, len(low), FAN)
-        levels.append((low[cuts], high[np.minimum(cuts + FAN, len(low)) - 1], np.minimum.reduceat(least, cuts), np.maximum.reduceat(corner, cuts, axis=0)))
+        levels.append((low[cuts], high[np.minimum(cuts + FAN, len(low)) - 1], np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts), np.maximum.reduceat(corner, cuts, axis=0)))
     left, right = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
     child, at_once = np.arange(FAN), max(1, CORNERS // point.shape[1])
     for depth in range(len(levels) - 1, -1, -1):
-        low, high, least, corner = levels[depth]
+        low, high, least, most, corner = levels[depth]
         kept_left, kept_right = [left[:0]], [right[:0]]
         for start in range(0, len(left), at_once):  # pairs of nodes are opened a few at a time
             i, j = left[start : start + at_once], right[start : start + at_once]
@@ -176,11 +185,11 @@ def tree_join(key: np.ndarray, side: np.ndarray, group: np.ndarray, size: np.nda
                 i, j = i.ravel(), j.ravel()
             ok = (i < len(low)) & (j < len(low)) & (i <= j)
             i, j = i[ok], j[ok]
-            ok = (low[i] <= high[j]) & (low[j] <= high[i])
+            ok = (low[i] <= high[j]) & (low[j] <= high[i]) & _enough(np.minimum(most[i], most[j]), least[i], least[j])
             i, j = i[ok], j[ok]
             for at in range(0, len(i), at_once):
                 p, q = i[at : at + at_once], j[at : at + at_once]
-                ok = _enough(np.minimum(corner[p], corner[q]).sum(axis=1), least[p], least[q])
+                ok = _enough(np.minimum(corner[p], corner[q]).sum(axis=1, dtype=np.int64), least[p], least[q])
                 kept_left.append(p[ok])
                 kept_right.append(q[ok])
         left, right = np.concatenate(kept_left), np.concatenate(kept_right)
@@ -193,19 +202,27 @@ def unpacked(point: bytes, groups: int) -> np.ndarray:
     return np.frombuffer(point, dtype="u1" if len(point) == groups else "<u4")
 
 
-def joined_by_size(key: np.ndarray, side: np.ndarray, group: np.ndarray, size: np.ndarray, points: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def joined_by_size(
+    key: np.ndarray, side: np.ndarray, group: np.ndarray, size: np.ndarray, points: list[bytes], rest: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """`tree_join` over one tree for each number of groups. Sets with twice as many come into it with their groups added up in twos
     if they are small enough for a link with a set of the tree; two of those are not compared here."""
+    rest = size if rest is None else rest
     groups = np.array([tree_groups(int(n)) for n in size], dtype=np.int64)
+    narrow = np.array([len(p) for p in points], dtype=np.int64) == groups  # a byte a count
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for g in np.unique(groups).tolist():
         own, finer = np.flatnonzero(groups == g), np.flatnonzero((groups == 2 * g) & (3 * size <= 4 * PER_GROUP * g))
         rows = np.concatenate([own, finer])
         point = np.empty((len(rows), g), dtype=np.int32)
+        if narrow[rows].all():
+            point = point.astype(np.uint16)  # sums of two bytes
         for k, row in enumerate(rows.tolist()):
             counts = unpacked(points[row], int(groups[row]))
             point[k] = counts if k < len(own) else counts.reshape(g, 2).sum(axis=1)
-        i, j = tree_join(key[rows], side[rows], group[rows], size[rows], point)
+        if point.dtype == np.uint16 and point.max(initial=0) < 256:
+            point = point.astype(np.uint8)
+        i, j = tree_join(key[rows], side[rows], group[rows], size[rows], point, rest[rows])
         ok = (i < len(own)) | (j < len(own))
         left.append(rows[i[ok]])
         right.append(rows[j[ok]])
@@ -288,7 +305,10 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def tree_candidates(multi: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of classes in different components that share a token and whose points allow a link."""
-    labelled = _labelled(multi.select("token", "class"), labels)
+    # what a set can share from this token on must do for the smallest set of the list
+    smallest = multi.groupBy("token").agg(F.min("n_shingles").alias("smallest"))
+    able = multi.join(smallest, "token").filter(7 * F.col("rest") >= 3 * (F.col("n_shingles") + F.greatest("smallest", F.ceil(F.col("n_shingles") * 3 / 4))))
+    labelled = store(_labelled(able.select("token", "class", "rest"), labels), "jaccard-able")
     open_ = labelled.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
     entries = labelled.join(open_.select("token", "n"), "token")
     # a long list is joined block by block: an entry of block i goes to all pairs of blocks with i
@@ -298,13 +318,14 @@ def tree_candidates(multi: DataFrame, labels: DataFrame, classes: DataFrame) ->
     spread = spread.withColumn("key", F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other"))).withColumn(
         "side", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     )
-    spread = store(spread.join(classes.select("class", "n_shingles", "point"), "class").select("key", "side", "class", "group", "n_shingles", "point"), "jaccard-entries")
-    trees = max(1, spread.count() // TREE_ROWS)
+    spread = store(spread.join(classes.select("class", "n_shingles", "point"), "class").select("key", "side", "class", "group", "n_shingles", "rest", "point"), "jaccard-entries")
+    discard(labelled)
+    trees = 1 + (spread.agg(F.sum(F.octet_length("point"))).first()[0] or 0) // TREE_BYTES
 
     def join(table: pa.Table) -> pa.Table:
-        names = ("key", "side", "group", "n_shingles", "class")
-        key, side, group, size, cls = (table[c].to_numpy() for c in names)
-        i, j = joined_by_size(key, side, group, size, table["point"].to_pylist())
+        names = ("key", "side", "group", "n_shingles", "rest", "class")
+        key, side, group, size, rest, cls = (table[c].to_numpy() for c in names)
+        i, j = joined_by_size(key, side, group, size, table["point"].to_pylist(), rest)
         found = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1), axis=0)
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
@@ -322,7 +343,7 @@ def link(docs: DataFrame) -> DataFrame:
     rows are kept. Other columns are not looked at. An empty table gives an empty result.
     """
     profiled = store(profiles(docs), "jaccard-profiles")
-    rows = profiled.filter("n_shingles is not null").select("doc_id", "class", "n_shingles", "point", "fine")
+    rows = profiled.filter("n_shingles is not null").select("doc_id", "class", "n_shingles", F.coalesce("point", "fine").alias("point"), "fine")
     classes = store(
         rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("point").alias("point"), F.min("fine").alias("fine")),
         "jaccard-classes",
@@ -330,7 +351,7 @@ def link(docs: DataFrame) -> DataFrame:
     dealt = postings(docs, frequent_counters(profiled)).repartition("token")  # both uses below read this one exchange
     shared = dealt.groupBy("token").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first < last")
     lists = dealt.join(shared.select("token"), "token").distinct().join(classes.select("class", "n_shingles"), "class", "left")  # an inner join would put a filter below one of the two uses of `dealt`
-    multi = store(lists.select("token", "class", "n_shingles"), "jaccard-lists")
+    multi = store(lists.select("token", "class", "n_shingles", "rest"), "jaccard-lists")
 
     labels, links = None, []
     for turn in range(ROUNDS):

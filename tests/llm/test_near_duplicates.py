@@ -58,7 +58,7 @@ def test_links_equal_brute_force_and_shortcuts_change_nothing(spark, monkeypatch
     assert found(docs) == expected
     monkeypatch.setattr(jaccard, "LIST_BLOCK", 5)  # long lists go block by block
     monkeypatch.setattr(jaccard, "FREQUENT", 1e9)  # no token counts as frequent
-    monkeypatch.setattr(jaccard, "TREE_ROWS", 40)
+    monkeypatch.setattr(jaccard, "TREE_BYTES", 40 * 64)
     assert found(docs) == expected
 
 
@@ -209,3 +209,29 @@ def test_many_near_copies_need_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "discard", lambda *tables: None)
     assert found(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute_components(rows)
     assert tried[0].count() < 10 * len(rows)
+
+
+def test_rest_bound_keeps_every_link_in_the_list_of_the_first_shared_token():
+    """Prefix entries of random families: each similar pair leaves the trees, and a pair leaves fewer of them than tokens it shares."""
+    rng = np.random.default_rng(21)
+    sets = []
+    for n in (8, 60, 90, 250, 400):
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        for share in (0.0, 0.04, 0.08, 0.15, 0.24):
+            own = np.concatenate([base[rng.random(len(base)) >= share], rng.integers(0, 1 << 63, int(share * n * rng.random())).astype(np.uint64)])
+            sets.append(np.unique(own))
+    frequent = rng.random(jaccard.COUNTERS) < 0.3
+    entries = [(t, k, len(s) - at) for k, s in enumerate(sets) for at, t in enumerate(jaccard.prefix(s, frequent).tolist())]
+    key = np.array([t for t, _, _ in entries], dtype=np.uint64).view(np.int64)
+    row = np.array([k for _, k, _ in entries])
+    rest = np.array([r for _, _, r in entries])
+    size = np.array([len(sets[k]) for k in row], dtype=np.int64)
+    points = [jaccard.point_of(sets[k], jaccard.tree_groups(len(sets[k]))) for k in row]
+    side = np.full(len(row), 2)
+    bounded = jaccard.joined_by_size(key, side, row, size, points, rest)
+    loose = jaccard.joined_by_size(key, side, row, size, points)
+    got = {(min(row[a], row[b]), max(row[a], row[b])) for a, b in zip(*bounded, strict=True)}
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        assert (a, b) in got or 100 * common < 75 * (len(sets[a]) + len(sets[b]) - common)
+    assert len(bounded[0]) < 0.7 * len(loose[0])
