@@ -11,8 +11,9 @@ those of half as many with its groups added up in twos.
 
 Texts with equal sets are one class. First each class is compared with a class of like size that leads one of its lists, which joins groups
 of copies into stars; while that finds links for a good share of the pairs it is done again with other leaders. Then the trees look for links between
-classes that are still in different components. So a group of n near copies costs a few n comparisons, not n^2, and every link between
-components is found.
+classes that are still in different components. At first a tree gives only a spanning forest of its pairs, the likeliest first: where all of
+these are links, the pairs left out lie within one component. Where some are not, the trees give all pairs between the
+components that are left. So a group of n near copies costs a few n comparisons, not n^2, and every link between components is found.
 
 A tree also looks at where the shared token stands in the two prefixes: if it is the first one that the sets share, they share at most what
 follows it in each. A pair that fails this has an earlier token in common, whose tree decides, or is no link. Entries that cannot pass
@@ -35,7 +36,7 @@ from feedtide.llm.common import discard, documents, store, text_or_empty
 from feedtide.llm.components import components
 from feedtide.llm.shingles import mixed, shingle_set, word_hasher
 
-GROUPS = 64  # of a point at least; a power of 2
+GROUPS = 256  # of a point at least; a power of 2
 TREE_GROUPS = 1024  # of a point in a tree at most
 PER_GROUP = 1  # shingles in a group of a finer point, on average and at most
 COUNTERS = 1 << 17  # of shingles by hash: shows which ones are frequent
@@ -202,15 +203,40 @@ def unpacked(point: bytes, groups: int) -> np.ndarray:
     return np.frombuffer(point, dtype="u1" if len(point) == groups else "<u4")
 
 
+def spanning_forest(a: np.ndarray, b: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b) that join what edges of a larger margin leave apart."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    chosen = []
+    order = np.argsort(-margin, kind="stable")
+    for at, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        if (x := top(x)) != (y := top(y)):
+            above[x] = y
+            chosen.append(at)
+    return np.array(chosen, dtype=np.int64)
+
+
 def joined_by_size(
     key: np.ndarray, side: np.ndarray, group: np.ndarray, size: np.ndarray, points: list[bytes], rest: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """`tree_join` over one tree for each number of groups. Sets with twice as many come into it with their groups added up in twos
+    left, right, _ = with_margins(key, side, group, size, points, rest)
+    return left, right
+
+
+def with_margins(
+    key: np.ndarray, side: np.ndarray, group: np.ndarray, size: np.ndarray, points: list[bytes], rest: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs, and by how much their bound exceeds what a link needs, as a share of their sizes: `tree_join` over one tree for each number of groups. Sets with twice as many come into it with their groups added up in twos
     if they are small enough for a link with a set of the tree; two of those are not compared here."""
     rest = size if rest is None else rest
     groups = np.array([tree_groups(int(n)) for n in size], dtype=np.int64)
     narrow = np.array([len(p) for p in points], dtype=np.int64) == groups  # a byte a count
-    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    left, right, margins = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
     for g in np.unique(groups).tolist():
         own, finer = np.flatnonzero(groups == g), np.flatnonzero((groups == 2 * g) & (3 * size <= 4 * PER_GROUP * g))
         rows = np.concatenate([own, finer])
@@ -224,9 +250,13 @@ def joined_by_size(
             point = point.astype(np.uint8)
         i, j = tree_join(key[rows], side[rows], group[rows], size[rows], point, rest[rows])
         ok = (i < len(own)) | (j < len(own))
-        left.append(rows[i[ok]])
-        right.append(rows[j[ok]])
-    return np.concatenate(left), np.concatenate(right)
+        i, j = i[ok], j[ok]
+        left.append(rows[i])
+        right.append(rows[j])
+        for at in range(0, len(i), step := max(1, CORNERS // g)):
+            p, q = i[at : at + step], j[at : at + step]
+            margins.append(np.minimum(point[p], point[q]).sum(axis=1, dtype=np.int64) / (size[rows[p]] + size[rows[q]]))
+    return np.concatenate(left), np.concatenate(right), np.concatenate(margins)
 
 
 def star_pairs(lists: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
@@ -303,8 +333,9 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def tree_candidates(multi: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share a token and whose points allow a link."""
+def tree_candidates(multi: DataFrame, labels: DataFrame, classes: DataFrame, forest: bool = False) -> DataFrame:
+    """Pairs of classes in different components that share a token and whose points allow a link; as a `forest`, of each tree
+    the pairs that join the same components as all its pairs would."""
     # what a set can share from this token on must do for the smallest set of the list
     smallest = multi.groupBy("token").agg(F.min("n_shingles").alias("smallest"))
     able = multi.join(smallest, "token").filter(7 * F.col("rest") >= 3 * (F.col("n_shingles") + F.greatest("smallest", F.ceil(F.col("n_shingles") * 3 / 4))))
@@ -325,7 +356,10 @@ def tree_candidates(multi: DataFrame, labels: DataFrame, classes: DataFrame) ->
     def join(table: pa.Table) -> pa.Table:
         names = ("key", "side", "group", "n_shingles", "rest", "class")
         key, side, group, size, rest, cls = (table[c].to_numpy() for c in names)
-        i, j = joined_by_size(key, side, group, size, table["point"].to_pylist(), rest)
+        i, j, margin = with_margins(key, side, group, size, table["point"].to_pylist(), rest)
+        if forest:
+            few = spanning_forest(group[i], group[j], margin)
+            i, j = i[few], j[few]
         found = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1), axis=0)
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
@@ -349,7 +383,8 @@ def link(docs: DataFrame) -> DataFrame:
         "jaccard-classes",
     )
     dealt = postings(docs, frequent_counters(profiled)).repartition("token")  # both uses below read this one exchange
-    shared = dealt.groupBy("token").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first < last")
+    # `rest` is used here, too, so that neither use leaves out a column and makes an exchange of its own
+    shared = dealt.groupBy("token").agg(F.min("class").alias("first"), F.max("class").alias("last"), F.min("rest").alias("least")).filter("first < last and least > 0")
     lists = dealt.join(shared.select("token"), "token").distinct().join(classes.select("class", "n_shingles"), "class", "left")  # an inner join would put a filter below one of the two uses of `dealt`
     multi = store(lists.select("token", "class", "n_shingles", "rest"), "jaccard-lists")
 
@@ -363,11 +398,16 @@ def link(docs: DataFrame) -> DataFrame:
             labels = components(reduce(DataFrame.unionByName, links), "jaccard-stars")
         if linked * WORTH < tried or not tried:
             break
-    pairs = tree_candidates(multi, labels, classes)
-    links.append(verify(pairs, classes, docs))
-    discard(pairs, multi)
-    if not links[-1].isEmpty():
-        labels = components(reduce(DataFrame.unionByName, links), "jaccard-all")
+    for forest in (True, False):
+        pairs = tree_candidates(multi, labels, classes, forest)
+        links.append(verify(pairs, classes, docs))
+        tried, linked = pairs.count(), links[-1].count()
+        discard(pairs)
+        if linked:
+            labels = components(reduce(DataFrame.unionByName, links), "jaccard-all")
+        if linked == tried:
+            break  # the pairs that the forest leaves out join nothing more
+    discard(multi)
 
     named = classes.join(labels, classes["class"] == labels["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "rep")
     named = named.select("class", "root").join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("class", "component_id")

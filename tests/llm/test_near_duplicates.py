@@ -58,7 +58,7 @@ def test_links_equal_brute_force_and_shortcuts_change_nothing(spark, monkeypatch
     assert found(docs) == expected
     monkeypatch.setattr(jaccard, "LIST_BLOCK", 5)  # long lists go block by block
     monkeypatch.setattr(jaccard, "FREQUENT", 1e9)  # no token counts as frequent
-    monkeypatch.setattr(jaccard, "TREE_BYTES", 40 * 64)
+    monkeypatch.setattr(jaccard, "TREE_BYTES", 40 * jaccard.GROUPS)
     assert found(docs) == expected
 
 
@@ -235,3 +235,38 @@ def test_rest_bound_keeps_every_link_in_the_list_of_the_first_shared_token():
         common = len(np.intersect1d(sets[a], sets[b]))
         assert (a, b) in got or 100 * common < 75 * (len(sets[a]) + len(sets[b]) - common)
     assert len(bounded[0]) < 0.7 * len(loose[0])
+
+
+def test_forest_joins_what_all_edges_join():
+    rng = np.random.default_rng(5)
+    a, b, margin = rng.integers(0, 60, 300), rng.integers(0, 60, 300) + 1000 * rng.integers(0, 2, 300), rng.random(300)
+    few = jaccard.spanning_forest(a, b, margin)
+
+    def sets(edges):
+        root = {}
+        top = lambda x: x if root.setdefault(x, x) == x else top(root[x])
+        for x, y in edges:
+            root[top(x)] = top(y)
+        return {frozenset(n for n in root if top(n) == t) for t in {top(n) for n in root}}
+
+    edges = list(zip(a.tolist(), b.tolist(), strict=True))
+    whole, chosen = sets(e for e in edges if e[0] != e[1]), sets(edges[k] for k in few)
+    assert whole - {s for s in whole if len(s) == 1} == chosen
+    assert len(few) == sum(len(s) - 1 for s in chosen)
+    assert len(jaccard.spanning_forest(a[:0], b[:0], margin[:0])) == 0
+
+
+def test_copies_with_one_change_each_need_few_pairs(spark, monkeypatch):
+    """Two copies link only if their changes are close, so that no leader has links to most of its group."""
+    base, rows = prose(78, 60).split(), []
+    for copy in range(240):
+        words = list(base)
+        words[copy % 60] = f"z{copy}"
+        rows.append((copy, " ".join(words)))
+    tried = []
+    original = jaccard.tree_candidates
+    monkeypatch.setattr(jaccard, "tree_candidates", lambda *args: tried.append(original(*args)) or tried[-1])
+    monkeypatch.setattr(jaccard, "discard", lambda *tables: None)
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute_components(rows)
+    counts = [t.count() for t in tried]
+    assert sum(counts) < 4 * len(rows), counts
