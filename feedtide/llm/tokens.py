@@ -135,5 +135,26 @@ def quantiles(answers: DataFrame, shares: list[float]) -> DataFrame:
     return answers.select(asked.alias("share"), "length", "share_fitting").filter("share_fitting >= share").groupBy("share").agg(F.min("length").alias("length"))
 
 
+def at_limits(answers: DataFrame, limits: list[int]) -> DataFrame:
+    """limit, fitting, longer, share_fitting, tokens, truncated_tokens, lost_tokens for any limits of at least 0, also those that are
+    no document's length: the sums stand at the largest length within the limit. Without documents there is no row."""
+    asked = F.explode(F.array(*[F.lit(int(x)).cast("long") for x in sorted(set(limits))]))
+    within = F.when(F.col("length") <= F.col("limit"), F.col("length"))
+    found = (
+        answers.select("*", asked.alias("limit"))
+        .groupBy("limit")
+        .agg(
+            F.coalesce(F.max_by("fitting", within), F.lit(0)).alias("fitting"),
+            F.coalesce(F.max_by("tokens", within), F.lit(0)).alias("tokens"),
+            F.max("fitting").alias("all_documents"),
+            F.max("tokens").alias("all_tokens"),
+        )
+        .withColumn("longer", F.col("all_documents") - F.col("fitting"))
+        .withColumn("truncated_tokens", F.col("tokens") + F.col("limit") * F.col("longer"))
+    )
+    share, lost = F.col("fitting") / F.col("all_documents"), F.col("all_tokens") - F.col("truncated_tokens")
+    return found.select("limit", "fitting", "longer", share.alias("share_fitting"), "tokens", "truncated_tokens", lost.alias("lost_tokens"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit_answers(length_counts(documents(spark, sf_dir)))
