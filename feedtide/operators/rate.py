@@ -26,13 +26,21 @@ def rate_budget_audit(
         .withColumn("home", home)
         .withColumn("block", F.explode(F.sequence(home, last, F.lit(block_us).cast("bigint"))))
     )
-    trailing = Window.partitionBy("account", "block").orderBy("at_us").rangeBetween(-window_us, 0)
+    # Frames that begin with the block are summed up row by row; a frame that moves at both ends would be counted anew for every row.
+    # The latest submits come first: `later` of them follow the row, and the row asks again where its window begins.
+    block = Window.partitionBy("account", "block")
+    latest_first = block.orderBy(F.desc("at_us")).rangeBetween(Window.unboundedPreceding, -1)
+    asked = placed.withColumn("later", F.count("*").over(latest_first)).withColumn("asks", F.explode(F.array(F.lit(False), F.lit(True))))
+    asked = asked.filter(~F.col("asks") | (F.col("block") == F.col("home")))
+    asked = asked.withColumn("place", F.when(F.col("asks"), F.col("at_us") - window_us).otherwise(F.col("at_us")))
+    down_to = block.orderBy(F.desc("place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    submit_us = F.when(~F.col("asks"), F.col("at_us"))
     waited = F.col("at_us") - F.col("oldest_us")
     wait = F.greatest(F.lit(0.0), F.lit(float(window_seconds)) - waited / F.lit(1_000_000.0) + F.lit(0.1))
     return (
-        placed.withColumn("in_window", F.count("*").over(trailing))
-        .withColumn("oldest_us", F.min("at_us").over(trailing))
-        .filter(F.col("block") == F.col("home"))
+        asked.withColumn("in_window", F.count(submit_us).over(down_to) - F.col("later"))
+        .withColumn("oldest_us", F.min(submit_us).over(down_to))
+        .filter("asks")
         .select(
             "account",
             "submit_id",

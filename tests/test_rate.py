@@ -30,3 +30,10 @@ def test_equals_brute_force_across_blocks(spark):
         inside = [t for a, _, t, _ in rows if a == account and s - 60 <= t <= s]
         wait = 0.0 if len(inside) < 7 else max(0.0, 60 - (s - min(inside)) + 0.1)
         assert found[n] == (len(inside), len(inside) > 7, round(wait, 6))
+
+
+def test_no_frame_moves_at_both_ends(spark):
+    """Spark counts such a frame anew for every row, so that a dense hour costs the square of its rows."""
+    plan = rate_budget_audit(table(spark, [("a", 1, 0.0, "submitted")]), limit=2)._jdf.queryExecution().optimizedPlan().toString()
+    frames = plan.split("specifiedwindowframe(")[1:]
+    assert frames and all("unboundedpreceding" in f.split(")")[0] for f in frames)
