@@ -5,9 +5,13 @@ the smallest hash: the nodes of the Cartesian tree over the hashes whose subtree
 value): every passage inside it that contains its minimum has this min-hash. The nodes are read off the minima of all
 stretches of WINDOW tokens: a run of equal minima is one node. About 2 n / WINDOW windows stand for the n^2 passages of a text.
 
-Windows of different texts with equal value hold passages that agree in this hash function. Each is paired with the first window of the
+Windows of different texts with equal value hold passages that agree in this hash function. First each is paired with the first window of the
 smallest text of its list; the pairs of two texts are joined as intervals, and where at least AGREE of the FUNCTIONS agree the passages are
-verified by their tokens.
+verified by their tokens. So a group of n copies costs n comparisons.
+
+Then every window that no verified passage covers is paired with all windows of its list that can hold a near copy of one of its stretches:
+of two stretches that share SHARED of WINDOW tokens, the smallest shared token is among the first WINDOW - SHARED + 1 of both in any
+order of the tokens. Frequent tokens come last in this order, so texts that only have a common line do not meet.
 """
 
 from __future__ import annotations
@@ -20,15 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from feedtide.llm.common import documents, store, text_or_empty
+from feedtide.llm.common import discard, documents, store, text_or_empty
 from feedtide.llm.shingles import WIDTH, mixed, runs, word_hasher
 
 WINDOW = 46  # shingles: 50 words
 SHARED = 40  # of WINDOW shingles, so that two stretches of equal length have a similarity of 0.75: 40 / (2 * 46 - 40)
 FUNCTIONS = 6
 AGREE = 2
-ROUNDS = 2  # of pairing with the smallest text left in a list
+ROUNDS = 2  # of pairing with the smallest text left in a list; whatever is left is paired in full
 BUCKETS = 1 << 20
+COUNTERS = 1 << 17  # of tokens by hash: shows which ones are frequent
+WORTH = 10  # a further round of the rest must cover one open window in so many
+FREQUENT = 8.0  # standard deviations above the mean counter
+STRETCHES = 4096  # that are looked at together
 
 
 def stretch_minima(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -65,16 +73,33 @@ def text_class(words: np.ndarray) -> int:
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class, n_words; the class is null without words."""
+    """doc_id, class, n_words of each document; the class is null without words. And counter, hits: how many tokens of all documents fall on a counter."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_hasher()
+        words, counters = word_hasher(), np.zeros(COUNTERS, dtype=np.int64)
+        names, types = ["doc_id", "class", "n_words", "counter", "hits"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
         for batch in batches:
             hashed = [words(t) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([text_class(w) if len(w) else None for w in hashed], pa.int64()), pa.array([len(w) for w in hashed], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n_words"])
+            seen = np.concatenate([np.zeros(0, dtype=np.uint64), *map(runs, hashed)])
+            counters += np.bincount((seen & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            none = [None] * len(hashed)
+            columns = [batch.column(0), [text_class(w) if len(w) else None for w in hashed], [len(w) for w in hashed], none, none]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        some = np.flatnonzero(counters)
+        none = [None] * len(some)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, none, some, counters[some]], types, strict=True)], names)
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary"))
+    return rows.mapInArrow(profile, "doc_id bigint, class bigint, n_words bigint, counter int, hits bigint")
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary")).mapInArrow(profile, "doc_id bigint, class bigint, n_words bigint")
+
+def frequent_counters(profiled: DataFrame) -> np.ndarray:
+    """Which counters stand out. Any set gives right results: it only orders tokens, frequent ones last."""
+    hits = np.zeros(COUNTERS, dtype=np.int64)
+    table = profiled.filter("counter is not null").groupBy("counter").agg(F.sum("hits").alias("hits")).toArrow()  # at most COUNTERS rows
+    hits[table["counter"].to_numpy()] = table["hits"].to_numpy()
+    mean = hits.mean()
+    return hits > mean + FREQUENT * np.sqrt(mean) + FREQUENT
 
 
 def all_windows(docs: DataFrame) -> DataFrame:
@@ -139,16 +164,120 @@ def matching_stretches(tokens: np.ndarray, others: np.ndarray, width: int = WIND
     return found
 
 
+def token_order(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """A number per token, equal for equal tokens: frequent ones last, otherwise by hash."""
+    last = frequent[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    with np.errstate(over="ignore"):
+        return mixed(tokens) >> np.uint64(1) | last.astype(np.uint64) << np.uint64(63)
+
+
+def first_tokens(order: np.ndarray, width: int = WINDOW, least: int = SHARED) -> np.ndarray:
+    """The tokens, as their order, that are among the first width - least + 1 of a stretch of `width`."""
+    few, found = width - least + 1, []
+    stretches = np.lib.stride_tricks.sliding_window_view(order, width)
+    for at in range(0, len(stretches), STRETCHES):
+        found.append(np.unique(np.partition(stretches[at : at + STRETCHES], few - 1, axis=1)[:, :few]))
+    return np.unique(np.concatenate(found))
+
+
+def uncovered(windows: DataFrame, found: DataFrame) -> DataFrame:
+    """The windows (value, class, span) that share less than SHARED tokens with any passage found in their text."""
+    at, to = F.shiftright("span", 32), F.col("span").bitwiseAND(0xFFFFFFFF)
+    none = F.lit(None).cast("long")
+    asked = windows.select("class", "value", "span", (to + 1 - SHARED).alias("place"), none.alias("reach"))
+    passages = found.select("class", none.alias("value"), none.alias("span"), F.col("start").alias("place"), F.col("end").alias("reach")).distinct()
+    # of the passages that begin early enough, one that ends late enough; each has SHARED tokens at least
+    so_far = Window.partitionBy("class").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = asked.unionByName(passages).withColumn("reached", F.max("reach").over(so_far)).filter("span is not null")
+    return reached.filter(F.coalesce("reached", F.lit(-1)) < at + SHARED).select("value", "class", "span", F.lit(True).alias("open"))
+
+
+def with_open(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """value, class, span, open for the lists with an open window: one that no passage covers, of another text than the smallest of its list,
+    with which all others have been compared."""
+    left = store(uncovered(lists.filter("class != leader"), found), "substring-open")
+    chosen = lists.select("value", "class", "span").join(left.select("value").distinct(), "value", "left_semi")
+    kept = store(chosen.join(left, ["value", "class", "span"], "left").withColumn("open", F.coalesce("open", F.lit(False))), "substring-rest")
+    discard(left)
+    return kept
+
+
+def first_keys(rest: DataFrame, reps: DataFrame, docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """key, value, class, span, open: a key for the value of a window and each token that is among the first of one of its stretches. Windows that
+    hold near copies have a key in common."""
+    asked = store(rest.groupBy("class").agg(F.collect_list(F.struct("value", "span", "open")).alias("windows")).join(reps.select("class", "rep"), "class"), "substring-asked")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, words = ["key", "value", "class", "span", "open"], word_hasher()
+        for batch in batches:
+            for text, cls, windows in zip(*(batch.column(c).to_pylist() for c in ("text", "class", "windows")), strict=True):
+                hashed = words(text)
+                if not len(hashed) or text_class(hashed) != cls:
+                    continue  # another document may have the same id
+                order = token_order(runs(hashed), frequent)
+                first = [first_tokens(order[w["span"] >> 32 : (w["span"] & 0xFFFFFFFF) + 1]) for w in windows]
+                columns = [np.repeat(np.array([w[c] for w in windows], dtype=np.int64), [len(f) for f in first]) for c in ("value", "span", "open")]
+                with np.errstate(over="ignore"):
+                    key = mixed(np.concatenate(first) ^ mixed(columns[0].view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, columns[0], np.full(len(key), cls), columns[1], columns[2] == 1)], names)
+
+    texts = asked.join(texts_of(asked, docs), "rep").select("text", "class", "windows")
+    dealt = store(texts.mapInArrow(keys, "key bigint, value bigint, class bigint, span bigint, open boolean").distinct(), "substring-keys")
+    discard(asked)
+    return dealt
+
+
+def oriented(both: DataFrame) -> DataFrame:
+    """value, class, span, leader, lead_span of pairs (class, span) and (other, other_span): the leader is the smaller class."""
+    smaller = F.col("class") < F.col("other")
+    return both.select(
+        "value",
+        F.greatest("class", "other").alias("class"),
+        F.when(smaller, F.col("other_span")).otherwise(F.col("span")).alias("span"),
+        F.least("class", "other").alias("leader"),
+        F.when(smaller, F.col("span")).otherwise(F.col("other_span")).alias("lead_span"),
+    ).distinct()
+
+
+def rest_passages(dealt: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """What the open windows repeat or have repeated: those of the smallest open text of a key are compared with all others of the key and
+    leave it, while that covers a good share of the open ones; then all pairs that are left."""
+    mate = [F.col("class").alias("other"), F.col("span").alias("other_span")]
+    found, productive = None, True
+    while productive:
+        leaders = dealt.groupBy("key").agg(F.min(F.when(F.col("open"), F.col("class"))).alias("leader"))
+        marked = dealt.join(leaders.filter("leader is not null"), "key")
+        pairs = store(oriented(marked.filter("class = leader").drop("leader").join(marked.filter("class != leader").select("key", *mate), "key")), "substring-pairs")
+        passages = verified(joined_intervals(pairs), reps, docs)
+        found = passages if found is None else found.unionByName(passages)
+        left = marked.filter("class != leader").drop("leader")
+        opened = left.filter("open")
+        before = opened.count()
+        still = uncovered(opened.select("value", "class", "span").distinct(), passages)
+        left = store(left.drop("open").join(still, ["value", "class", "span"], "left").withColumn("open", F.coalesce("open", F.lit(False))), "substring-keys")
+        after = left.filter("open").count()
+        discard(dealt, pairs)
+        dealt, productive = left, (before - after) * WORTH >= before > 0
+    pairs = store(oriented(dealt.filter("open").join(dealt.select("key", *mate), "key").filter("class != other")), "substring-pairs")
+    found = found.unionByName(verified(joined_intervals(pairs), reps, docs))
+    discard(dealt, pairs)
+    return found
+
+
+def texts_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, text of the documents whose id is a `rep` of `asked`, and a few others: a table of hash buckets of ids, at most BUCKETS rows, keeps
+    the rest out of the shuffle."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().cast("binary").alias("text"))
+    return rows.withColumn("bucket", bucket("rep")).join(F.broadcast(asked.select(bucket("rep").alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")
+
+
 def verified(candidates: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """class, leader, start, end: the verified passages in tokens of `class`, end exclusive."""
     key = ["class", "leader", "start"]
     sides = candidates.select(*key, "end", F.lit(True).alias("own"), F.col("class").alias("text_class"), F.col("start").alias("first"), F.col("end").alias("last"))
     sides = sides.unionByName(candidates.select(*key, "end", F.lit(False).alias("own"), F.col("leader").alias("text_class"), F.col("lead_start").alias("first"), F.col("lead_end").alias("last")))
     asked = store(sides.join(reps.select(F.col("class").alias("text_class"), "rep"), "text_class"), "substring-asked")
-    # a table of hash buckets of document ids, at most BUCKETS rows, keeps other texts out of the shuffle
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), text_or_empty().cast("binary").alias("text"))
-    few = rows.withColumn("bucket", bucket("rep")).join(F.broadcast(asked.select(bucket("rep").alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last, tokens, cls = word_hasher(), None, None, None
@@ -164,7 +293,7 @@ def verified(candidates: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFra
             chosen = batch.select(["class", "leader", "start", "end", "own"]).append_column("tokens", pa.array(parts, pa.binary()))
             yield chosen.filter(pa.array(kept, pa.bool_()))
 
-    parts = asked.join(few, "rep").select("text", "text_class", "first", "last", *key, "end", "own").mapInArrow(cut, "class bigint, leader bigint, start bigint, end bigint, own boolean, tokens binary")
+    parts = asked.join(texts_of(asked, docs), "rep").select("text", "text_class", "first", "last", *key, "end", "own").mapInArrow(cut, "class bigint, leader bigint, start bigint, end bigint, own boolean, tokens binary")
     parts = store(parts, "substring-parts")
     mine = parts.filter("own").select(*key, "tokens").dropDuplicates(key)
     other = parts.filter("not own").select(*key, F.col("tokens").alias("others")).dropDuplicates(key)
@@ -178,7 +307,9 @@ def verified(candidates: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFra
             columns = list(zip(*found, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["class", "leader", "start", "end"])
 
-    return store(mine.join(other, key).select(*key, "tokens", "others").mapInArrow(compare, "class bigint, leader bigint, start bigint, end bigint"), "substring-verified")
+    found = store(mine.join(other, key).select(*key, "tokens", "others").mapInArrow(compare, "class bigint, leader bigint, start bigint, end bigint"), "substring-verified")
+    discard(asked, parts)
+    return found
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -186,23 +317,30 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     In every 50 words of a passage at least 40 of the 46 five-word shingles (a similarity of 0.75) occur in the passage of the source. Texts of
     equal words are one class: all its documents but the one with the smallest id repeat it as a whole; that one stands for
-    the class in all other rows. Of two texts the one with the smaller class hash is the source. Shorter, null, empty
+    the class in all other rows. Of two texts the one with the smaller class hash is the source. A stretch that a listed passage
+    covers need not be listed again for each further text that holds it; any other is compared with every text it may repeat. Shorter, null, empty
     and blank texts have no passage. A null doc_id stands for its class only if it has no other. Repeated rows are copies of each other.
     Other columns are not looked at. An empty table gives an empty result.
     """
-    known = store(text_classes(docs), "substring-classes").filter("class is not null")
+    profiled = store(text_classes(docs), "substring-classes")
+    known = profiled.filter("class is not null").select("doc_id", "class", "n_words")
     reps = store(known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_words").alias("n_words")), "substring-reps")
     dealt = all_windows(docs).repartition("value")  # both uses in with_leader read this one exchange
     lists = store(with_leader(dealt).distinct(), "substring-lists")
-    found = None
+    left, found = lists, None
     for n in range(ROUNDS):
-        passages = verified(joined_intervals(lists), reps, docs)
+        passages = verified(joined_intervals(left), reps, docs)
         found = passages if found is None else found.unionByName(passages)
         if n + 1 < ROUNDS:
             # who was not settled by the smallest text of its list is compared with the next smallest of these
             settled = passages.select("class", "leader").distinct()
-            left = lists.filter("class != leader").join(settled, ["class", "leader"], "left_anti").select("value", "class", "span")
-            lists = store(with_leader(left), "substring-lists")
+            others = left.filter("class != leader").join(settled, ["class", "leader"], "left_anti").select("value", "class", "span")
+            left = store(with_leader(others), "substring-left")
+    rest = with_open(lists, found)
+    discard(lists)
+    dealt = first_keys(rest, reps, docs, frequent_counters(profiled))
+    discard(rest)
+    found = found.unionByName(rest_passages(dealt, reps, docs))
     name = lambda c, out: reps.select(F.col("class").alias(c), F.col("rep").alias(out))
     near = (
         found.join(name("class", "doc_id"), "class")

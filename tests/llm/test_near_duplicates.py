@@ -270,3 +270,35 @@ def test_copies_with_one_change_each_need_few_pairs(spark, monkeypatch):
     assert found(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute_components(rows)
     counts = [t.count() for t in tried]
     assert sum(counts) < 4 * len(rows), counts
+
+
+def test_passages_are_found_behind_many_smaller_texts_of_their_lists(spark):
+    """Other texts hold either half of a passage, so that its lists begin with them: only two texts hold all of it."""
+    rows, expected = [], []
+    for k in range(8):
+        passage = prose(2000 + k, 52).split()
+        at = len(rows)
+        for n in range(30):
+            half = passage[:28] if n % 2 else passage[24:]
+            own = prose(3000 + 100 * k + n, 60).split()
+            rows.append((len(rows), " ".join(own[:30] + half + own[30:])))
+        for n in range(2):
+            own = prose(9000 + 10 * k + n, 60).split()
+            rows.append((len(rows), " ".join(own[:30] + passage + own[30:])))
+        expected.append(frozenset((at + 30, at + 31)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {frozenset((r.doc_id, r.source_doc_id)): r.end_word - r.start_word for r in substrings.repeated_passages(docs).collect()}
+    assert set(found) == set(expected)
+    assert all(51 <= n <= 53 for n in found.values())
+
+
+@pytest.mark.parametrize("n,width", [(46, 46), (91, 46), (5000, 46)])
+def test_near_stretches_share_one_of_their_first_tokens(n, width):
+    rng = np.random.default_rng(n)
+    tokens = rng.integers(0, 1 << 62, n).astype(np.uint64)
+    for share in (0.0, 0.5):
+        order = substrings.token_order(tokens, rng.random(substrings.COUNTERS) < share)
+        for at in range(0, n - width + 1, 97):
+            near = order[at : at + width].copy()
+            near[rng.choice(width, width - substrings.SHARED, replace=False)] = rng.integers(0, 1 << 62, width - substrings.SHARED)
+            assert len(np.intersect1d(substrings.first_tokens(order), substrings.first_tokens(near)))
