@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from feedtide.llm.common import discard, documents, store, text_or_empty
 from feedtide.llm.components import components
-from feedtide.llm.shingles import mixed, shingle_set, word_hasher
+from feedtide.llm.shingles import few_at_once, mixed, shingle_set, word_hasher
 
 GROUPS = 256  # of a point at least; a power of 2
 TREE_GROUPS = 1024  # of a point in a tree at most
@@ -97,7 +97,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(ids, pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.array(buckets, pa.int32()), pa.array(hits, pa.int64())]
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "class", "n_shingles", "point", "fine", "bucket", "hits"])
 
-        for batch in batches:
+        for batch in few_at_once(batches):
             classes, sizes, points, fine, seen = [], [], [], [], [np.zeros(0, dtype=np.uint64)]
             for text in batch.column(1).to_pylist():
                 shingles = shingle_set(words(text))
@@ -138,7 +138,7 @@ def postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done = word_hasher(), set()
-        for batch in batches:
+        for batch in few_at_once(batches):
             tokens, classes, rests = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for text in batch.column(0).to_pylist():
                 shingles = shingle_set(words(text))
@@ -301,7 +301,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         import zstandard
 
         words, done, squeeze = word_hasher(), set(), zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in few_at_once(batches):
             classes, texts = [], []
             for text in batch.column(0).to_pylist():
                 shingles = shingle_set(words(text))
@@ -317,7 +317,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         import zstandard
 
         words, expand = word_hasher(), zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in few_at_once(batches):
             ok, last, shared = [], None, None
             for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if t != last:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 WIDTH = 5  # words of a shingle
-WORDS_KEPT = 1_000_000
+AT_ONCE = 1024  # texts that a worker has in Python at a time
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -19,23 +20,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def few_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most AT_ONCE."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
 def word_hasher() -> Callable[[bytes], np.ndarray]:
     """text (UTF-8) -> a 64-bit hash per word, A-Z taken as a-z. Words are what bytes.split() gives: runs of other bytes than
     the ASCII white space \\x20 and \\x09-\\x0D."""
-    import xxhash
-
-    class Known(dict):
-        def __missing__(self, word: bytes) -> int:
-            if len(self) >= WORDS_KEPT:
-                self.clear()
-            self[word] = h = xxhash.xxh3_64_intdigest(word)
-            return h
-
-    known = Known()
+    from xxhash import xxh3_64_intdigest
 
     def hashes(text: bytes) -> np.ndarray:
         words = text.lower().split()
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        # a table of known words would take longer than the hash, and a worker's memory
+        return np.fromiter(map(xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
     return hashes
 
@@ -52,5 +52,11 @@ def runs(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
         return mixed(out)
 
 
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """Sorted, each once. np.unique takes several times as long for the few hundred numbers of a text."""
+    ordered = np.sort(numbers, axis=None)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
 def shingle_set(words: np.ndarray) -> np.ndarray:
-    return np.unique(runs(words))
+    return distinct(runs(words))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedtide.llm.common import discard, documents, store, text_or_empty
-from feedtide.llm.shingles import WIDTH, mixed, runs, word_hasher
+from feedtide.llm.shingles import WIDTH, few_at_once, mixed, runs, word_hasher
 
 WINDOW = 46  # shingles: 50 words
 SHARED = 40  # of WINDOW shingles, so that two stretches of equal length have a similarity of 0.75: 40 / (2 * 46 - 40)
@@ -78,7 +78,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counters = word_hasher(), np.zeros(COUNTERS, dtype=np.int64)
         names, types = ["doc_id", "class", "n_words", "counter", "hits"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        for batch in batches:
+        for batch in few_at_once(batches):
             hashed = [words(t) for t in batch.column(1).to_pylist()]
             seen = np.concatenate([np.zeros(0, dtype=np.uint64), *map(runs, hashed)])
             counters += np.bincount((seen & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
@@ -107,7 +107,7 @@ def all_windows(docs: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, done = word_hasher(), set()
-        for batch in batches:
+        for batch in few_at_once(batches):
             values, classes, spans = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             for text in batch.column(0).to_pylist():
                 hashed = words(text)
@@ -209,7 +209,7 @@ def first_keys(rest: DataFrame, reps: DataFrame, docs: DataFrame, frequent: np.n
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, words = ["key", "value", "class", "span", "open"], word_hasher()
-        for batch in batches:
+        for batch in few_at_once(batches):
             for text, cls, windows in zip(*(batch.column(c).to_pylist() for c in ("text", "class", "windows")), strict=True):
                 hashed = words(text)
                 if not len(hashed) or text_class(hashed) != cls:
@@ -281,7 +281,7 @@ def verified(candidates: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last, tokens, cls = word_hasher(), None, None, None
-        for batch in batches:
+        for batch in few_at_once(batches):
             kept, parts = [], []
             columns = (batch.column(c).to_pylist() for c in ("text", "text_class", "first", "last"))
             for text, wanted, first, end in zip(*columns, strict=True):
@@ -299,7 +299,7 @@ def verified(candidates: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFra
     other = parts.filter("not own").select(*key, F.col("tokens").alias("others")).dropDuplicates(key)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_at_once(batches):
             found = []
             for c, leader, start, tokens, others in zip(*(batch.column(n).to_pylist() for n in ("class", "leader", "start", "tokens", "others")), strict=True):
                 a, b = np.frombuffer(tokens, dtype=np.uint64), np.frombuffer(others, dtype=np.uint64)

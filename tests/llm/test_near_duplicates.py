@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import prose
 
@@ -302,3 +304,28 @@ def test_near_stretches_share_one_of_their_first_tokens(n, width):
             near = order[at : at + width].copy()
             near[rng.choice(width, width - substrings.SHARED, replace=False)] = rng.integers(0, 1 << 62, width - substrings.SHARED)
             assert len(np.intersect1d(substrings.first_tokens(order), substrings.first_tokens(near)))
+
+
+def test_hashing_words_keeps_nothing_of_them():
+    hashes = shingles.word_hasher()
+    hashes(b"first")
+    tracemalloc.start()
+    for at in range(0, 300_000, 1000):
+        hashes(" ".join(f"word{n}" for n in range(at, at + 1000)).encode())
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 2_000_000
+
+
+def test_workers_take_few_texts_at_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000))], ["n"])
+    parts = list(shingles.few_at_once(iter([batch, batch.slice(0, 0), batch.slice(0, 3)])))
+    assert max(p.num_rows for p in parts) <= shingles.AT_ONCE
+    assert [n for p in parts for n in p.column(0).to_pylist()] == [*range(5000), 0, 1, 2]
+
+
+def test_distinct_numbers():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 500):
+        x = rng.integers(0, 1 << 64, n, dtype=np.uint64) >> np.uint64(rng.integers(0, 64))
+        assert (shingles.distinct(x) == np.unique(x)).all()
