@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedtide.llm.common import discard, documents, store, text_or_empty
-from feedtide.llm.shingles import WIDTH, few_at_once, mixed, runs, word_hasher
+from feedtide.llm.shingles import WIDTH, distinct, few_at_once, mixed, runs, word_hasher
 
 WINDOW = 46  # shingles: 50 words
 SHARED = 40  # of WINDOW shingles, so that two stretches of equal length have a similarity of 0.75: 40 / (2 * 46 - 40)
@@ -151,7 +151,8 @@ def matching_stretches(tokens: np.ndarray, others: np.ndarray, width: int = WIND
     begin and end with a token that occurs."""
     if len(tokens) < width:
         return []
-    hit = np.isin(tokens, others)
+    known = distinct(others)
+    hit = known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens if len(known) else np.zeros(len(tokens), dtype=bool)
     total = np.concatenate([[0], np.cumsum(hit)])
     good = np.flatnonzero(total[width:] - total[:-width] >= least)
     if not len(good):
@@ -176,8 +177,8 @@ def first_tokens(order: np.ndarray, width: int = WINDOW, least: int = SHARED) ->
     few, found = width - least + 1, []
     stretches = np.lib.stride_tricks.sliding_window_view(order, width)
     for at in range(0, len(stretches), STRETCHES):
-        found.append(np.unique(np.partition(stretches[at : at + STRETCHES], few - 1, axis=1)[:, :few]))
-    return np.unique(np.concatenate(found))
+        found.append(distinct(np.partition(stretches[at : at + STRETCHES], few - 1, axis=1)[:, :few]))
+    return distinct(np.concatenate(found)) if len(found) > 1 else found[0]
 
 
 def uncovered(windows: DataFrame, found: DataFrame) -> DataFrame:
@@ -203,8 +204,8 @@ def with_open(lists: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def first_keys(rest: DataFrame, reps: DataFrame, docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """key, value, class, span, open: a key for the value of a window and each token that is among the first of one of its stretches. Windows that
-    hold near copies have a key in common."""
+    """key, value, class, span, open, leader: a key for the value of a window and each token that is among the first of one of its stretches. Windows
+    that hold near copies have a key in common. Keys of one text only, and those without an open window, are left out."""
     asked = store(rest.groupBy("class").agg(F.collect_list(F.struct("value", "span", "open")).alias("windows")).join(reps.select("class", "rep"), "class"), "substring-asked")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,9 +223,18 @@ def first_keys(rest: DataFrame, reps: DataFrame, docs: DataFrame, frequent: np.n
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, columns[0], np.full(len(key), cls), columns[1], columns[2] == 1)], names)
 
     texts = asked.join(texts_of(asked, docs), "rep").select("text", "class", "windows")
-    dealt = store(texts.mapInArrow(keys, "key bigint, value bigint, class bigint, span bigint, open boolean").distinct(), "substring-keys")
+    dealt = texts.mapInArrow(keys, "key bigint, value bigint, class bigint, span bigint, open boolean").repartition("key").distinct()
+    marked = store(with_key_leader(dealt), "substring-keys")
     discard(asked)
-    return dealt
+    return marked
+
+
+def with_key_leader(dealt: DataFrame) -> DataFrame:
+    """The rows of keys with an open window and a second text, each with the key's smallest text that has an open window."""
+    open_class = F.when(F.col("open"), F.col("class"))
+    # the count keeps Spark from dropping a distinct() below one of the two uses of `dealt`, so that both read one exchange
+    leaders = dealt.groupBy("key").agg(F.min(open_class).alias("leader"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(open_class).alias("n")).filter("n > 0 and lo < hi")
+    return dealt.join(leaders.select("key", "leader"), "key")
 
 
 def oriented(both: DataFrame) -> DataFrame:
@@ -239,14 +249,12 @@ def oriented(both: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def rest_passages(dealt: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def rest_passages(marked: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """What the open windows repeat or have repeated: those of the smallest open text of a key are compared with all others of the key and
     leave it, while that covers a good share of the open ones; then all pairs that are left."""
     mate = [F.col("class").alias("other"), F.col("span").alias("other_span")]
-    found, productive = None, True
+    found, stored, productive = None, marked, True
     while productive:
-        leaders = dealt.groupBy("key").agg(F.min(F.when(F.col("open"), F.col("class"))).alias("leader"))
-        marked = dealt.join(leaders.filter("leader is not null"), "key")
         pairs = store(oriented(marked.filter("class = leader").drop("leader").join(marked.filter("class != leader").select("key", *mate), "key")), "substring-pairs")
         passages = verified(joined_intervals(pairs), reps, docs)
         found = passages if found is None else found.unionByName(passages)
@@ -256,11 +264,11 @@ def rest_passages(dealt: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFra
         still = uncovered(opened.select("value", "class", "span").distinct(), passages)
         left = store(left.drop("open").join(still, ["value", "class", "span"], "left").withColumn("open", F.coalesce("open", F.lit(False))), "substring-keys")
         after = left.filter("open").count()
-        discard(dealt, pairs)
-        dealt, productive = left, (before - after) * WORTH >= before > 0
-    pairs = store(oriented(dealt.filter("open").join(dealt.select("key", *mate), "key").filter("class != other")), "substring-pairs")
+        discard(stored, pairs)
+        stored, marked, productive = left, with_key_leader(left), (before - after) * WORTH >= before > 0
+    pairs = store(oriented(left.filter("open").join(left.select("key", *mate), "key").filter("class != other")), "substring-pairs")
     found = found.unionByName(verified(joined_intervals(pairs), reps, docs))
-    discard(dealt, pairs)
+    discard(left, pairs)
     return found
 
 
@@ -338,9 +346,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             left = store(with_leader(others), "substring-left")
     rest = with_open(lists, found)
     discard(lists)
-    dealt = first_keys(rest, reps, docs, frequent_counters(profiled))
+    marked = first_keys(rest, reps, docs, frequent_counters(profiled))
     discard(rest)
-    found = found.unionByName(rest_passages(dealt, reps, docs))
+    found = found.unionByName(rest_passages(marked, reps, docs))
     name = lambda c, out: reps.select(F.col("class").alias(c), F.col("rep").alias(out))
     near = (
         found.join(name("class", "doc_id"), "class")

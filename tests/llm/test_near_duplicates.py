@@ -329,3 +329,11 @@ def test_distinct_numbers():
     for n in (0, 1, 2, 500):
         x = rng.integers(0, 1 << 64, n, dtype=np.uint64) >> np.uint64(rng.integers(0, 64))
         assert (shingles.distinct(x) == np.unique(x)).all()
+
+
+def test_keys_of_one_text_are_left_out(spark):
+    """Only keys that two texts have, one of them with an open window, go on to the rounds of the rest."""
+    row = "key bigint, value bigint, class bigint, span bigint, open boolean"
+    rows = [(1, 8, 5, 0, True), (2, 8, 5, 0, True), (2, 8, 6, 0, False), (2, 8, 4, 0, False), (3, 8, 5, 0, False), (3, 8, 6, 0, False), (4, 8, 7, 0, True), (4, 8, 7, 9, True)]
+    marked = substrings.with_key_leader(spark.createDataFrame(rows, row)).collect()
+    assert sorted((r.key, r["class"], r.leader) for r in marked) == [(2, 4, 5), (2, 5, 5), (2, 6, 5)]
