@@ -12,8 +12,8 @@ those of half as many with its groups added up in twos.
 Texts with equal sets are one class. First each class is compared with a class of like size that leads one of its lists, which joins groups
 of copies into stars; while that finds links for a good share of the pairs it is done again with other leaders. Then the trees look for links between
 classes that are still in different components. At first a tree gives only a spanning forest of its pairs, the likeliest first: where all of
-these are links, the pairs left out lie within one component. Where some are not, the trees give all pairs between the
-components that are left. So a group of n near copies costs a few n comparisons, not n^2, and every link between components is found.
+these are links, the pairs left out lie within one component. Where some are not, the entries that were in any pair come into trees once more, and
+these give all pairs between the components that are left. So a group of n near copies costs a few n comparisons, not n^2, and every link between components is found.
 
 A tree also looks at where the shared token stands in the two prefixes: if it is the first one that the sets share, they share at most what
 follows it in each. A pair that fails this has an earlier token in common, whose tree decides, or is no link. Entries that cannot pass
@@ -333,23 +333,29 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def tree_candidates(multi: DataFrame, labels: DataFrame, classes: DataFrame, forest: bool = False) -> DataFrame:
-    """Pairs of classes in different components that share a token and whose points allow a link; as a `forest`, of each tree
-    the pairs that join the same components as all its pairs would."""
+def tree_entries(multi: DataFrame, classes: DataFrame) -> DataFrame:
+    """token, n, class, rest, n_shingles: the entries of the trees, n to a token."""
     # what a set can share from this token on must do for the smallest set of the list
     smallest = multi.groupBy("token").agg(F.min("n_shingles").alias("smallest"))
     able = multi.join(smallest, "token").filter(7 * F.col("rest") >= 3 * (F.col("n_shingles") + F.greatest("smallest", F.ceil(F.col("n_shingles") * 3 / 4))))
-    labelled = store(_labelled(able.select("token", "class", "rest"), labels), "jaccard-able")
-    open_ = labelled.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    entries = labelled.join(open_.select("token", "n"), "token")
+    counted = able.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    return able.join(counted, "token").select("token", "n", "class", "rest")
+
+
+def tree_pairs(entries: DataFrame, labels: DataFrame, classes: DataFrame, forest: bool = False) -> DataFrame:
+    """a, b: pairs of classes in different components that share a token and whose points allow a link; as a `forest`, of each tree
+    the pairs that join the same components as all its pairs would. And token, n, class, rest of the entries that are in any such pair, whether
+    the forest has it or not."""
+    labelled = store(_labelled(entries, labels), "jaccard-able")
+    open_ = labelled.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi")
     # a long list is joined block by block: an entry of block i goes to all pairs of blocks with i
     blocks = F.ceil(F.col("n") / LIST_BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("class"), blocks).cast("int")
-    spread = entries.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    spread = labelled.join(open_.select("token"), "token").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     spread = spread.withColumn("key", F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other"))).withColumn(
         "side", F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     )
-    spread = store(spread.join(classes.select("class", "n_shingles", "point"), "class").select("key", "side", "class", "group", "n_shingles", "rest", "point"), "jaccard-entries")
+    spread = store(spread.join(classes.select("class", "n_shingles", "point"), "class").select("token", "n", "key", "side", "class", "group", "n_shingles", "rest", "point"), "jaccard-entries")
     discard(labelled)
     trees = 1 + (spread.agg(F.sum(F.octet_length("point"))).first()[0] or 0) // TREE_BYTES
 
@@ -357,16 +363,28 @@ def tree_candidates(multi: DataFrame, labels: DataFrame, classes: DataFrame, for
         names = ("key", "side", "group", "n_shingles", "rest", "class")
         key, side, group, size, rest, cls = (table[c].to_numpy() for c in names)
         i, j, margin = with_margins(key, side, group, size, table["point"].to_pylist(), rest)
+        met = table.select(["token", "n", "class", "rest"]).take(pa.array(np.union1d(i, j)))
         if forest:
             few = spanning_forest(group[i], group[j], margin)
             i, j = i[few], j[few]
         found = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], axis=1), axis=0)
-        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+        pairs = pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+        return pa.concat_tables([pairs, met], promote_options="default").select(["a", "b", "token", "n", "class", "rest"])
 
     grouped = spread.withColumn("tree", F.pmod(F.xxhash64("key"), F.lit(trees))).groupBy("tree")
-    pairs = store(grouped.applyInArrow(join, "a bigint, b bigint").distinct(), "jaccard-pairs")
+    found = store(grouped.applyInArrow(join, "a bigint, b bigint, token bigint, n bigint, class bigint, rest bigint"), "jaccard-met")
     discard(spread)
-    return pairs
+    return found
+
+
+def tree_candidates(found: DataFrame) -> DataFrame:
+    """The pairs that `tree_pairs` found, each once."""
+    return store(found.filter("a is not null").select("a", "b").distinct(), "jaccard-pairs")
+
+
+def entries_met(found: DataFrame) -> DataFrame:
+    """The entries that `tree_pairs` found in pairs. Once some components are joined, what is left to compare is among them."""
+    return found.filter("a is null").select("token", "n", "class", "rest").distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -398,8 +416,10 @@ def link(docs: DataFrame) -> DataFrame:
             labels = components(reduce(DataFrame.unionByName, links), "jaccard-stars")
         if linked * WORTH < tried or not tried:
             break
+    entries, found = tree_entries(multi, classes), []
     for forest in (True, False):
-        pairs = tree_candidates(multi, labels, classes, forest)
+        found.append(tree_pairs(entries, labels, classes, forest))
+        pairs, entries = tree_candidates(found[-1]), entries_met(found[-1])
         links.append(verify(pairs, classes, docs))
         tried, linked = pairs.count(), links[-1].count()
         discard(pairs)
@@ -407,7 +427,7 @@ def link(docs: DataFrame) -> DataFrame:
             labels = components(reduce(DataFrame.unionByName, links), "jaccard-all")
         if linked == tried:
             break  # the pairs that the forest leaves out join nothing more
-    discard(multi)
+    discard(multi, *found)
 
     named = classes.join(labels, classes["class"] == labels["node"], "left").select("class", F.coalesce("root", "class").alias("root"), "rep")
     named = named.select("class", "root").join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("class", "component_id")

@@ -331,6 +331,21 @@ def test_distinct_numbers():
         assert (shingles.distinct(x) == np.unique(x)).all()
 
 
+def test_second_trees_have_only_entries_that_were_in_pairs(spark, monkeypatch):
+    """Pairs that just fail: a few pass the bounds and are no links, so the trees are made again, for these."""
+    rows = []
+    for n in range(200):
+        words = prose(6000 + n, 60).split()
+        rows.append((2 * n, " ".join(words)))
+        words[30], words[34] = "changed", "again"
+        rows.append((2 * n + 1, " ".join(words)))
+    came = []
+    original = jaccard.tree_pairs
+    monkeypatch.setattr(jaccard, "tree_pairs", lambda entries, *args: came.append({r["class"] for r in entries.select("class").collect()}) or original(entries, *args))
+    assert found(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute_components(rows)
+    assert len(came) == 2 and 0 < 2 * len(came[1]) < len(came[0])
+
+
 def test_keys_of_one_text_are_left_out(spark):
     """Only keys that two texts have, one of them with an open window, go on to the rounds of the rest."""
     row = "key bigint, value bigint, class bigint, span bigint, open boolean"
