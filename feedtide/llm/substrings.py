@@ -1,27 +1,28 @@
-"""Near-duplicate passages by compact windows.
+"""Near-duplicate passages by the first tokens of stretches.
 
-The tokens of a text are its 5-word shingles. Under one hash function the passages of at least WINDOW tokens are grouped by the token with
-the smallest hash: the nodes of the Cartesian tree over the hashes whose subtree is at least WINDOW wide. Such a node is a compact window (start, end,
-value): every passage inside it that contains its minimum has this min-hash. The nodes are read off the minima of all
-stretches of WINDOW tokens: a run of equal minima is one node. About 2 n / WINDOW windows stand for the n^2 passages of a text.
+The tokens of a text are its 5-word shingles. Of two stretches of WINDOW tokens that share SHARED, the COMMON smallest shared tokens are among the FIRST
+smallest of both. So only places are dealt out that hold such a token of one of their stretches (three in ten), and a stretch can be repeated only
+where COMMON of its places are shared with another text. The other parts of a text, most of a corpus, go no further.
 
-Windows of different texts with equal value hold passages that agree in this hash function. First each is paired with the first window of the
-smallest text of its list; the pairs of two texts are joined as intervals, and where at least AGREE of the FUNCTIONS agree the passages are
-verified by their tokens. So a group of n copies costs n comparisons.
+What is left is cut into pieces, whose tokens are dealt out in full. A token's list has the texts that hold it, smallest class first. Each text is
+compared with the first LEADERS texts of all its lists at once: the places it shares with one of them show the passages that this one repeats.
 
-Then every window that no verified passage covers is paired with all windows of its list that can hold a near copy of one of its stretches:
-of two stretches that share SHARED of WINDOW tokens, the smallest shared token is among the first WINDOW - SHARED + 1 of both in any
-order of the tokens. Frequent tokens come last in this order, so texts that only have a common line do not meet.
+Stretches of which enough tokens occur in smaller texts, though no passage covers them yet, are compared with every smaller text that has one of their
+rarest tokens: a text that repeats the stretch lacks WINDOW - SHARED of its tokens at most, so it has one of any WINDOW - SHARED + 1. These lists are read in parts that
+grow, and a stretch that is covered meanwhile leaves them. So a group of n copies costs a few n comparisons.
+
+Rows go between tasks by the thousand, as columns packed in a binary value for each hash bucket.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedtide.llm.common import discard, documents, store, text_or_empty
@@ -29,13 +30,17 @@ from feedtide.llm.shingles import WIDTH, distinct, few_at_once, mixed, runs, wor
 
 WINDOW = 46  # shingles: 50 words
 SHARED = 40  # of WINDOW shingles, so that two stretches of equal length have a similarity of 0.75: 40 / (2 * 46 - 40)
+COMMON = 4  # first tokens that two near stretches share
+FIRST = WINDOW - SHARED + COMMON  # tokens of a stretch that are looked at first
+LEADERS = 3  # texts of a list that all others are compared with
+RANKS = 16  # texts of a list that open stretches are compared with in the first round, and
+FURTHER = 8  # times as many in the next
+PIECE = 512  # places of a piece, which has the tokens of all stretches that begin there
+PAIRS = 1 << 20  # pairs of pieces that are made at once
 FUNCTIONS = 6
-AGREE = 2
-ROUNDS = 2  # of pairing with the smallest text left in a list; whatever is left is paired in full
 BUCKETS = 1 << 20
-COUNTERS = 1 << 17  # of tokens by hash: shows which ones are frequent
-WORTH = 10  # a further round of the rest must cover one open window in so many
-FREQUENT = 8.0  # standard deviations above the mean counter
+ASKED = 1 << 22  # hash buckets of the tokens that are asked for
+COUNTERS = 1 << 17  # of tokens by hash
 STRETCHES = 4096  # that are looked at together
 
 
@@ -72,78 +77,162 @@ def text_class(words: np.ndarray) -> int:
         return int(mixed(mixed(words + mixed(place)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
-def text_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class, n_words of each document; the class is null without words. And counter, hits: how many tokens of all documents fall on a counter."""
+def first_places(order: np.ndarray, width: int = WINDOW, few: int = FIRST) -> np.ndarray:
+    """Whether a place holds one of the `few` smallest different numbers of a stretch of `width` that it lies in."""
+    if len(order) < width:
+        return np.zeros(len(order), dtype=bool)
+    stretches = np.lib.stride_tricks.sliding_window_view(order, width)
+    limit = np.empty(len(stretches), dtype=np.uint64)
+    for at in range(0, len(stretches), STRETCHES):
+        limit[at : at + STRETCHES] = np.partition(stretches[at : at + STRETCHES], few - 1, axis=1)[:, few - 1]
+    twice = with_repeats(order, width)
+    for at in range(0, len(twice), STRETCHES):
+        some = twice[at : at + STRETCHES]
+        ordered = np.sort(stretches[some], axis=1)
+        nth = np.concatenate([np.ones((len(some), 1), dtype=np.int64), 1 + np.cumsum(ordered[:, 1:] != ordered[:, :-1], axis=1)], axis=1)
+        limit[some] = ordered[np.arange(len(some)), np.minimum((nth < few).sum(axis=1), width - 1)]
+    around = np.zeros(width - 1, dtype=np.uint64)
+    return order <= ~stretch_minima(~np.concatenate([around, limit, around])[None, :], width)[0]
+
+
+def with_repeats(order: np.ndarray, width: int) -> np.ndarray:
+    """The stretches of `width` in which a number occurs twice."""
+    if len(distinct(order)) == len(order):
+        return np.zeros(0, dtype=np.int64)
+    at = np.argsort(order, kind="stable")
+    near = (order[at[1:]] == order[at[:-1]]) & (at[1:] - at[:-1] < width)
+    last = len(order) - width
+    change = np.zeros(len(order) + 1, dtype=np.int64)
+    begin, end = np.maximum(at[1:][near] - width + 1, 0), np.minimum(at[:-1][near], last) + 1
+    np.add.at(change, begin[begin < end], 1)
+    np.add.at(change, end[begin < end], -1)
+    return np.flatnonzero(np.cumsum(change)[: last + 1])
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counters = word_hasher(), np.zeros(COUNTERS, dtype=np.int64)
-        names, types = ["doc_id", "class", "n_words", "counter", "hits"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-        for batch in few_at_once(batches):
-            hashed = [words(t) for t in batch.column(1).to_pylist()]
-            seen = np.concatenate([np.zeros(0, dtype=np.uint64), *map(runs, hashed)])
-            counters += np.bincount((seen & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-            none = [None] * len(hashed)
-            columns = [batch.column(0), [text_class(w) if len(w) else None for w in hashed], [len(w) for w in hashed], none, none]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-        some = np.flatnonzero(counters)
-        none = [None] * len(some)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, none, some, counters[some]], types, strict=True)], names)
 
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary"))
-    return rows.mapInArrow(profile, "doc_id bigint, class bigint, n_words bigint, counter int, hits bigint")
+def first_tokens(order: np.ndarray, width: int = WINDOW, least: int = SHARED) -> np.ndarray:
+    """The tokens, as their order, that are among the first width - least + 1 of a stretch of `width`."""
+    return distinct(order[first_places(order, width, width - least + 1)])
 
 
-def frequent_counters(profiled: DataFrame) -> np.ndarray:
-    """Which counters stand out. Any set gives right results: it only orders tokens, frequent ones last."""
-    hits = np.zeros(COUNTERS, dtype=np.int64)
-    table = profiled.filter("counter is not null").groupBy("counter").agg(F.sum("hits").alias("hits")).toArrow()  # at most COUNTERS rows
-    hits[table["counter"].to_numpy()] = table["hits"].to_numpy()
-    mean = hits.mean()
-    return hits > mean + FREQUENT * np.sqrt(mean) + FREQUENT
+def full_stretches(places: np.ndarray, size: int, width: int = WINDOW, least: int = SHARED) -> np.ndarray:
+    """Where the stretches of `width` begin that have `least` of these places (sorted, different), in a text of `size` places."""
+    if len(places) < least:
+        return np.zeros(0, dtype=np.int64)
+    low = max(int(places[0]) - width + 1, 0)
+    hit = np.zeros(min(int(places[-1]) + width, size) - low, dtype=np.int64)
+    hit[places - low] = 1
+    total = np.concatenate([[0], np.cumsum(hit)])
+    return low + np.flatnonzero(total[width:] - total[:-width] >= least)
 
 
-def all_windows(docs: DataFrame) -> DataFrame:
-    """value, class, span (start << 32 | end). A task emits a class once, so exact copies cost nothing."""
+def passages_of(places: np.ndarray, size: int, width: int = WINDOW, least: int = SHARED) -> list[tuple[int, int]]:
+    """[start, end) of the stretches of `width` that have `least` of these places; overlapping stretches are one, and begin and end with one of the places."""
+    good = full_stretches(places, size, width, least)
+    if not len(good):
+        return []
+    breaks = np.flatnonzero(np.diff(good) > width)
+    found = []
+    for first, last in zip(good[np.r_[0, breaks + 1]], good[np.r_[breaks, len(good) - 1]], strict=True):
+        inside = places[np.searchsorted(places, first) : np.searchsorted(places, last + width)]
+        found.append((int(inside[0]), int(inside[-1] + 1)))
+    return found
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, done = word_hasher(), set()
-        for batch in few_at_once(batches):
-            values, classes, spans = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for text in batch.column(0).to_pylist():
-                hashed = words(text)
-                if len(hashed) < WINDOW + WIDTH - 1 or (c := text_class(hashed)) in done:
-                    continue
-                done.add(c)
-                value, start, end = compact_windows(runs(hashed))
-                values.append(value)
-                classes.append(np.full(len(value), c, dtype=np.int64))
-                spans.append(start << 32 | end)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(spans))], ["value", "class", "span"])
 
-    return docs.select(text_or_empty().cast("binary")).mapInArrow(emit, "value bigint, class bigint, span bigint")
+def still_open(begins: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Whether the stretches that begin there share less than SHARED tokens with the passage."""
+    return (begins + WINDOW - SHARED < start) | (begins + SHARED > end)
 
 
-def with_leader(lists: DataFrame) -> DataFrame:
-    """The windows of lists with more than one class, each with the list's smallest class and that class's first window."""
-    leaders = lists.groupBy("value").agg(F.min(F.struct("class", "span")).alias("lead"), F.max("class").alias("last")).filter("lead.class < last")
-    return lists.join(leaders.select("value", F.col("lead.class").alias("leader"), F.col("lead.span").alias("lead_span")), "value")
+def chosen(begins: np.ndarray, offers: list[tuple[int, list[tuple[int, int]]]]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """leader, start, end of the passages that are listed, and the stretches that none of them covers. Offered are the passages of leaders, the
+    likeliest leader first; one that covers no further stretch is left out."""
+    listed = []
+    for leader, passages in offers:
+        if not len(begins):
+            break
+        for start, end in passages:
+            kept = still_open(begins, start, end)
+            if not kept.all():
+                listed.append((leader, start, end))
+                begins = begins[kept]
+    return listed, begins
+
+
+def rarest_places(begins: np.ndarray, places: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Which of the places (numbers in `places`) are asked for: in each of these stretches WINDOW - SHARED + 1 places less those that no other text
+    has, the rarest ones. A text that repeats the stretch has the token of one of them."""
+    low = int(begins[0])
+    number = np.full(int(begins[-1]) + WINDOW - low, -1, dtype=np.int64)
+    inside = (places >= low) & (places < low + len(number))
+    order = np.zeros(len(number), dtype=np.uint64)  # places that no other text has come first
+    number[places[inside] - low] = np.flatnonzero(inside)
+    order[places[inside] - low] = rare[inside]
+    few, asked = WINDOW - SHARED + 1, []
+    stretches, numbers = (np.lib.stride_tricks.sliding_window_view(x, WINDOW) for x in (order, number))
+    for at in range(0, len(begins), STRETCHES):
+        some = begins[at : at + STRETCHES] - low
+        first = np.argpartition(stretches[some], few - 1, axis=1)[:, :few]
+        asked.append(np.unique(np.take_along_axis(numbers[some], first, axis=1)))
+    asked = np.unique(np.concatenate(asked))
+    return asked[asked >= 0]
+
+
+def joined(passages: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping passages as one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(passages):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def ranges(numbers: np.ndarray) -> list[tuple[int, int]]:
+    """[first, last] of the runs of consecutive numbers."""
+    breaks = np.flatnonzero(np.diff(numbers) > 1)
+    return list(zip(numbers[np.r_[0, breaks + 1]].tolist(), numbers[np.r_[breaks, len(numbers) - 1]].tolist(), strict=True)) if len(numbers) else []
+
+
+def bucket_of(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(numbers.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % buckets
+
+
+def packed(bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The buckets that occur, and for each the values of its rows, column by column."""
+    order = np.argsort(bucket, kind="stable")
+    columns = tuple(c[order] for c in columns)
+    cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0]) if len(order) else order
+    ends = np.r_[cuts[1:], len(order)] if len(order) else order
+    return bucket[order][cuts], [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(cuts.tolist(), ends.tolist(), strict=True)]
+
+
+def unpacked(values: list[bytes], *types: str) -> list[np.ndarray]:
+    """The columns of all packed values."""
+    widths = [np.dtype(t).itemsize for t in types]
+    counts = [len(v) // sum(widths) for v in values]
+    out, before = [], 0
+    for kind, width in zip(types, widths, strict=True):
+        parts = [np.frombuffer(v, kind, n, before * n) for v, n in zip(values, counts, strict=True)]
+        out.append(np.concatenate(parts) if parts else np.zeros(0, kind))
+        before += width
+    return out
+
+
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def table_of(types: dict[str, pa.DataType], rows: int, **columns: object) -> pa.RecordBatch:
+    """Columns that are not given are null."""
+    arrays = [pa.array(columns[n], t) if n in columns else pa.nulls(rows, t) for n, t in types.items()]
+    return pa.RecordBatch.from_arrays(arrays, list(types))
 
 
-def joined_intervals(paired: DataFrame) -> DataFrame:
-    """class, leader, start, end, lead_start, lead_end: stretches of overlapping windows of two texts in which AGREE functions agree."""
-    at = lambda c: F.shiftright(c, 32)
-    to = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
-    rows = paired.filter("class != leader").select(
-        "class", "leader", at("span").alias("start"), to("span").alias("end"), at("lead_span").alias("lead_start"), to("lead_span").alias("lead_end"), F.expr("1 << CAST(value & 7 AS int)").alias("bit")
-    )
-    pair = Window.partitionBy("class", "leader").orderBy("start", "end", "bit", "lead_start")
-    before = F.max("end").over(pair.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int")
-    numbered = rows.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(pair.rowsBetween(Window.unboundedPreceding, 0)))
-    stretches = numbered.groupBy("class", "leader", "stretch").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("lead_start").alias("lead_start"), F.max("lead_end").alias("lead_end"), F.bit_count(F.bit_or("bit")).alias("agree")
-    )
-    return stretches.filter(F.col("agree") >= AGREE).drop("stretch", "agree")
 
 
 def matching_stretches(tokens: np.ndarray, others: np.ndarray, width: int = WINDOW, least: int = SHARED) -> list[tuple[int, int]]:
@@ -172,63 +261,6 @@ def token_order(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         return mixed(tokens) >> np.uint64(1) | last.astype(np.uint64) << np.uint64(63)
 
 
-def first_tokens(order: np.ndarray, width: int = WINDOW, least: int = SHARED) -> np.ndarray:
-    """The tokens, as their order, that are among the first width - least + 1 of a stretch of `width`."""
-    few, found = width - least + 1, []
-    stretches = np.lib.stride_tricks.sliding_window_view(order, width)
-    for at in range(0, len(stretches), STRETCHES):
-        found.append(distinct(np.partition(stretches[at : at + STRETCHES], few - 1, axis=1)[:, :few]))
-    return distinct(np.concatenate(found)) if len(found) > 1 else found[0]
-
-
-def uncovered(windows: DataFrame, found: DataFrame) -> DataFrame:
-    """The windows (value, class, span) that share less than SHARED tokens with any passage found in their text."""
-    at, to = F.shiftright("span", 32), F.col("span").bitwiseAND(0xFFFFFFFF)
-    none = F.lit(None).cast("long")
-    asked = windows.select("class", "value", "span", (to + 1 - SHARED).alias("place"), none.alias("reach"))
-    passages = found.select("class", none.alias("value"), none.alias("span"), F.col("start").alias("place"), F.col("end").alias("reach")).distinct()
-    # of the passages that begin early enough, one that ends late enough; each has SHARED tokens at least
-    so_far = Window.partitionBy("class").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = asked.unionByName(passages).withColumn("reached", F.max("reach").over(so_far)).filter("span is not null")
-    return reached.filter(F.coalesce("reached", F.lit(-1)) < at + SHARED).select("value", "class", "span", F.lit(True).alias("open"))
-
-
-def with_open(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """value, class, span, open for the lists with an open window: one that no passage covers, of another text than the smallest of its list,
-    with which all others have been compared."""
-    left = store(uncovered(lists.filter("class != leader"), found), "substring-open")
-    chosen = lists.select("value", "class", "span").join(left.select("value").distinct(), "value", "left_semi")
-    kept = store(chosen.join(left, ["value", "class", "span"], "left").withColumn("open", F.coalesce("open", F.lit(False))), "substring-rest")
-    discard(left)
-    return kept
-
-
-def first_keys(rest: DataFrame, reps: DataFrame, docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """key, value, class, span, open, leader: a key for the value of a window and each token that is among the first of one of its stretches. Windows
-    that hold near copies have a key in common. Keys of one text only, and those without an open window, are left out."""
-    asked = store(rest.groupBy("class").agg(F.collect_list(F.struct("value", "span", "open")).alias("windows")).join(reps.select("class", "rep"), "class"), "substring-asked")
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, words = ["key", "value", "class", "span", "open"], word_hasher()
-        for batch in few_at_once(batches):
-            for text, cls, windows in zip(*(batch.column(c).to_pylist() for c in ("text", "class", "windows")), strict=True):
-                hashed = words(text)
-                if not len(hashed) or text_class(hashed) != cls:
-                    continue  # another document may have the same id
-                order = token_order(runs(hashed), frequent)
-                first = [first_tokens(order[w["span"] >> 32 : (w["span"] & 0xFFFFFFFF) + 1]) for w in windows]
-                columns = [np.repeat(np.array([w[c] for w in windows], dtype=np.int64), [len(f) for f in first]) for c in ("value", "span", "open")]
-                with np.errstate(over="ignore"):
-                    key = mixed(np.concatenate(first) ^ mixed(columns[0].view(np.uint64))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, columns[0], np.full(len(key), cls), columns[1], columns[2] == 1)], names)
-
-    texts = asked.join(texts_of(asked, docs), "rep").select("text", "class", "windows")
-    dealt = texts.mapInArrow(keys, "key bigint, value bigint, class bigint, span bigint, open boolean").repartition("key").distinct()
-    marked = store(with_key_leader(dealt), "substring-keys")
-    discard(asked)
-    return marked
-
-
 def with_key_leader(dealt: DataFrame) -> DataFrame:
     """The rows of keys with an open window and a second text, each with the key's smallest text that has an open window."""
     open_class = F.when(F.col("open"), F.col("class"))
@@ -237,41 +269,6 @@ def with_key_leader(dealt: DataFrame) -> DataFrame:
     return dealt.join(leaders.select("key", "leader"), "key")
 
 
-def oriented(both: DataFrame) -> DataFrame:
-    """value, class, span, leader, lead_span of pairs (class, span) and (other, other_span): the leader is the smaller class."""
-    smaller = F.col("class") < F.col("other")
-    return both.select(
-        "value",
-        F.greatest("class", "other").alias("class"),
-        F.when(smaller, F.col("other_span")).otherwise(F.col("span")).alias("span"),
-        F.least("class", "other").alias("leader"),
-        F.when(smaller, F.col("span")).otherwise(F.col("other_span")).alias("lead_span"),
-    ).distinct()
-
-
-def rest_passages(marked: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """What the open windows repeat or have repeated: those of the smallest open text of a key are compared with all others of the key and
-    leave it, while that covers a good share of the open ones; then all pairs that are left."""
-    mate = [F.col("class").alias("other"), F.col("span").alias("other_span")]
-    found, stored, productive = None, marked, True
-    while productive:
-        pairs = store(oriented(marked.filter("class = leader").drop("leader").join(marked.filter("class != leader").select("key", *mate), "key")), "substring-pairs")
-        passages = verified(joined_intervals(pairs), reps, docs)
-        found = passages if found is None else found.unionByName(passages)
-        left = marked.filter("class != leader").drop("leader")
-        opened = left.filter("open")
-        before = opened.count()
-        still = uncovered(opened.select("value", "class", "span").distinct(), passages)
-        left = store(left.drop("open").join(still, ["value", "class", "span"], "left").withColumn("open", F.coalesce("open", F.lit(False))), "substring-keys")
-        after = left.filter("open").count()
-        discard(stored, pairs)
-        stored, marked, productive = left, with_key_leader(left), (before - after) * WORTH >= before > 0
-    pairs = store(oriented(left.filter("open").join(left.select("key", *mate), "key").filter("class != other")), "substring-pairs")
-    found = found.unionByName(verified(joined_intervals(pairs), reps, docs))
-    discard(left, pairs)
-    return found
-
-
 def texts_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
     """rep, text of the documents whose id is a `rep` of `asked`, and a few others: a table of hash buckets of ids, at most BUCKETS rows, keeps
     the rest out of the shuffle."""
@@ -280,44 +277,329 @@ def texts_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", bucket("rep")).join(F.broadcast(asked.select(bucket("rep").alias("bucket")).distinct()), "bucket", "left_semi").drop("bucket")
 
 
-def verified(candidates: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """class, leader, start, end: the verified passages in tokens of `class`, end exclusive."""
-    key = ["class", "leader", "start"]
-    sides = candidates.select(*key, "end", F.lit(True).alias("own"), F.col("class").alias("text_class"), F.col("start").alias("first"), F.col("end").alias("last"))
-    sides = sides.unionByName(candidates.select(*key, "end", F.lit(False).alias("own"), F.col("leader").alias("text_class"), F.col("lead_start").alias("first"), F.col("lead_end").alias("last")))
-    asked = store(sides.join(reps.select(F.col("class").alias("text_class"), "rep"), "text_class"), "substring-asked")
+def buckets_of(spark: SparkSession) -> int:
+    """Hash buckets for packed rows: several to a task, so that tasks are alike."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+ZONES = {"doc_id": pa.int64(), "class": pa.int64(), "n_words": pa.int64(), "start": pa.int64(), "end": pa.int64(), "bucket": pa.int32(), "packed": pa.binary()}
+ZONES_SQL = "doc_id bigint, class bigint, n_words bigint, start bigint, end bigint, bucket int, packed binary"
+
+
+def classes_and_zones(docs: DataFrame) -> DataFrame:
+    """doc_id, class, n_words of the documents that have words. And class, start, end: the parts of texts that may be repeated, those in which COMMON
+    of the first places of a stretch are shared with other texts."""
+    buckets = buckets_of(docs.sparkSession)
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, done = word_hasher(), set()
+        for batch in few_at_once(batches):
+            ids, classes, counts = [], [], []
+            tokens, owners, places = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint32)]
+            for doc_id, text in zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True):
+                hashed = words(text)
+                if not len(hashed):
+                    continue
+                c = text_class(hashed)
+                ids.append(doc_id)
+                classes.append(c)
+                counts.append(len(hashed))
+                if len(hashed) >= WINDOW + WIDTH - 1 and c not in done:  # a task deals out a class once, so exact copies cost nothing
+                    done.add(c)
+                    mine = runs(hashed)
+                    at = np.flatnonzero(first_places(mine))
+                    tokens.append(mine[at])
+                    owners.append(np.full(len(at), c, dtype=np.int64))
+                    places.append(at.astype(np.uint32))
+            spread = bucket_of(np.array(classes, dtype=np.int64), buckets)
+            yield table_of(ZONES, len(ids), doc_id=ids, n_words=counts, bucket=spread, **{"class": classes})
+            token = np.concatenate(tokens)
+            # half of a hash tells the tokens of a bucket apart; two that it doesn't are told apart by the pieces
+            bucket, values = packed(bucket_of(token, buckets), token.astype("<u4"), np.concatenate(owners), np.concatenate(places))
+            yield table_of(ZONES, len(bucket), bucket=bucket, packed=values)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket: dict[int, list[bytes]] = {}
+        for batch in batches:
+            yield batch.filter(batch.column("class").is_valid())
+            for bucket, value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "packed")), strict=True):
+                if value is not None:
+                    by_bucket.setdefault(bucket, []).append(value)
+        for values in by_bucket.values():
+            token, owner, place = unpacked(values, "<u4", "<i8", "<u4")
+            order = np.argsort(token, kind="stable")
+            token, owner, place = token[order], owner[order], place[order]
+            first = np.flatnonzero(starts_of(token))
+            several = np.repeat(np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first), np.diff(np.r_[first, len(token)]))
+            bucket, out = packed(bucket_of(owner[several], buckets), owner[several], place[several])
+            yield table_of(ZONES, len(bucket), bucket=bucket, packed=out)
+
+    def zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = []
+        for batch in batches:
+            yield batch.filter(batch.column("class").is_valid())
+            values += batch.column("packed").drop_null().to_pylist()
+        owner, place = unpacked(values, "<i8", "<u4")
+        order = np.lexsort((place, owner))
+        owner, place = owner[order], place[order].astype(np.int64)
+        once = starts_of(owner, place)  # other tasks may have met the class, too
+        owner, place = owner[once], place[once]
+        at = np.arange(max(len(place) - COMMON + 1, 0))
+        at = at[(owner[at] == owner[at + COMMON - 1]) & (place[at + COMMON - 1] - place[at] < WINDOW)]
+        owner, start, end = owner[at], np.maximum(place[at + COMMON - 1] - WINDOW + 1, 0), place[at] + WINDOW
+        new = starts_of(owner)
+        new[1:] |= start[1:] > end[:-1]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(owner)] - 1
+        yield table_of(ZONES, len(first), start=start[first], end=end[last] if len(first) else end, **{"class": owner[first]})
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary"))
+    dealt = rows.mapInArrow(profile, ZONES_SQL).repartition("bucket").mapInArrow(shared, ZONES_SQL)
+    return dealt.repartition("bucket").mapInArrow(zones, ZONES_SQL).drop("bucket", "packed")
+
+
+def pieces_of(zones: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """class, size (places of the text), start, own, tokens: the zones in pieces. A piece has the tokens from `start` on, the first `own` of them for
+    itself; the others, which make up its last stretches, are those of the next piece, too."""
+    asked = store(zones.groupBy("class").agg(F.collect_list(F.struct("start", "end")).alias("zones")).join(reps.select("class", "rep"), "class"), "substring-asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, tokens, cls = word_hasher(), None, None, None
+        words = word_hasher()
+        for batch in few_at_once(batches):
+            rows = []
+            for text, cls, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "class", "zones")), strict=True):
+                hashed = words(text)
+                if not len(hashed) or text_class(hashed) != cls:
+                    continue  # another document may have the same id
+                tokens = runs(hashed)
+                for zone in wanted:
+                    end = min(zone["end"], len(tokens))
+                    for start in range(zone["start"], end, PIECE):
+                        rows.append((cls, len(tokens), start, min(PIECE, end - start), tokens[start : min(start + PIECE + WINDOW - 1, end)].tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["class", "size", "start", "own", "tokens"])
+
+    texts = asked.join(texts_of(asked, docs), "rep").select("text", "class", "zones")
+    pieces = store(texts.mapInArrow(cut, "class bigint, size bigint, start bigint, own bigint, tokens binary"), "substring-pieces")
+    discard(asked)
+    return pieces
+
+
+FOUND = {"kind": pa.int32(), "class": pa.int64(), "other": pa.int64(), "start": pa.int64(), "end": pa.int64()}
+FOUND_SQL = "kind int, class bigint, other bigint, start bigint, end bigint"
+PASSAGE, OPEN, ASK, OFFER = range(4)  # other: the leader, -, a token, the leader; start, end: the passage, first and last stretch, place, the passage
+
+
+def found_rows(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FOUND.values(), strict=True)], list(FOUND))
+
+
+def first_passages(pieces: DataFrame) -> DataFrame:
+    """PASSAGE: what texts repeat of the first LEADERS texts in the lists of their tokens. OPEN: the stretches that no such passage covers though SHARED
+    of their tokens are in smaller texts. ASK: their rarest tokens."""
+    buckets = buckets_of(pieces.sparkSession)
+    leader_types = ["<i8"] * LEADERS
+    kinds = {"bucket": pa.int32(), "packed": pa.binary()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_at_once(batches):
-            kept, parts = [], []
-            columns = (batch.column(c).to_pylist() for c in ("text", "text_class", "first", "last"))
-            for text, wanted, first, end in zip(*columns, strict=True):
-                if text != last:
-                    hashed = words(text)
-                    last, tokens, cls = text, runs(hashed), text_class(hashed) if len(hashed) else None
-                kept.append(cls == wanted)  # another document may have the same id
-                parts.append(tokens[first : end + 1].tobytes() if cls == wanted else b"")
-            chosen = batch.select(["class", "leader", "start", "end", "own"]).append_column("tokens", pa.array(parts, pa.binary()))
-            yield chosen.filter(pa.array(kept, pa.bool_()))
-
-    parts = asked.join(texts_of(asked, docs), "rep").select("text", "text_class", "first", "last", *key, "end", "own").mapInArrow(cut, "class bigint, leader bigint, start bigint, end bigint, own boolean, tokens binary")
-    parts = store(parts, "substring-parts")
-    mine = parts.filter("own").select(*key, "tokens").dropDuplicates(key)
-    other = parts.filter("not own").select(*key, F.col("tokens").alias("others")).dropDuplicates(key)
+            tokens = [np.frombuffer(t, "<u8", n) for t, n in zip(batch.column("tokens").to_pylist(), batch.column("own").to_pylist(), strict=True)]
+            if not tokens:
+                continue
+            counts = np.array([len(t) for t in tokens])
+            token = np.concatenate(tokens)
+            place = np.arange(len(token)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(batch.column("start").to_numpy(), counts)
+            owner, size = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("class", "size"))
+            bucket, values = packed(bucket_of(token, buckets), token, owner, place.astype("<u4"), size.astype("<u4"))
+            yield table_of(kinds, len(bucket), bucket=bucket, packed=values)
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "packed")), strict=True):
+                by_bucket.setdefault(bucket, []).append(value)
+        for values in by_bucket.values():
+            token, owner, place, size = unpacked(values, "<u8", "<i8", "<u4", "<u4")
+            order = np.lexsort((place, owner, token))
+            token, owner, place, size = token[order], owner[order], place[order], size[order]
+            once = starts_of(token, owner, place)
+            token, owner, place, size = token[once], owner[once], place[once], size[once]
+            new, member = starts_of(token), starts_of(token, owner)
+            heads = owner[member]  # the texts of each list, one after the other
+            at = np.cumsum(member) - 1
+            begin = at[new][np.cumsum(new) - 1]  # where the list of a row begins in `heads`
+            texts = np.diff(np.r_[at[new], len(heads)])[np.cumsum(new) - 1]
+            later = np.flatnonzero(at > begin)
+            rank, begin = (at - begin)[later], begin[later]
+            leaders = [np.where(rank > n, heads[np.minimum(begin + n, len(heads) - 1)], 0) for n in range(LEADERS)]
+            columns = (owner[later], place[later], size[later], token[later], np.minimum(texts[later], 65535).astype("<u2"), *leaders)
+            bucket, out = packed(bucket_of(owner[later], buckets), *columns)
+            yield table_of(kinds, len(bucket), bucket=bucket, packed=out)
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "packed")), strict=True):
+                by_bucket.setdefault(bucket, []).append(value)
+        for values in by_bucket.values():
+            owner, place, size, token, texts, *leaders = unpacked(values, "<i8", "<u4", "<u4", "<u8", "<u2", *leader_types)
+            order = np.lexsort((place, owner))
+            owner, place, size, token, texts = owner[order], place[order].astype(np.int64), size[order], token[order], texts[order]
+            leading = np.stack([x[order] for x in leaders], axis=1)
+            enough = np.zeros(len(owner), dtype=bool)
+            enough[: -(SHARED - 1)] = (owner[SHARED - 1 :] == owner[: -(SHARED - 1)]) & (place[SHARED - 1 :] - place[: -(SHARED - 1)] < WINDOW)
+            cuts = np.flatnonzero(starts_of(owner))
+            ends = np.r_[cuts[1:], len(owner)]
+            able = np.logical_or.reduceat(enough, cuts) if len(cuts) else cuts
+            rows = []
+            for i, j in zip(cuts[able].tolist(), ends[able].tolist(), strict=True):
+                cls, n, mine, by = int(owner[i]), int(size[i]), place[i:j], leading[i:j]
+                begins = full_stretches(mine, n)
+                if not len(begins):
+                    continue
+                names, counts = np.unique(by, return_counts=True)
+                likely = [(int(names[k]), int(counts[k])) for k in np.argsort(-counts, kind="stable") if names[k] and counts[k] >= SHARED]
+                offers = ((leader, passages_of(mine[(by == leader).any(axis=1)], n)) for leader, _ in likely)
+                listed, begins = chosen(begins, offers)
+                rows += [(PASSAGE, cls, leader, start, end) for leader, start, end in listed]
+                if len(begins):
+                    rows += [(OPEN, cls, 0, first, last) for first, last in ranges(begins)]
+                    rare = texts[i:j].astype(np.uint64) << np.uint64(48) | token[i:j] >> np.uint64(16)
+                    rows += [(ASK, cls, int(token[i + k].view(np.int64)), int(mine[k]), 0) for k in rarest_places(begins, mine, rare).tolist()]
+            yield found_rows(rows)
+
+    dealt = pieces.mapInArrow(deal, "bucket int, packed binary").repartition("bucket").mapInArrow(lists, "bucket int, packed binary")
+    return dealt.repartition("bucket").mapInArrow(passages, FOUND_SQL)
+
+
+def asked_pairs(pieces: DataFrame, asks: DataFrame, low: int, high: int) -> DataFrame:
+    """class, start, leader, lead_start: pieces that have an asked token, each with the pieces of smaller texts that have it, too: of the texts from `low` up to `high` in the
+    token's list. And as kind ASK the tokens in whose lists there are more."""
+    spark = pieces.sparkSession
+    buckets = buckets_of(spark)
+    asked = np.zeros(ASKED, dtype=bool)
+    asked[asks.select(F.col("other").bitwiseAND(ASKED - 1).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()] = True  # at most ASKED rows
+    kinds = {"bucket": pa.int32(), "ask": pa.bool_(), "packed": pa.binary()}
+    names = "bucket int, ask boolean, packed binary"
+    out_kinds = FOUND | {"lead_start": pa.int64()}
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few_at_once(batches):
+            tokens = [t[asked[(t & np.uint64(ASKED - 1)).astype(np.int64)]] for t in (np.frombuffer(x, "<u8") for x in batch.column("tokens").to_pylist())]
+            if not tokens:
+                continue
+            counts, token = [len(t) for t in tokens], np.concatenate(tokens)
+            owner, start = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("class", "start"))
+            bucket, values = packed(bucket_of(token, buckets), token, owner, start.astype("<u4"))
+            yield table_of(kinds, len(bucket), bucket=bucket, ask=[False] * len(bucket), packed=values)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, owner, place = (batch.column(c).to_numpy() for c in ("other", "class", "start"))
+            bucket, values = packed(bucket_of(token, buckets), token.view(np.uint64), owner, place.astype("<u4"))
+            yield table_of(kinds, len(bucket), bucket=bucket, ask=[True] * len(bucket), packed=values)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        for batch in batches:
+            for bucket, is_ask, value in zip(*(batch.column(c).to_pylist() for c in kinds), strict=True):
+                by_bucket.setdefault(bucket, ([], []))[is_ask].append(value)
+        for there, wanted in by_bucket.values():
+            token, owner, start = unpacked(there, "<u8", "<i8", "<u4")
+            order = np.lexsort((start, owner, token))
+            token, owner, start = token[order], owner[order], start[order]
+            once = starts_of(token, owner, start)
+            token, owner, start = token[once], owner[once], start[once]
+            ask_token, ask_owner, ask_place = unpacked(wanted, "<u8", "<i8", "<u4")
+            new, member = starts_of(token), starts_of(token, owner)
+            heads = np.r_[np.flatnonzero(member), len(token)]  # the first rows of texts in lists
+            at = np.cumsum(member) - 1
+            firsts = at[new][np.cumsum(new) - 1]  # the number of the first text of a row's list
+            # the rows of the text that asks, in the list of its token
+            mine = np.isin(token, ask_token) if len(ask_token) else np.zeros(len(token), dtype=bool)
+            rows = np.flatnonzero(mine)
+            order = np.lexsort((ask_owner, ask_token))
+            key = np.empty(len(ask_token), dtype=[("t", "<u8"), ("c", "<i8")])
+            key["t"], key["c"] = ask_token, ask_owner
+            own = np.empty(len(rows), dtype=key.dtype)
+            own["t"], own["c"] = token[rows], owner[rows]
+            rows = rows[np.isin(own, key[order])]
+            rank = at[rows] - firsts[rows]
+            begin = heads[firsts[rows] + np.minimum(low, rank)]
+            counts = heads[firsts[rows] + np.minimum(high, rank)] - begin
+            total = np.cumsum(counts)
+            for part in np.split(np.arange(len(rows)), np.searchsorted(total, np.arange(PAIRS, int(total[-1]) if len(total) else 0, PAIRS))):
+                n = counts[part]
+                who = np.repeat(rows[part], n)
+                whom = np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                found = np.unique(np.stack([owner[who], start[who].astype(np.int64), owner[whom], start[whom].astype(np.int64)], axis=1), axis=0)
+                yield table_of(out_kinds, len(found), kind=np.full(len(found), OFFER), start=found[:, 1], other=found[:, 2], lead_start=found[:, 3], **{"class": found[:, 0]})
+            further = np.isin(key, own[np.isin(own, key)][rank > high]) if len(key) else np.zeros(0, dtype=bool)
+            yield table_of(out_kinds, int(further.sum()), kind=np.full(int(further.sum()), ASK), other=ask_token[further].view(np.int64), start=ask_place[further].astype(np.int64), **{"class": ask_owner[further]})
+
+    both = pieces.mapInArrow(index, names).unionByName(asks.select("other", "class", "start").mapInArrow(ask, names))
+    return both.repartition("bucket").mapInArrow(pairs, FOUND_SQL + ", lead_start bigint")
+
+
+def offered(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """OFFER: the passages that the first piece of a pair repeats of the second."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_at_once(batches):
-            found = []
-            for c, leader, start, tokens, others in zip(*(batch.column(n).to_pylist() for n in ("class", "leader", "start", "tokens", "others")), strict=True):
+            rows = []
+            for cls, start, leader, tokens, others in zip(*(batch.column(n).to_pylist() for n in ("class", "start", "other", "tokens", "others")), strict=True):
                 a, b = np.frombuffer(tokens, dtype=np.uint64), np.frombuffer(others, dtype=np.uint64)
-                found += [(c, leader, start + x, start + y) for x, y in matching_stretches(a, b)]
-            columns = list(zip(*found, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["class", "leader", "start", "end"])
+                rows += [(OFFER, cls, leader, start + x, start + y) for x, y in matching_stretches(a, b)]
+            yield found_rows(rows)
 
-    found = store(mine.join(other, key).select(*key, "tokens", "others").mapInArrow(compare, "class bigint, leader bigint, start bigint, end bigint"), "substring-verified")
-    discard(asked, parts)
-    return found
+    mine = pieces.select("class", "start", "tokens")
+    theirs = pieces.select(F.col("class").alias("other"), F.col("start").alias("lead_start"), F.col("tokens").alias("others"))
+    both = pairs.join(theirs, ["other", "lead_start"]).join(mine, ["class", "start"])
+    return both.select("class", "start", "other", "tokens", "others").mapInArrow(compare, FOUND_SQL)
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """From OFFER, OPEN and ASK, class by class: PASSAGE, the stretches that are still OPEN, and what is asked for them."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_class: dict[int, tuple[list, ...]] = {}
+        for batch in batches:
+            for kind, cls, other, start, end in zip(*(batch.column(n).to_pylist() for n in FOUND), strict=True):
+                by_class.setdefault(cls, ([], [], [], []))[kind].append((other, start, end))
+        for cls, (_, opened, asks, offers) in by_class.items():
+            begins = np.unique(np.concatenate([np.arange(first, last + 1) for _, first, last in opened])) if opened else np.zeros(0, dtype=np.int64)
+            by_leader: dict[int, list[tuple[int, int]]] = {}
+            for leader, start, end in set(offers):
+                by_leader.setdefault(leader, []).append((start, end))
+            merged = [(leader, joined(p)) for leader, p in by_leader.items()]
+            merged.sort(key=lambda x: (-sum(end - start for start, end in x[1]), x[0]))
+            listed, begins = chosen(begins, merged)
+            rows = [(PASSAGE, cls, leader, start, end) for leader, start, end in listed]
+            if len(begins):
+                rows += [(OPEN, cls, 0, first, last) for first, last in ranges(begins)]
+                # a place is asked for if a stretch that is open has it
+                rows += [(ASK, cls, token, place, 0) for token, place, _ in asks if (k := np.searchsorted(begins, place, "right")) and begins[k - 1] > place - WINDOW]
+            yield found_rows(rows)
+
+    return rows.repartition("class").mapInArrow(settle, FOUND_SQL)
+
+
+def all_passages(pieces: DataFrame) -> DataFrame:
+    """class, leader, start, end: the listed passages in tokens of `class`, end exclusive."""
+    state = store(first_passages(pieces), "substring-first")
+    found, low, high = [state], 0, RANKS
+    while not state.filter(F.col("kind") == ASK).isEmpty():
+        pairs = store(asked_pairs(pieces, state.filter(F.col("kind") == ASK), low, high), "substring-pairs")
+        offers = offered(pairs.filter(F.col("kind") == OFFER).drop("kind", "end").distinct(), pieces)
+        rows = offers.unionByName(state.filter(F.col("kind") == OPEN)).unionByName(pairs.filter(F.col("kind") == ASK).drop("lead_start"))
+        state = store(settled(rows), "substring-next")
+        found.append(state)
+        discard(pairs)
+        low, high = high, high * FURTHER
+    passages = [f.filter(F.col("kind") == PASSAGE).select("class", F.col("other").alias("leader"), "start", "end") for f in found]
+    return reduce(DataFrame.unionByName, passages)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -330,25 +612,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     and blank texts have no passage. A null doc_id stands for its class only if it has no other. Repeated rows are copies of each other.
     Other columns are not looked at. An empty table gives an empty result.
     """
-    profiled = store(text_classes(docs), "substring-classes")
-    known = profiled.filter("class is not null").select("doc_id", "class", "n_words")
+    profiled = store(classes_and_zones(docs), "substring-classes")
+    known = profiled.filter("n_words is not null").select("doc_id", "class", "n_words")
     reps = store(known.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n_words").alias("n_words")), "substring-reps")
-    dealt = all_windows(docs).repartition("value")  # both uses in with_leader read this one exchange
-    lists = store(with_leader(dealt).distinct(), "substring-lists")
-    left, found = lists, None
-    for n in range(ROUNDS):
-        passages = verified(joined_intervals(left), reps, docs)
-        found = passages if found is None else found.unionByName(passages)
-        if n + 1 < ROUNDS:
-            # who was not settled by the smallest text of its list is compared with the next smallest of these
-            settled = passages.select("class", "leader").distinct()
-            others = left.filter("class != leader").join(settled, ["class", "leader"], "left_anti").select("value", "class", "span")
-            left = store(with_leader(others), "substring-left")
-    rest = with_open(lists, found)
-    discard(lists)
-    marked = first_keys(rest, reps, docs, frequent_counters(profiled))
-    discard(rest)
-    found = found.unionByName(rest_passages(marked, reps, docs))
+    pieces = pieces_of(profiled.filter("n_words is null").select("class", "start", "end"), reps, docs)
+    found = all_passages(pieces)
+    discard(pieces)
     name = lambda c, out: reps.select(F.col("class").alias(c), F.col("rep").alias(out))
     near = (
         found.join(name("class", "doc_id"), "class")

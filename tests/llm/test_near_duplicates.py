@@ -352,3 +352,86 @@ def test_keys_of_one_text_are_left_out(spark):
     rows = [(1, 8, 5, 0, True), (2, 8, 5, 0, True), (2, 8, 6, 0, False), (2, 8, 4, 0, False), (3, 8, 5, 0, False), (3, 8, 6, 0, False), (4, 8, 7, 0, True), (4, 8, 7, 9, True)]
     marked = substrings.with_key_leader(spark.createDataFrame(rows, row)).collect()
     assert sorted((r.key, r["class"], r.leader) for r in marked) == [(2, 4, 5), (2, 5, 5), (2, 6, 5)]
+
+
+def near_rows(seed):
+    """Families of texts: passages in other surroundings, words changed, halves of passages, common lines, words that repeat."""
+    rnd = random.Random(seed)
+    line, texts = prose(7777, 22), []
+    for family in range(10):
+        passage = prose(8000 + 10 * seed + family, rnd.randint(52, 130)).split()
+        for _ in range(rnd.randint(2, 9)):
+            words = list(passage)
+            for _ in range(rnd.randint(0, 3)):
+                words[rnd.randrange(len(words))] = f"v{rnd.randrange(6)}"
+            at = rnd.randint(0, len(words) // 2)
+            own = [prose(rnd.randrange(10**6), rnd.randint(0, 60)), prose(rnd.randrange(10**6), rnd.randint(5, 60))]
+            parts = [own[0], " ".join(words[at:] if rnd.random() < 0.3 else words), rnd.choice([line, "", "so it is " * rnd.randint(0, 30)]), own[1]]
+            rnd.shuffle(parts)
+            texts.append(" ".join(parts))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("seed,leaders,ranks", [(1, 3, 64), (2, 1, 1), (3, 1, 2)])
+def test_passages_equal_brute_force(spark, monkeypatch, seed, leaders, ranks):
+    """Every stretch that a smaller text repeats is covered, and whatever is listed is repeated."""
+    for name, value in (("LEADERS", leaders), ("RANKS", ranks), ("FURTHER", 2), ("PIECE", 60)):
+        monkeypatch.setattr(substrings, name, value)
+    rows, hashes = near_rows(seed), shingles.word_hasher()
+    words = {k: hashes(t.encode()) for k, t in rows}
+    tokens, classes = {k: shingles.runs(w) for k, w in words.items()}, {k: substrings.text_class(w) for k, w in words.items()}
+    listed = {}
+    for r in substrings.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        start, end = r.start_word, r.end_word - 4
+        listed.setdefault(r.doc_id, []).append((start, end))
+        assert classes[r.source_doc_id] < classes[r.doc_id]
+        assert sum(t in set(tokens[r.source_doc_id].tolist()) for t in tokens[r.doc_id][start:end].tolist()) >= 40
+    assert listed
+    stretches = lambda t: [t[k : k + 46].tolist() for k in range(len(t) - 45)]
+    for a, b in itertools.permutations(tokens, 2):
+        if classes[a] < classes[b] or len(np.intersect1d(tokens[a], tokens[b])) < 2:
+            continue
+        theirs = [set(v) for v in stretches(tokens[b])]
+        for k, mine in enumerate(stretches(tokens[a])):
+            if any(min(e, k + 46) - max(s, k) >= 40 for s, e in listed.get(a, [])):
+                continue
+            assert not any(sum(t in v for t in mine) >= 40 and sum(t in set(mine) for t in v) >= 40 for v in theirs), (a, b, k)
+
+
+def test_a_covered_stretch_is_listed_once(spark):
+    """A text of a large group lists each stretch once, not again for each other text of the group."""
+    base, rows = prose(79, 300).split(), []
+    for copy in range(60):
+        words = list(base)
+        for at in (copy * 5 % 300, copy * 83 % 300):
+            words[at] = f"w{copy}"
+        rows.append((copy, " ".join(words)))
+    listed = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len({r.doc_id for r in listed}) == 59 and len(listed) < 4 * len(rows), len(listed)
+
+
+def test_texts_with_only_a_common_line_are_not_dealt_in_full(spark, monkeypatch):
+    """Windows and keys of all texts were stored before, several times the size of the texts."""
+    line = prose(4242, 14)
+    rows = [(k, prose(70_000 + k, 150) + " " + line + " " + prose(90_000 + k, 150)) for k in range(300)]
+    sizes, original = [], substrings.store
+
+    def store(df, label):
+        sizes.append(0 if label.endswith(("-classes", "-reps")) else df.count())
+        return original(df, label)
+
+    monkeypatch.setattr(substrings, "store", store)
+    assert substrings.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 0
+    assert sum(sizes) < 4 * len(rows), sizes
+
+
+@pytest.mark.parametrize("alike", [1 << 60, 30])
+def test_first_places_of_all_stretches(alike):
+    tokens = np.random.default_rng(alike % 97).integers(0, alike, 300).astype(np.uint64)
+    expected = np.zeros(300, dtype=bool)
+    for at in range(255):
+        expected[at : at + 46] |= np.isin(tokens[at : at + 46], np.unique(tokens[at : at + 46])[:10])
+    got = substrings.first_places(tokens, 46, 10)
+    assert (got >= expected).all()
+    limits = [np.unique(tokens[max(k, 0) : k + 46])[:10].max() for k in range(255)]
+    assert (got == [t <= max(limits[max(k - 45, 0) : k + 1]) for k, t in enumerate(tokens)]).all()
