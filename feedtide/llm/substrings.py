@@ -8,7 +8,8 @@ What is left is cut into pieces, whose tokens are dealt out in full. A token's l
 compared with the first LEADERS texts of all its lists at once: the places it shares with one of them show the passages that this one repeats.
 
 Stretches of which enough tokens occur in smaller texts, though no passage covers them yet, are compared with every smaller text that has one of their
-rarest tokens: a text that repeats the stretch lacks WINDOW - SHARED of its tokens at most, so it has one of any WINDOW - SHARED + 1. These lists are read in parts that
+rarest tokens: a text that repeats the stretch lacks WINDOW - SHARED of its tokens at most, so it has one of any WINDOW - SHARED + 1. A sketch of the tokens
+around this one shows which texts lack more of them, such as those that only have a common line. The lists are read in parts that
 grow, and a stretch that is covered meanwhile leaves them. So a group of n copies costs a few n comparisons.
 
 Rows go between tasks by the thousand, as columns packed in a binary value for each hash bucket.
@@ -33,13 +34,16 @@ SHARED = 40  # of WINDOW shingles, so that two stretches of equal length have a
 COMMON = 4  # first tokens that two near stretches share
 FIRST = WINDOW - SHARED + COMMON  # tokens of a stretch that are looked at first
 LEADERS = 3  # texts of a list that all others are compared with
-RANKS = 16  # texts of a list that open stretches are compared with in the first round, and
-FURTHER = 8  # times as many in the next
+RANKS = 64  # texts of a list that open stretches are compared with in the first round, and
+FURTHER = 64  # times as many in the next
+TOGETHER = 8  # places: open stretches that begin in one such block ask for texts together
+SKETCH = 4  # 64-bit words of a sketch of tokens
+SHARES = (1, 1, 2, 4)  # of a token that a stretch has 1, 2, 4 or 8 times at least, and so lacks as often
 PIECE = 512  # places of a piece, which has the tokens of all stretches that begin there
-PAIRS = 1 << 20  # pairs of pieces that are made at once
+PAIRS = 1 << 17  # pairs that are made at once
 FUNCTIONS = 6
 BUCKETS = 1 << 20
-ASKED = 1 << 22  # hash buckets of the tokens that are asked for
+ASKED = 1 << 24  # hash buckets of the tokens that are asked for
 COUNTERS = 1 << 17  # of tokens by hash
 STRETCHES = 4096  # that are looked at together
 
@@ -158,23 +162,42 @@ def chosen(begins: np.ndarray, offers: list[tuple[int, list[tuple[int, int]]]])
     return listed, begins
 
 
-def rarest_places(begins: np.ndarray, places: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """Which of the places (numbers in `places`) are asked for: in each of these stretches WINDOW - SHARED + 1 places less those that no other text
-    has, the rarest ones. A text that repeats the stretch has the token of one of them."""
-    low = int(begins[0])
-    number = np.full(int(begins[-1]) + WINDOW - low, -1, dtype=np.int64)
-    inside = (places >= low) & (places < low + len(number))
-    order = np.zeros(len(number), dtype=np.uint64)  # places that no other text has come first
-    number[places[inside] - low] = np.flatnonzero(inside)
-    order[places[inside] - low] = rare[inside]
-    few, asked = WINDOW - SHARED + 1, []
-    stretches, numbers = (np.lib.stride_tricks.sliding_window_view(x, WINDOW) for x in (order, number))
-    for at in range(0, len(begins), STRETCHES):
-        some = begins[at : at + STRETCHES] - low
-        first = np.argpartition(stretches[some], few - 1, axis=1)[:, :few]
-        asked.append(np.unique(np.take_along_axis(numbers[some], first, axis=1)))
-    asked = np.unique(np.concatenate(asked))
-    return asked[asked >= 0]
+def sketch_bits(tokens: np.ndarray) -> np.ndarray:
+    """A bit of SKETCH words for each token; a set has those of its tokens."""
+    bit = (tokens >> np.uint64(30)).astype(np.int64) % (64 * SKETCH)
+    words = np.zeros((len(tokens), SKETCH), dtype=np.uint64)
+    words[np.arange(len(tokens)), bit >> 6] = np.uint64(1) << (bit & 63).astype(np.uint64)
+    return words
+
+
+def sketches_around(tokens: np.ndarray, places: np.ndarray, width: int = WINDOW) -> np.ndarray:
+    """The sketch of all stretches of `width` that have the place."""
+    around = np.zeros((width - 1, SKETCH), dtype=np.uint64)
+    bits = np.concatenate([around, sketch_bits(tokens), around])
+    return np.bitwise_or.reduce(np.lib.stride_tricks.sliding_window_view(bits, 2 * width - 1, axis=0)[places], axis=2)
+
+
+def asks_of(begins: np.ndarray, places: np.ndarray, tokens: np.ndarray, rare: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """token, first stretch, slack and sketches: what is asked for stretches that are open. In each of them, of its WINDOW - SHARED + 1 rarest
+    places, those that other texts have, which are `places`: a text that repeats the stretch has one of these tokens. The stretches that begin in a
+    block of TOGETHER places ask together: a text that repeats one of them lacks `slack` places at most of those that all of them have. The sketches are of the tokens that these have 1, 2, 4 and 8 times."""
+    few, out = WINDOW - SHARED + 1, []
+    block = begins // TOGETHER
+    for at in np.flatnonzero(starts_of(block)).tolist():
+        some = begins[at : at + TOGETHER][block[at : at + TOGETHER] == block[at]]
+        asked = set()
+        for begin in some.tolist():
+            i, j = np.searchsorted(places, begin), np.searchsorted(places, begin + WINDOW)
+            least = few - (WINDOW - (j - i))  # places that no other text has come first
+            asked.update((i + np.argpartition(rare[i:j], least - 1)[:least]).tolist())
+        first, last = int(some[0]), int(some[-1])
+        i, j = np.searchsorted(places, last), np.searchsorted(places, first + WINDOW)
+        slack = WINDOW - SHARED - (first + WINDOW - last - (j - i))
+        values, times = np.unique(tokens[i:j], return_counts=True)
+        bits, least = sketch_bits(values), np.cumsum(SHARES)
+        sketch = bytes([slack]) + b"".join(np.bitwise_or.reduce(bits[times >= n], axis=0).tobytes() for n in least.tolist())
+        out += [(token, first, sketch) for token in {int(tokens[k].view(np.int64)) for k in asked}]
+    return out
 
 
 def joined(passages: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -278,8 +301,8 @@ def texts_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def buckets_of(spark: SparkSession) -> int:
-    """Hash buckets for packed rows: several to a task, so that tasks are alike."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Hash buckets for packed rows: two to a task, so that tasks are alike."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 ZONES = {"doc_id": pa.int64(), "class": pa.int64(), "n_words": pa.int64(), "start": pa.int64(), "end": pa.int64(), "bucket": pa.int32(), "packed": pa.binary()}
@@ -325,14 +348,17 @@ def classes_and_zones(docs: DataFrame) -> DataFrame:
             for bucket, value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "packed")), strict=True):
                 if value is not None:
                     by_bucket.setdefault(bucket, []).append(value)
+        kept = [(np.zeros(0, "<i8"), np.zeros(0, "<u4"))]
         for values in by_bucket.values():
             token, owner, place = unpacked(values, "<u4", "<i8", "<u4")
             order = np.argsort(token, kind="stable")
             token, owner, place = token[order], owner[order], place[order]
             first = np.flatnonzero(starts_of(token))
             several = np.repeat(np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first), np.diff(np.r_[first, len(token)]))
-            bucket, out = packed(bucket_of(owner[several], buckets), owner[several], place[several])
-            yield table_of(ZONES, len(bucket), bucket=bucket, packed=out)
+            kept.append((owner[several], place[several]))
+        owner, place = (np.concatenate(c) for c in zip(*kept, strict=True))
+        bucket, out = packed(bucket_of(owner, buckets), owner, place)
+        yield table_of(ZONES, len(bucket), bucket=bucket, packed=out)
 
     def zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = []
@@ -386,13 +412,13 @@ def pieces_of(zones: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return pieces
 
 
-FOUND = {"kind": pa.int32(), "class": pa.int64(), "other": pa.int64(), "start": pa.int64(), "end": pa.int64()}
-FOUND_SQL = "kind int, class bigint, other bigint, start bigint, end bigint"
-PASSAGE, OPEN, ASK, OFFER = range(4)  # other: the leader, -, a token, the leader; start, end: the passage, first and last stretch, place, the passage
+FOUND = {"kind": pa.int32(), "class": pa.int64(), "other": pa.int64(), "start": pa.int64(), "end": pa.int64(), "sketch": pa.binary()}
+FOUND_SQL = "kind int, class bigint, other bigint, start bigint, end bigint, sketch binary"
+PASSAGE, OPEN, ASK, OFFER = range(4)  # other: the leader, -, a token, the leader; start, end: the passage, first and last stretch, the first stretch that asks, the passage
 
 
-def found_rows(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
+def found_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*((*row, None)[: len(FOUND)] for row in rows), strict=True)) or [()] * len(FOUND)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FOUND.values(), strict=True)], list(FOUND))
 
 
@@ -420,6 +446,7 @@ def first_passages(pieces: DataFrame) -> DataFrame:
         for batch in batches:
             for bucket, value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "packed")), strict=True):
                 by_bucket.setdefault(bucket, []).append(value)
+        kept = [[] for _ in range(5 + LEADERS)]
         for values in by_bucket.values():
             token, owner, place, size = unpacked(values, "<u8", "<i8", "<u4", "<u4")
             order = np.lexsort((place, owner, token))
@@ -435,7 +462,11 @@ def first_passages(pieces: DataFrame) -> DataFrame:
             rank, begin = (at - begin)[later], begin[later]
             leaders = [np.where(rank > n, heads[np.minimum(begin + n, len(heads) - 1)], 0) for n in range(LEADERS)]
             columns = (owner[later], place[later], size[later], token[later], np.minimum(texts[later], 65535).astype("<u2"), *leaders)
-            bucket, out = packed(bucket_of(owner[later], buckets), *columns)
+            for parts, column in zip(kept, columns, strict=True):
+                parts.append(column)
+        if by_bucket:
+            owner, *others = (np.concatenate(parts) for parts in kept)
+            bucket, out = packed(bucket_of(owner, buckets), owner, *others)
             yield table_of(kinds, len(bucket), bucket=bucket, packed=out)
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,7 +498,7 @@ def first_passages(pieces: DataFrame) -> DataFrame:
                 if len(begins):
                     rows += [(OPEN, cls, 0, first, last) for first, last in ranges(begins)]
                     rare = texts[i:j].astype(np.uint64) << np.uint64(48) | token[i:j] >> np.uint64(16)
-                    rows += [(ASK, cls, int(token[i + k].view(np.int64)), int(mine[k]), 0) for k in rarest_places(begins, mine, rare).tolist()]
+                    rows += [(ASK, cls, token_, begin, 0, sketch) for token_, begin, sketch in asks_of(begins, mine, token[i:j], rare)]
             yield found_rows(rows)
 
     dealt = pieces.mapInArrow(deal, "bucket int, packed binary").repartition("bucket").mapInArrow(lists, "bucket int, packed binary")
@@ -475,30 +506,42 @@ def first_passages(pieces: DataFrame) -> DataFrame:
 
 
 def asked_pairs(pieces: DataFrame, asks: DataFrame, low: int, high: int) -> DataFrame:
-    """class, start, leader, lead_start: pieces that have an asked token, each with the pieces of smaller texts that have it, too: of the texts from `low` up to `high` in the
-    token's list. And as kind ASK the tokens in whose lists there are more."""
+    """class, start, other, lead_start: open stretches that ask for a token, each with the pieces of smaller texts that have it and whose sketch allows it that they
+    repeat the stretch: of the texts from `low` up to `high` in the token's list. And the asks in whose lists there are more texts."""
     spark = pieces.sparkSession
     buckets = buckets_of(spark)
     asked = np.zeros(ASKED, dtype=bool)
     asked[asks.select(F.col("other").bitwiseAND(ASKED - 1).cast("int").alias("at")).distinct().toArrow()["at"].to_numpy()] = True  # at most ASKED rows
+    asked = np.packbits(asked)
     kinds = {"bucket": pa.int32(), "ask": pa.bool_(), "packed": pa.binary()}
     names = "bucket int, ask boolean, packed binary"
     out_kinds = FOUND | {"lead_start": pa.int64()}
+    words = ["<u8"] * SKETCH
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(asked).astype(bool)
         for batch in few_at_once(batches):
-            tokens = [t[asked[(t & np.uint64(ASKED - 1)).astype(np.int64)]] for t in (np.frombuffer(x, "<u8") for x in batch.column("tokens").to_pylist())]
+            tokens = [np.frombuffer(x, "<u8") for x in batch.column("tokens").to_pylist()]
             if not tokens:
                 continue
-            counts, token = [len(t) for t in tokens], np.concatenate(tokens)
+            places = [np.flatnonzero(wanted[(t & np.uint64(ASKED - 1)).astype(np.int64)]) for t in tokens]
+            counts = [len(p) for p in places]
+            token = np.concatenate([t[p] for t, p in zip(tokens, places, strict=True)])
+            rows = np.repeat(np.arange(len(tokens)), counts)
+            sketch = np.concatenate([sketches_around(t, p) if len(p) else np.zeros((0, SKETCH), dtype=np.uint64) for t, p in zip(tokens, places, strict=True)])
             owner, start = (np.repeat(batch.column(c).to_numpy(), counts) for c in ("class", "start"))
-            bucket, values = packed(bucket_of(token, buckets), token, owner, start.astype("<u4"))
+            order = np.lexsort((token, rows))  # a token that a piece has several times counts once, with all that is around it
+            first = np.flatnonzero(starts_of(rows[order], token[order]))
+            sketch = np.bitwise_or.reduceat(sketch[order], first, axis=0) if len(first) else sketch
+            token, owner, start = token[order][first], owner[order][first], start[order][first]
+            bucket, values = packed(bucket_of(token, buckets), token, owner, start.astype("<u4"), *sketch.T)
             yield table_of(kinds, len(bucket), bucket=bucket, ask=[False] * len(bucket), packed=values)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            token, owner, place = (batch.column(c).to_numpy() for c in ("other", "class", "start"))
-            bucket, values = packed(bucket_of(token, buckets), token.view(np.uint64), owner, place.astype("<u4"))
+            token, owner, begin = (batch.column(c).to_numpy() for c in ("other", "class", "start"))
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=[("slack", "u1"), ("words", "<u8", (len(SHARES) * SKETCH,))])
+            bucket, values = packed(bucket_of(token, buckets), token, owner, begin.astype("<u4"), sketch["slack"], *sketch["words"].T)
             yield table_of(kinds, len(bucket), bucket=bucket, ask=[True] * len(bucket), packed=values)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,45 +549,53 @@ def asked_pairs(pieces: DataFrame, asks: DataFrame, low: int, high: int) -> Data
         for batch in batches:
             for bucket, is_ask, value in zip(*(batch.column(c).to_pylist() for c in kinds), strict=True):
                 by_bucket.setdefault(bucket, ([], []))[is_ask].append(value)
-        for there, wanted in by_bucket.values():
-            token, owner, start = unpacked(there, "<u8", "<i8", "<u4")
+        for there, wanting in by_bucket.values():
+            if not wanting:
+                continue
+            token, owner, start, *sketch = unpacked(there, "<u8", "<i8", "<u4", *words)
             order = np.lexsort((start, owner, token))
-            token, owner, start = token[order], owner[order], start[order]
-            once = starts_of(token, owner, start)
-            token, owner, start = token[once], owner[once], start[once]
-            ask_token, ask_owner, ask_place = unpacked(wanted, "<u8", "<i8", "<u4")
+            order = order[starts_of(*(c[order] for c in (token, owner, start)))]
+            token, owner, start, sketch = token[order], owner[order], start[order].astype(np.int64), np.stack([w[order] for w in sketch], axis=1)
             new, member = starts_of(token), starts_of(token, owner)
             heads = np.r_[np.flatnonzero(member), len(token)]  # the first rows of texts in lists
             at = np.cumsum(member) - 1
-            firsts = at[new][np.cumsum(new) - 1]  # the number of the first text of a row's list
-            # the rows of the text that asks, in the list of its token
-            mine = np.isin(token, ask_token) if len(ask_token) else np.zeros(len(token), dtype=bool)
-            rows = np.flatnonzero(mine)
-            order = np.lexsort((ask_owner, ask_token))
-            key = np.empty(len(ask_token), dtype=[("t", "<u8"), ("c", "<i8")])
-            key["t"], key["c"] = ask_token, ask_owner
-            own = np.empty(len(rows), dtype=key.dtype)
-            own["t"], own["c"] = token[rows], owner[rows]
-            rows = rows[np.isin(own, key[order])]
-            rank = at[rows] - firsts[rows]
-            begin = heads[firsts[rows] + np.minimum(low, rank)]
-            counts = heads[firsts[rows] + np.minimum(high, rank)] - begin
+            listed = at[new]  # the number of the first text of each list
+            a_token, a_owner, a_begin, slack, *a_words = unpacked(wanting, "<i8", "<i8", "<u4", "u1", *words * len(SHARES))
+            a_begin, a_sketch = a_begin.astype(np.int64), np.stack(a_words, axis=1)
+            first = listed[np.searchsorted(token[new], a_token.view(np.uint64))]
+            # the row of the piece in which the stretch begins
+            row = np.empty(len(token), dtype=[("t", "<u8"), ("c", "<i8"), ("s", "<i8")])
+            row["t"], row["c"], row["s"] = token, owner, start
+            key = np.empty(len(a_token), dtype=row.dtype)
+            key["t"], key["c"], key["s"] = a_token.view(np.uint64), a_owner, 0
+            rank = at[np.searchsorted(row, key)] - first
+            begin = heads[first + np.minimum(low, rank)]
+            counts = heads[first + np.minimum(high, rank)] - begin
             total = np.cumsum(counts)
-            for part in np.split(np.arange(len(rows)), np.searchsorted(total, np.arange(PAIRS, int(total[-1]) if len(total) else 0, PAIRS))):
-                n = counts[part]
-                who = np.repeat(rows[part], n)
-                whom = np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                found = np.unique(np.stack([owner[who], start[who].astype(np.int64), owner[whom], start[whom].astype(np.int64)], axis=1), axis=0)
-                yield table_of(out_kinds, len(found), kind=np.full(len(found), OFFER), start=found[:, 1], other=found[:, 2], lead_start=found[:, 3], **{"class": found[:, 0]})
-            further = np.isin(key, own[np.isin(own, key)][rank > high]) if len(key) else np.zeros(0, dtype=bool)
-            yield table_of(out_kinds, int(further.sum()), kind=np.full(int(further.sum()), ASK), other=ask_token[further].view(np.int64), start=ask_place[further].astype(np.int64), **{"class": ask_owner[further]})
-
-    both = pieces.mapInArrow(index, names).unionByName(asks.select("other", "class", "start").mapInArrow(ask, names))
+            for part in np.split(np.arange(len(key)), np.searchsorted(total, np.arange(PAIRS, int(total[-1]), PAIRS), "right")):
+                for offset in range(0, int(counts[part].max(initial=0)), PAIRS):  # more than one turn only for a single long list
+                    n = np.clip(counts[part] - offset, 0, PAIRS)
+                    who = np.repeat(part, n)
+                    whom = np.repeat(begin[part] + offset - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    lacks = np.zeros(len(who), dtype=np.int64)
+                    for k, share in enumerate(SHARES):
+                        for w in range(SKETCH):
+                            lacks += share * np.bitwise_count(a_sketch[who, k * SKETCH + w] & ~sketch[whom, w]).astype(np.int64)
+                        ok = lacks <= slack[who]
+                        who, whom, lacks = who[ok], whom[ok], lacks[ok]
+                    found = np.unique(np.stack([a_owner[who], a_begin[who], owner[whom], start[whom]], axis=1), axis=0)
+                    yield table_of(out_kinds, len(found), kind=np.full(len(found), OFFER), start=found[:, 1], other=found[:, 2], lead_start=found[:, 3], **{"class": found[:, 0]})
+            more = np.flatnonzero(rank > high)
+            texts = [bytes([s]) + w.tobytes() for s, w in zip(slack[more].tolist(), a_sketch[more], strict=True)]
+            rest = {"other": a_token[more], "start": a_begin[more], "class": a_owner[more], "sketch": texts}
+            yield table_of(out_kinds, len(more), kind=np.full(len(more), ASK), **rest)
+
+    both = pieces.mapInArrow(index, names).unionByName(asks.select("other", "class", "start", "sketch").mapInArrow(ask, names))
     return both.repartition("bucket").mapInArrow(pairs, FOUND_SQL + ", lead_start bigint")
 
 
 def offered(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
-    """OFFER: the passages that the first piece of a pair repeats of the second."""
+    """OFFER: the passages that the piece in which a stretch begins repeats of another."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_at_once(batches):
@@ -554,9 +605,13 @@ def offered(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
                 rows += [(OFFER, cls, leader, start + x, start + y) for x, y in matching_stretches(a, b)]
             yield found_rows(rows)
 
+    # a block of stretches may begin in one piece and end in the next
+    homes = pieces.select("class", "own", F.col("start").alias("piece"))
+    begins = pairs.select("class", "start").distinct().join(homes, "class").filter((F.col("piece") < F.col("start") + TOGETHER) & (F.col("start") < F.col("piece") + F.col("own")))
+    placed = pairs.join(begins, ["class", "start"]).select("class", F.col("piece").alias("start"), "other", "lead_start").distinct()
     mine = pieces.select("class", "start", "tokens")
     theirs = pieces.select(F.col("class").alias("other"), F.col("start").alias("lead_start"), F.col("tokens").alias("others"))
-    both = pairs.join(theirs, ["other", "lead_start"]).join(mine, ["class", "start"])
+    both = placed.join(theirs, ["other", "lead_start"]).join(mine, ["class", "start"])
     return both.select("class", "start", "other", "tokens", "others").mapInArrow(compare, FOUND_SQL)
 
 
@@ -566,12 +621,12 @@ def settled(rows: DataFrame) -> DataFrame:
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_class: dict[int, tuple[list, ...]] = {}
         for batch in batches:
-            for kind, cls, other, start, end in zip(*(batch.column(n).to_pylist() for n in FOUND), strict=True):
-                by_class.setdefault(cls, ([], [], [], []))[kind].append((other, start, end))
+            for kind, cls, *row in zip(*(batch.column(n).to_pylist() for n in FOUND), strict=True):
+                by_class.setdefault(cls, ([], [], [], []))[kind].append(row)
         for cls, (_, opened, asks, offers) in by_class.items():
-            begins = np.unique(np.concatenate([np.arange(first, last + 1) for _, first, last in opened])) if opened else np.zeros(0, dtype=np.int64)
+            begins = np.unique(np.concatenate([np.arange(first, last + 1) for _, first, last, _ in opened])) if opened else np.zeros(0, dtype=np.int64)
             by_leader: dict[int, list[tuple[int, int]]] = {}
-            for leader, start, end in set(offers):
+            for leader, start, end in {tuple(row[:3]) for row in offers}:
                 by_leader.setdefault(leader, []).append((start, end))
             merged = [(leader, joined(p)) for leader, p in by_leader.items()]
             merged.sort(key=lambda x: (-sum(end - start for start, end in x[1]), x[0]))
@@ -579,8 +634,8 @@ def settled(rows: DataFrame) -> DataFrame:
             rows = [(PASSAGE, cls, leader, start, end) for leader, start, end in listed]
             if len(begins):
                 rows += [(OPEN, cls, 0, first, last) for first, last in ranges(begins)]
-                # a place is asked for if a stretch that is open has it
-                rows += [(ASK, cls, token, place, 0) for token, place, _ in asks if (k := np.searchsorted(begins, place, "right")) and begins[k - 1] > place - WINDOW]
+                blocks = set((begins // TOGETHER).tolist())
+                rows += [(ASK, cls, *ask) for ask in asks if ask[1] // TOGETHER in blocks]
             yield found_rows(rows)
 
     return rows.repartition("class").mapInArrow(settle, FOUND_SQL)
@@ -592,7 +647,7 @@ def all_passages(pieces: DataFrame) -> DataFrame:
     found, low, high = [state], 0, RANKS
     while not state.filter(F.col("kind") == ASK).isEmpty():
         pairs = store(asked_pairs(pieces, state.filter(F.col("kind") == ASK), low, high), "substring-pairs")
-        offers = offered(pairs.filter(F.col("kind") == OFFER).drop("kind", "end").distinct(), pieces)
+        offers = offered(pairs.filter(F.col("kind") == OFFER).select("class", "start", "other", "lead_start").distinct(), pieces)
         rows = offers.unionByName(state.filter(F.col("kind") == OPEN)).unionByName(pairs.filter(F.col("kind") == ASK).drop("lead_start"))
         state = store(settled(rows), "substring-next")
         found.append(state)
